@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, oracles, pii, quality, secrets, toxicity
+from . import dedup, fingerprints, langid, mixing, oracles, pii, quality, secrets, toxicity
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_secrets": op4_secrets,
         "op5_language": op5_language,
         "op6_personal_data": op6_personal_data,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_mixing": op8_mixing,
         "op10_quality_rules": op10_quality_rules,
     }
