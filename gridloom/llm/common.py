@@ -19,6 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    """The path of a public tokenizer's file; the package that holds it is installed wherever Python is."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound what one Arrow batch of whole texts holds, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -27,6 +27,9 @@ from .common import WORD
 
 #: Ranges of the key within a source; the windows of the prefix sum have one each.
 BUCKETS = 4096
+WEIGHTS, TOTAL, MOST, SEED = (3.0, 1.0, 2.0), 1.5, 2.0, "mix"
+#: Sources up to which their table is broadcast.
+BROADCAST_SOURCES = 100_000
 #: Characters that count against a document's quality.
 JUNK = "#*$%&|<>{}\\^~0123456789"
 
@@ -73,16 +76,14 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total: float, m
     )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, epochs, taken, and the sampling key, per row of `docs`."""
-    rows = cut_lineage(
-        docs.select(
-            "doc_id",
-            "source",
-            n_words(F.col("text")).alias("size"),
-            (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("_key"),
-        )
-    )
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    key = (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("_key")
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), key)
+
+
+def _placed(docs: DataFrame, weights: tuple[float, ...], total: float, most: float, seed: str) -> DataFrame:
+    """Per row: its size and key, its source's size, target, epochs and what is left to sample, and the words before it by key."""
+    rows = cut_lineage(_keyed(docs, seed))
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn(
         "_rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
@@ -94,19 +95,34 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), total: fl
         F.col("_b").alias("_sb"),
         F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"),
     )
-    targets = targets.withColumnRenamed("source", "_ts")
-    ends = starts.join(targets, F.col("_s").eqNullSafe(F.col("_ts")))
+    ends = starts.join(targets.withColumnRenamed("source", "_ts"), F.col("_s").eqNullSafe(F.col("_ts")))
     within = W.partitionBy("source", "_b").orderBy("_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("_prior", F.coalesce(F.sum("size").over(within), F.lit(0)))
     joined = placed.join(ends, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb")))
-    sampled = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_start") - F.col("_prior")))
-    return joined.select(
-        "doc_id",
-        "source",
-        "size",
-        "source_size",
-        "target",
-        "epochs",
-        (F.col("epochs") * F.col("size") + sampled).cast("long").alias("taken"),
-        F.col("_key").alias("sampling_key"),
-    )
+    return joined.withColumn("_before", F.col("_start") + F.col("_prior"))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, epochs, taken and sampling_key, per row of `docs`."""
+    sampled = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_rest") - F.col("_before")))
+    taken = (F.col("epochs") * F.col("size") + sampled).cast("long").alias("taken")
+    return _placed(docs, weights, total, most, seed).select("doc_id", "source", "size", "source_size", "target", "epochs", taken, F.col("_key").alias("sampling_key"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float = TOTAL, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """The mix itself: rows of `docs`, each as often as the mix takes it, whole.
+
+    A sample is all rows up to the one in which its source's budget ends (that one is taken if
+    half of it or more is), so a row only needs its source's epochs and last key. There is one
+    of these for each source; the texts are neither sorted nor shuffled.
+    """
+    placed = _placed(docs, weights, total, most, seed).withColumn("_in", 2 * F.col("_before") + F.col("size") <= 2 * F.col("_rest"))
+    last = placed.groupBy(F.col("source").alias("_ts")).agg(F.first("epochs").cast("int").alias("_epochs"), F.max(F.when(F.col("_in"), F.struct("_key", "doc_id", "size"))).alias("_last"))
+    last = cut_lineage(last)
+    if last.count() <= BROADCAST_SOURCES:
+        last = F.broadcast(last)
+    own = docs.select("*", n_words(F.col("text")).alias("_size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("_own_key"))
+    joined = own.join(last, F.col("source").eqNullSafe(F.col("_ts")))
+    sampled = F.coalesce(F.struct(F.col("_own_key").alias("_key"), F.col("doc_id"), F.col("_size").alias("size")) <= F.col("_last"), F.lit(False))
+    copies = F.col("_epochs") + F.when(sampled, 1).otherwise(0)
+    return joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -24,3 +24,32 @@ c AS (SELECT d.*, coalesce(sum(size) OVER (PARTITION BY source ORDER BY k, doc_i
 SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - prior)))::BIGINT AS taken
 FROM c JOIN g ON c.source IS NOT DISTINCT FROM g.source
 """
+
+
+def _licences() -> str:
+    """The lookup of licence digests: the same canonical form, by DuckDB's functions."""
+    from .licences import KNOWN, MARKERS, SPELLINGS
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+
+    def canonical(x: str) -> str:
+        x = rf"regexp_replace(lower({x}), '(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*$|all rights reserved', ' ', 'g')"
+        x = rf"' ' || trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g')) || ' '"
+        for spelled, as_ in SPELLINGS:
+            x = f"replace({x}, {quoted(f' {spelled} ')}, {quoted(f' {as_} ')})"
+        return f"md5(trim({x}))"
+
+    marked = lambda x: "(" + " OR ".join(f"contains(lower({x}), {quoted(m)})" for m in MARKERS) + ")"
+    known = ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in KNOWN)
+    return f"""
+WITH known AS (SELECT DISTINCT licence, {canonical('t')} AS digest FROM (VALUES {known}) k(licence, t)),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+u AS (SELECT r, true AS whole, {canonical('text')} AS digest FROM d WHERE {marked('text')}
+      UNION ALL
+      SELECT r, false, {canonical('l')} FROM (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d WHERE {marked('text')}) WHERE {marked('l')}),
+h AS (SELECT r, max(CASE WHEN whole THEN licence END) AS whole_text, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences, sum(CASE WHEN whole THEN 0 ELSE 1 END) AS n FROM u JOIN known USING (digest) GROUP BY r)
+SELECT doc_id, whole_text, coalesce(licences, '') AS licences, coalesce(n, 0)::BIGINT AS n_notices FROM d LEFT JOIN h USING (r)
+"""
+
+
+SQL["op9_licences"] = _licences()

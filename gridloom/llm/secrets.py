@@ -28,6 +28,8 @@ from . import spans
 KINDS = ["assign", "access", "hex", "opaque"]
 #: A value in at least so many owners and repositories is a widely copied example.
 EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 5, 20
+#: Rows with live secrets up to which their spans are broadcast, with four spans a row in the mean.
+BROADCAST_ROWS = 300_000
 
 _ASSIGN = r"""(?=[pstaPSTA])(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 # Maximal runs: dropping runs that are too short and asking for the length give the same spans.
@@ -101,12 +103,19 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with each live secret put as its kind's name; copied examples and all other text stay.
 
-    Rows without a live secret, nearly all, don't take part in a shuffle: `docs` is joined with the
-    spans of the others on (doc_id, digest of the text).
+    `docs` is joined with the spans of the rows that have live secrets on (doc_id, digest of the
+    text). They are broadcast up to BROADCAST_ROWS rows, so the texts aren't shuffled.
     """
     live = scan(docs).filter(F.size("_live") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("_repo").alias("_r")).agg(F.first("_live").alias("_live"))
+    live = cut_lineage(live.withColumn("_live", F.expr("transform(_live, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))")))
+    size = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_live")), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= 4 * BROADCAST_ROWS:
+        live = F.broadcast(live)
     own = docs.withColumn("_repo", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = own.join(live, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_repo") == F.col("_r")), "left")
     put = spans.replaced(text, "_live", KINDS)
     out: list[Column] = [F.when(F.col("_live").isNull(), F.col(text)).otherwise(put).alias(c) if c == text else F.col(c) for c in docs.columns]
-    return joined.select(*out)
+    changed = joined.select(*out, F.col("_live").isNotNull().alias("_changed"))
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("_changed"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.drop("_changed")
