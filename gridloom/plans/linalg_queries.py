@@ -9,6 +9,8 @@ from ..operators import linalg as la
 from ..session import table
 
 _A = "(SELECT l_partkey AS row, l_suppkey AS col, CAST(sum(l_quantity) AS DOUBLE) AS val FROM lineitem GROUP BY l_partkey, l_suppkey)"
+_X = "(SELECT s_suppkey AS idx, CAST(s_suppkey + 1 AS DOUBLE) AS v FROM supplier)"
+_P = "(SELECT p_partkey AS idx, CAST(p_size AS DOUBLE) AS v FROM part)"
 
 
 def matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -23,9 +25,106 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("v"))
 
 
+def _square(spark: SparkSession, d: str) -> DataFrame:
+    """The block of A with part and supplier keys of the same range: a square matrix."""
+    return matrix(spark, d).filter(F.col("row") < 100).filter(F.col("col") < 100)
+
+
+_SQ = f"(SELECT * FROM {_A} WHERE row < 100 AND col < 100)"
+
+
+def _permutation(spark: SparkSession) -> DataFrame:
+    return spark.range(100).select(F.col("id").alias("pos"), ((F.col("id") * 37 + 11) % 100).alias("idx"))
+
+
+_PERM = "(SELECT i AS pos, (i * 37 + 11) % 100 AS idx FROM range(100) t(i))"
+
 QUERIES = {
     "spmv": (
         lambda s, d: la.spmv(matrix(s, d), suppliers(s, d)),
-        f"SELECT a.row AS idx, sum(a.val * (s.s_suppkey + 1)) AS v FROM {_A} a JOIN supplier s ON a.col = s.s_suppkey GROUP BY a.row",
+        f"SELECT a.row AS idx, sum(a.val * x.v) AS v FROM {_A} a JOIN {_X} x ON a.col = x.idx GROUP BY a.row",
+    ),
+    "spmv_transpose": (
+        lambda s, d: la.spmv(matrix(s, d), parts(s, d), alpha=2.0, transposed=True),
+        f"SELECT a.col AS idx, 2.0::DOUBLE * sum(a.val * x.v) AS v FROM {_A} a JOIN {_P} x ON a.row = x.idx GROUP BY a.col",
+    ),
+    "coo_assemble_dupsum": (lambda s, d: matrix(s, d), f"SELECT * FROM {_A}"),
+    "sparse_pattern_distinct": (
+        lambda s, d: la.pattern(table(s, d, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_suppkey").alias("col"))),
+        "SELECT DISTINCT l_partkey AS row, l_suppkey AS col FROM lineitem",
+    ),
+    "spmm": (
+        lambda s, d: la.spmm(matrix(s, d), matrix(s, d), a_transposed=True),
+        f"SELECT a.col AS row, b.col AS col, sum(a.val * b.val) AS val FROM {_A} a JOIN {_A} b ON a.row = b.row GROUP BY a.col, b.col",
+    ),
+    "matrix_add_scaled": (
+        lambda s, d: la.add(_square(s, d), la.identity(s, 100), alpha=0.5),
+        f"SELECT row, col, sum(val) AS val FROM (SELECT row, col, val * 0.5::DOUBLE AS val FROM {_SQ} UNION ALL SELECT i, i, 1.0::DOUBLE FROM range(100) t(i)) GROUP BY row, col",
+    ),
+    "matrix_scale": (lambda s, d: la.scale(matrix(s, d), 0.25), f"SELECT row, col, val * 0.25::DOUBLE AS val FROM {_A}"),
+    "matrix_transpose": (lambda s, d: la.transpose(matrix(s, d)), f"SELECT col AS row, row AS col, val FROM {_A}"),
+    "matrix_identity": (lambda s, d: la.identity(s, 64, 3.0), "SELECT i AS row, i AS col, 3.0::DOUBLE AS val FROM range(64) t(i)"),
+    "block_slice": (
+        lambda s, d: la.block_slice(matrix(s, d), 50, 10, 100, 40),
+        f"SELECT row - 50 AS row, col - 10 AS col, val FROM {_A} WHERE row BETWEEN 50 AND 149 AND col BETWEEN 10 AND 49",
+    ),
+    "block_insert": (
+        lambda s, d: la.block_insert(_square(s, d), la.identity(s, 10), 100, 100),
+        f"SELECT row, col, val FROM {_SQ} UNION ALL SELECT i + 100, i + 100, 1.0::DOUBLE FROM range(10) t(i)",
+    ),
+    "lower_triangle": (lambda s, d: la.triangle(_square(s, d)), f"SELECT * FROM {_SQ} WHERE row >= col"),
+    "upper_triangle_strict": (lambda s, d: la.triangle(_square(s, d), lower=False, strict=True), f"SELECT * FROM {_SQ} WHERE row < col"),
+    "matrix_diagonal": (lambda s, d: la.diagonal(_square(s, d)), f"SELECT row AS idx, val AS v FROM {_SQ} WHERE row = col"),
+    "dot": (
+        lambda s, d: la.dot(la.spmv(matrix(s, d), suppliers(s, d)), parts(s, d)),
+        f"SELECT sum(y.v * p.v) AS dot FROM (SELECT a.row AS idx, sum(a.val * x.v) AS v FROM {_A} a JOIN {_X} x ON a.col = x.idx GROUP BY a.row) y JOIN {_P} p USING (idx)",
+    ),
+    "axpy": (
+        lambda s, d: la.axpy(suppliers(s, d), parts(s, d), alpha=-2.0),
+        f"SELECT idx, sum(v) AS v FROM (SELECT idx, -2.0::DOUBLE * v AS v FROM {_X} UNION ALL SELECT * FROM {_P}) GROUP BY idx",
+    ),
+    "vector_norms": (lambda s, d: la.norms(parts(s, d)), f"SELECT sum(v * v) AS norm2_sq, max(abs(v)) AS norm_inf FROM {_P}"),
+    "frobenius_sq": (lambda s, d: la.norms(matrix(s, d), "val"), f"SELECT sum(val * val) AS norm2_sq, max(abs(val)) AS norm_inf FROM {_A}"),
+    "row_sums": (lambda s, d: la.row_sums(matrix(s, d)), f"SELECT row, sum(val) AS row_sum, count(*) AS n_entries FROM {_A} GROUP BY row"),
+    "dirichlet_eliminate": (
+        lambda s, d: la.eliminate(_square(s, d), suppliers(s, d).filter(F.col("idx") % 7 == 0)),
+        f"SELECT * FROM {_SQ} WHERE row NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) AND col NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0)",
+    ),
+    "rhs_correction": (
+        lambda s, d: la.rhs_correction(_square(s, d), parts(s, d).filter(F.col("idx") < 100), suppliers(s, d).filter((F.col("idx") % 7 == 0) & (F.col("idx") < 100))),
+        f"""SELECT p.idx, p.v - coalesce(c.v, 0) AS v FROM (SELECT * FROM {_P} WHERE idx < 100) p
+            LEFT JOIN (SELECT a.row AS idx, sum(a.val * x.v) AS v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx WHERE x.idx % 7 = 0 GROUP BY a.row) c USING (idx)
+            WHERE p.idx NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey < 100)
+            UNION ALL
+            SELECT a.row AS idx, -sum(a.val * x.v) AS v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx WHERE x.idx % 7 = 0
+            AND a.row NOT IN (SELECT idx FROM {_P}) AND a.row NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY a.row""",
+    ),
+    "permute_coo": (
+        lambda s, d: la.permute(_square(s, d), _permutation(s)),
+        f"SELECT r.pos AS row, c.pos AS col, val FROM {_SQ} a JOIN {_PERM} r ON a.row = r.idx JOIN {_PERM} c ON a.col = c.idx",
+    ),
+    "relative_error_norms": (
+        lambda s, d: la.relative_errors(la.scale(parts(s, d).withColumnRenamed("v", "val"), 1.25).withColumnRenamed("val", "v"), parts(s, d)).select(
+            F.round("rel_l2", 6).alias("rel_l2"), F.round("abs_linf", 6).alias("abs_linf")
+        ),
+        f"SELECT round(sqrt(sum(pow(v * 1.25 - v, 2)) / sum(v * v)), 6) AS rel_l2, round(max(abs(v * 1.25 - v)), 6) AS abs_linf FROM {_P}",
+    ),
+    "saddle_matvec": (
+        # [A G; D C] on (u, p): A the square block, G its first ten columns, D their transpose, C the identity.
+        lambda s, d: _saddle(s, d),
+        f"""SELECT idx, sum(v) AS v FROM (
+              SELECT a.row AS idx, a.val * x.v AS v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx
+              UNION ALL SELECT a.row, a.val * x.v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx WHERE a.col < 10
+              UNION ALL SELECT a.col + 100, a.val * x.v FROM {_SQ} a JOIN {_X} x ON a.row = x.idx WHERE a.col < 10
+              UNION ALL SELECT idx + 100, v FROM {_X} WHERE idx < 10) GROUP BY idx""",
     ),
 }
+
+
+def _saddle(spark: SparkSession, d: str) -> DataFrame:
+    a = _square(spark, d)
+    g = a.filter(F.col("col") < 10)
+    shifted = la.block_insert(a, g, 0, 100).unionByName(la.transpose(g).select((F.col("row") + 100).alias("row"), "col", "val"))
+    whole = shifted.unionByName(la.identity(spark, 10).select((F.col("row") + 100).alias("row"), (F.col("col") + 100).alias("col"), "val"))
+    x = suppliers(spark, d).filter(F.col("idx") < 100)
+    return la.spmv(whole, x.unionByName(x.filter(F.col("idx") < 10).select((F.col("idx") + 100).alias("idx"), "v")))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linalg_queries
+from . import linalg_queries, range_queries
 
-_MODULES = (linalg_queries,)
+_MODULES = (linalg_queries, range_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

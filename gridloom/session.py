@@ -28,14 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, partitions_per_file: int = 0) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and return it without its lineage.
 
     The folder is the one in spark.checkpoint.dir; where that is unset (tests,
     single-machine runs) a temporary folder is used. The files are reliable
     checkpoints, so a lost executor costs nothing but a re-read.
+
+    partitions_per_file: for a narrow plan that makes a compact row of each large
+    one, so many input partitions go to a file; else their files would be many
+    and tiny.
     """
     spark = df.sparkSession
+    if partitions_per_file and (n := df.rdd.getNumPartitions()) > 4 * partitions_per_file:
+        df = df.repartition(-(-n // partitions_per_file))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
