@@ -42,7 +42,13 @@ REMEMBERED = 6_000_000
 
 
 class WordIds:
-    """Token ids of whole texts, as little-endian 16-bit numbers (32-bit for larger vocabularies)."""
+    """Token ids of whole texts, kept by word as little-endian 16-bit numbers (32-bit for larger vocabularies).
+
+    The tokenizer never merges across white space, nor across the border of letters and
+    punctuation, and it ignores case; so the ids of a word that ends in a full stop or comma are
+    those of its letters and of the mark. New words of letters only are encoded many at a time: each
+    of them ends with the one token that has the word-end suffix.
+    """
 
     def __init__(self, path: str):
         import os
@@ -52,22 +58,55 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        size = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
+        self.marks = {m: self._plain([m])[0] for m in ".,"}
+
+    def _plain(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters, encoded as one text of many words."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        if len(stops) != len(words):  # a vocabulary without that suffix
+            return self._plain(words)
+        flat, size = ids.tobytes(), self.kind.itemsize
+        return [flat[i * size : j * size] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
+        marked = [w for w in words if w[-1] in self.marks and w[:-1].isalpha()]
+        bare = {w[:-1] for w in marked}
+        bare.update(w for w in words if w.isalpha())
+        letters = [w for w in bare if w not in known]
+        others = list(set(words).difference(marked, bare))
+        for encode, some in ((self._letters, letters), (self._plain, others)):
+            for i in range(0, len(some), 2000):
+                part = some[i : i + 2000]
+                known.update(zip(part, encode(part), strict=True))
+        for w in marked:
+            known[w] = known[w[:-1]] + self.marks[w[-1]]
+        self.held += sum(map(len, words))
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text with the end id, as 32-bit numbers."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
+        split = []
+        for text in texts:
+            text = (text or "").replace("\n", " ")
+            try:  # lower case is one character for one in Latin-1, as the tokenizer's is
+                text.encode("latin-1")
+                text = text.lower()
+            except UnicodeEncodeError:
+                pass
+            split.append(text.split(" "))
+        words = set().union(*split)
         if self.held > REMEMBERED:
             self.known, self.held = {"": b""}, 0
-            new = list(set().union(*split) - {""})
-        for i in range(0, len(new), 10_000):
-            words = new[i : i + 10_000]
-            for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, self.kind).tobytes()
-                self.held += len(word)
+        self._learn(list(words.difference(self.known)))
         end = np.array([END_ID], self.kind).tobytes()
         return [np.frombuffer(b"".join([*map(self.known.__getitem__, words), end]), self.kind).astype("<u4") for words in split]
 
