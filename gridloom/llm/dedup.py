@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ..session import cut_lineage
 from .common import WordHash, shingle_hashes, small_batches, utf8
 
@@ -121,34 +122,6 @@ def _sketches(width: int):
     return run
 
 
-def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(src, dst) -> (id, component): the smallest id each one reaches, for all ids in edges.
-
-    Large-star and small-star rounds: each is two combined aggregations over the
-    edges, which shrink towards one edge from each id to its component.
-    """
-    now = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    for _ in range(most_rounds):
-        # Large-star: the larger neighbours of u go to the least of u and its neighbours.
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small-star: u and its smaller neighbours go to the least of those.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = cut_lineage(small)
-        # Stars: nobody's centre has a centre, and nobody has two.
-        stars = after.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("d")).first()
-        chained = after.select(F.col("v").alias("x")).join(after.select(F.col("u").alias("x")), "x", "left_semi").limit(1).count()
-        now = after
-        if stars["n"] == stars["d"] and not chained:
-            break
-    else:
-        raise RuntimeError("components didn't settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-
-
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -212,7 +185,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, group_ro
     """doc_id, n_shingles, component_id and kept, per row of `docs`."""
     spark = docs.sparkSession
     small_batches(spark)
-    sketched = cut_lineage(docs.select("doc_id", "text").mapInArrow(_sketches(width), "doc_id long, n_shingles long, digest binary, bands array<long>"))
+    sketched = cut_lineage(docs.select("doc_id", "text").mapInArrow(_sketches(width), "doc_id long, n_shingles long, digest binary, bands array<long>"), partitions_per_file=8)
     with_words = sketched.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     classes = with_words.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # An id that stands in several rows joins their classes.
