@@ -83,13 +83,13 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
 
 def _placed(docs: DataFrame, weights: tuple[float, ...], total: float, most: float, seed: str) -> DataFrame:
     """Per row: its size and key, its source's size, target, epochs and what is left to sample, and the words before it by key."""
-    rows = cut_lineage(_keyed(docs, seed))
-    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, total, most)
+    rows = cut_lineage(_keyed(docs, seed), partitions_per_file=16).withColumn("_b", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS))
+    per_bucket = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, total, most)
     targets = targets.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)).withColumn(
         "_rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     )
-    rows = rows.withColumn("_b", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS))
-    per_bucket = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     starts = per_bucket.select(
         F.col("source").alias("_s"),
         F.col("_b").alias("_sb"),
@@ -118,9 +118,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
     """
     placed = _placed(docs, weights, total, most, seed).withColumn("_in", 2 * F.col("_before") + F.col("size") <= 2 * F.col("_rest"))
     last = placed.groupBy(F.col("source").alias("_ts")).agg(F.first("epochs").cast("int").alias("_epochs"), F.max(F.when(F.col("_in"), F.struct("_key", "doc_id", "size"))).alias("_last"))
-    last = cut_lineage(last)
-    if last.count() <= BROADCAST_SOURCES:
-        last = F.broadcast(last)
+    found = last.limit(BROADCAST_SOURCES + 1).collect()
+    if len(found) <= BROADCAST_SOURCES:
+        last = F.broadcast(docs.sparkSession.createDataFrame(found, last.schema))
     own = docs.select("*", n_words(F.col("text")).alias("_size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("_own_key"))
     joined = own.join(last, F.col("source").eqNullSafe(F.col("_ts")))
     sampled = F.coalesce(F.struct(F.col("_own_key").alias("_key"), F.col("doc_id"), F.col("_size").alias("size")) <= F.col("_last"), F.lit(False))
