@@ -42,12 +42,16 @@ def bisect(points: DataFrame, axes: list[str], leaf_size: int, levels: int, stri
             axis = F.when(extent[i] == longest, i).otherwise(axis)
             mid = F.when(extent[i] == longest, (F.col(f"max_{axes[i]}") + F.col(f"min_{axes[i]}")) * 0.5).otherwise(mid)
         cut = box.filter((F.col("size") > leaf_size) & (longest > 0)).select("node", axis.alias("_axis"), mid.alias("_mid"))
+        # A level has at most 2^level clusters to cut.
         joined = now.join(F.broadcast(cut) if level < 12 else cut, "node", "left")
         value = F.lit(None).cast("double")
         for i, a in enumerate(axes):
             value = F.when(F.col("_axis") == i, F.col(a)).otherwise(value)
         right = (value > F.col("_mid")) if strictly_above_right else (value >= F.col("_mid"))
-        now = cut_lineage(joined.withColumn("node", F.when(F.col("_axis").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("int"))).select(*points.columns, "node"))
+        after = cut_lineage(joined.withColumn("node", F.when(F.col("_axis").isNull(), F.col("node")).otherwise(2 * F.col("node") + right.cast("int"))).select(*points.columns, "node"))
+        now, done = after, not after.filter(F.col("node") >= (2 << level)).limit(1).count()
+        if done:
+            break
     return now
 
 
@@ -141,7 +145,7 @@ def sparse_admissible(entries: DataFrame, sizes_row: DataFrame, sizes_col: DataF
     """
     measure = F.count(F.lit(1)) if by_count else F.least(F.count_distinct("row"), F.count_distinct("col"))
     counted = entries.groupBy("br", "bc").agg(measure.alias("measure"))
-    sized = counted.join(F.broadcast(sizes_row), "br").join(F.broadcast(sizes_col), "bc")
+    sized = counted.join(sizes_row, "br").join(sizes_col, "bc")
     limit = F.expr("CAST((m * n) DIV (2 * (m + n)) AS BIGINT)")
     return sized.withColumn("limit", limit).select("br", "bc", "measure", "limit", ((F.col("measure") < F.col("limit")) & (F.col("measure") <= n_most)).alias("admissible"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
 from ..session import table
-from . import linalg_queries as lq
 
 AXES = ["x", "y"]
 LEVELS, LEAF = 3, 50
@@ -72,18 +71,19 @@ def _blocks(s, d):
 
 
 def _binned(s, d):
-    """The entries of the matrix with blocks of 200 parts by 10 suppliers, and the blocks' extents."""
-    a = lq.matrix(s, d).withColumn("br", F.floor(F.col("row") / 200)).withColumn("bc", F.floor(F.col("col") / 10))
-    rows = table(s, d, "part").groupBy(F.floor(F.col("p_partkey") / 200).alias("br")).agg(F.count(F.lit(1)).alias("m"))
-    cols = table(s, d, "supplier").groupBy(F.floor(F.col("s_suppkey") / 10).alias("bc")).agg(F.count(F.lit(1)).alias("n"))
-    return a.filter("row % 20 = bc % 20"), rows, cols
+    """Orders by customers as a sparse matrix in blocks of 100 by 100, and the blocks' extents."""
+    o = table(s, d, "orders")
+    a = o.select(F.col("o_orderkey").alias("row"), F.col("o_custkey").alias("col"), F.floor(F.col("o_orderkey") / 100).alias("br"), F.floor(F.col("o_custkey") / 100).alias("bc"))
+    rows = o.groupBy(F.floor(F.col("o_orderkey") / 100).alias("br")).agg(F.count(F.lit(1)).alias("m"))
+    cols = table(s, d, "customer").groupBy(F.floor(F.col("c_custkey") / 100).alias("bc")).agg(F.count(F.lit(1)).alias("n"))
+    return a, rows, cols
 
 
 def _sparse_sql(measure: str) -> str:
-    return f"""WITH a AS (SELECT *, row // 200 AS br, col // 10 AS bc FROM {lq._A}), f AS (SELECT * FROM a WHERE row % 20 = bc % 20),
-        m AS (SELECT p_partkey // 200 AS br, count(*) AS m FROM part GROUP BY 1), n AS (SELECT s_suppkey // 10 AS bc, count(*) AS n FROM supplier GROUP BY 1),
+    return f"""WITH f AS (SELECT o_orderkey AS row, o_custkey AS col, o_orderkey // 100 AS br, o_custkey // 100 AS bc FROM orders),
+        m AS (SELECT o_orderkey // 100 AS br, count(*) AS m FROM orders GROUP BY 1), n AS (SELECT c_custkey // 100 AS bc, count(*) AS n FROM customer GROUP BY 1),
         c AS (SELECT br, bc, {measure} AS measure FROM f GROUP BY br, bc)
-        SELECT br, bc, measure, (m * n) // (2 * (m + n)) AS "limit", measure < (m * n) // (2 * (m + n)) AND measure <= 20 AS admissible FROM c JOIN m USING (br) JOIN n USING (bc)"""
+        SELECT br, bc, measure, (m * n) // (2 * (m + n)) AS "limit", measure < (m * n) // (2 * (m + n)) AND measure <= 8 AS admissible FROM c JOIN m USING (br) JOIN n USING (bc)"""
 
 
 QUERIES = {
@@ -99,8 +99,8 @@ QUERIES = {
         lambda s, d: cl.sparsity_constant(_blocks(s, d)),
         _block_sql() + ", r AS (SELECT count(*) AS n FROM blocks WHERE leaf GROUP BY r_node), c AS (SELECT count(*) AS n FROM blocks WHERE leaf GROUP BY c_node) SELECT (SELECT max(n) FROM r) AS csp_r, (SELECT max(n) FROM c) AS csp_c, greatest((SELECT max(n) FROM r), (SELECT max(n) FROM c)) AS csp",
     ),
-    "admissible_sparse_row_col": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 20), _sparse_sql("least(count(DISTINCT row), count(DISTINCT col))")),
-    "admissible_sparse_nnz": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 20, by_count=True), _sparse_sql("count(*)")),
+    "admissible_sparse_row_col": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 8), _sparse_sql("least(count(DISTINCT row), count(DISTINCT col))")),
+    "admissible_sparse_nnz": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 8, by_count=True), _sparse_sql("count(*)")),
     "renumber_partition": (
         lambda s, d: cl.renumber(points(s, d).withColumn("part", F.col("id") % 3), "part", ["id"]).select("id", "part", "pos"),
         "SELECT p_partkey AS id, p_partkey % 3 AS part, row_number() OVER (ORDER BY p_partkey % 3, p_partkey) - 1 AS pos FROM part",

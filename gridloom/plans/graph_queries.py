@@ -11,7 +11,7 @@ from ..session import table
 
 
 def edges(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "events").filter("event_id % 7 = 0")
+    e = table(s, d, "events")
     w = W.partitionBy("event_type", F.date_trunc("hour", "ts")).orderBy("ts", "event_id")
     pairs = e.select(F.col("user_id").alias("src"), F.lead("user_id").over(w).alias("dst")).filter("dst IS NOT NULL AND src <> dst")
     return gr.symmetric(pairs.groupBy("src", "dst").agg((F.lit(1) + (F.min("src") * 7 + F.min("dst") * 3) % 5).cast("double").alias("w")))
@@ -19,7 +19,7 @@ def edges(s: SparkSession, d: str) -> DataFrame:
 
 _E = """(SELECT src, dst, min(w) AS w FROM (
   SELECT src, dst, CAST(1 + (src * 7 + dst * 3) % 5 AS DOUBLE) AS w FROM p UNION ALL SELECT dst, src, CAST(1 + (src * 7 + dst * 3) % 5 AS DOUBLE) FROM p) GROUP BY src, dst)"""
-_WITH = f"""p AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events WHERE event_id % 7 = 0) WHERE dst IS NOT NULL AND src <> dst),
+_WITH = f"""p AS (SELECT DISTINCT src, dst FROM (SELECT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, date_trunc('hour', ts) ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst),
 e AS {_E}, v AS (SELECT DISTINCT src AS id FROM e), s0 AS (SELECT min(id) AS id FROM v)"""
 
 
@@ -49,8 +49,8 @@ QUERIES = {
         f"WITH RECURSIVE {_WITH}, r AS (SELECT id, 0 AS level FROM s0 UNION SELECT e.dst, r.level + 1 FROM r JOIN e ON e.src = r.id WHERE r.level < 12) SELECT id, min(level) AS level FROM r GROUP BY id",
     ),
     "connected_components": (
-        lambda s, d: gr.components(edges(s, d).filter("(src * dst) % 11 = 0")),
-        f"WITH RECURSIVE {_WITH}, f AS (SELECT src, dst FROM e WHERE (src * dst) % 11 = 0), r AS (SELECT src AS id, src AS reach FROM f UNION SELECT r.id, f.dst FROM r JOIN f ON f.src = r.reach) SELECT id, min(reach) AS component FROM r GROUP BY id",
+        lambda s, d: gr.components(edges(s, d).filter("w < 2")),
+        f"WITH RECURSIVE {_WITH}, f AS (SELECT src, dst FROM e WHERE w < 2), r AS (SELECT src AS id, src AS reach FROM f UNION SELECT r.id, f.dst FROM r JOIN f ON f.src = r.reach) SELECT id, min(reach) AS component FROM r GROUP BY id",
     ),
     "graph_connected": (
         lambda s, d: gr.is_connected(edges(s, d), _vertices(s, d)),
@@ -62,8 +62,8 @@ QUERIES = {
         f"WITH {_WITH}, {_relaxed(14)} SELECT id, dist FROM d14 ORDER BY dist, id LIMIT 10",
     ),
     "induced_subgraph": (
-        lambda s, d: gr.induced(edges(s, d), _vertices(s, d).filter("id % 3 <> 0")).select("src", "dst", "w"),
-        f"WITH {_WITH} SELECT src, dst, w FROM e WHERE src % 3 <> 0 AND dst % 3 <> 0",
+        lambda s, d: gr.induced(edges(s, d), _sides(s, d).filter("side = 1")).select("src", "dst", "w"),
+        f"WITH {_WITH} SELECT src, dst, w FROM e WHERE src % 5 >= 2 AND dst % 5 >= 2",
     ),
     "simple_separator": (
         lambda s, d: gr.simple_separator(edges(s, d).filter("w < 3"), _sides(s, d)),
@@ -77,8 +77,8 @@ QUERIES = {
             SELECT id, CAST(CASE WHEN n0 > n1 THEN 0 WHEN n0 < n1 THEN 1 ELSE id % 2 END AS INT) AS side FROM c""",
     ),
     "stencil_update": (
-        lambda s, d: gr.stencil_update(edges(s, d).select(F.col("src").alias("id"), F.col("dst").alias("nbr")), _vertices(s, d), _vertices(s, d).filter("id % 10 <> 0")),
-        f"WITH {_WITH} SELECT DISTINCT src AS id FROM e WHERE dst % 10 = 0",
+        lambda s, d: gr.stencil_update(edges(s, d).select(F.col("src").alias("id"), F.col("dst").alias("nbr")), _vertices(s, d), _sides(s, d).filter("side = 1")),
+        f"WITH {_WITH} SELECT DISTINCT src AS id FROM e WHERE dst % 5 < 2",
     ),
     "two_front_partition": (lambda s, d: gr.two_front_partition(edges(s, d), _vertices(s, d)), None),
 }

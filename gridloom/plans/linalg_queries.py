@@ -25,19 +25,31 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("v"))
 
 
-def _square(spark: SparkSession, d: str) -> DataFrame:
-    """The block of A with part and supplier keys of the same range: a square matrix."""
-    return matrix(spark, d).filter(F.col("row") < 100).filter(F.col("col") < 100)
+def n_suppliers(spark: SparkSession, d: str) -> int:
+    return table(spark, d, "supplier").count()
 
 
-_SQ = f"(SELECT * FROM {_A} WHERE row < 100 AND col < 100)"
+def square(spark: SparkSession, d: str) -> DataFrame:
+    """A square matrix of all of lineitem: suppliers by part keys modulo the number of suppliers."""
+    n = n_suppliers(spark, d)
+    return la.coo(table(spark, d, "lineitem"), F.col("l_suppkey"), F.col("l_partkey") % n, F.col("l_quantity"))
 
 
-def _permutation(spark: SparkSession) -> DataFrame:
-    return spark.range(100).select(F.col("id").alias("pos"), ((F.col("id") * 37 + 11) % 100).alias("idx"))
+_SQ = "(SELECT l_suppkey AS row, l_partkey % (SELECT count(*) FROM supplier) AS col, CAST(sum(l_quantity) AS DOUBLE) AS val FROM lineitem GROUP BY 1, 2)"
 
 
-_PERM = "(SELECT i AS pos, (i * 37 + 11) % 100 AS idx FROM range(100) t(i))"
+def _permutation(spark: SparkSession, d: str) -> DataFrame:
+    n = n_suppliers(spark, d)
+    return spark.range(n).select(F.col("id").alias("pos"), ((F.col("id") * 37 + 11) % n).alias("idx"))
+
+
+def _boundary(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers in debt, as the fixed unknowns."""
+    return table(spark, d, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("idx"), (F.col("s_suppkey") + 1).cast("double").alias("v"))
+
+
+_PERM = "(SELECT i AS pos, (i * 37 + 11) % (SELECT count(*) FROM supplier) AS idx FROM range((SELECT count(*) FROM supplier)) t(i))"
+_B = "(SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)"
 
 QUERIES = {
     "spmv": (
@@ -58,8 +70,8 @@ QUERIES = {
         f"SELECT a.col AS row, b.col AS col, sum(a.val * b.val) AS val FROM {_A} a JOIN {_A} b ON a.row = b.row GROUP BY a.col, b.col",
     ),
     "matrix_add_scaled": (
-        lambda s, d: la.add(_square(s, d), la.identity(s, 100), alpha=0.5),
-        f"SELECT row, col, sum(val) AS val FROM (SELECT row, col, val * 0.5::DOUBLE AS val FROM {_SQ} UNION ALL SELECT i, i, 1.0::DOUBLE FROM range(100) t(i)) GROUP BY row, col",
+        lambda s, d: la.add(square(s, d), la.identity(s, n_suppliers(s, d)), alpha=0.5),
+        f"SELECT row, col, sum(val) AS val FROM (SELECT row, col, val * 0.5::DOUBLE AS val FROM {_SQ} UNION ALL SELECT s_suppkey, s_suppkey, 1.0::DOUBLE FROM supplier) GROUP BY row, col",
     ),
     "matrix_scale": (lambda s, d: la.scale(matrix(s, d), 0.25), f"SELECT row, col, val * 0.25::DOUBLE AS val FROM {_A}"),
     "matrix_transpose": (lambda s, d: la.transpose(matrix(s, d)), f"SELECT col AS row, row AS col, val FROM {_A}"),
@@ -69,12 +81,12 @@ QUERIES = {
         f"SELECT row - 50 AS row, col - 10 AS col, val FROM {_A} WHERE row BETWEEN 50 AND 149 AND col BETWEEN 10 AND 49",
     ),
     "block_insert": (
-        lambda s, d: la.block_insert(_square(s, d), la.identity(s, 10), 100, 100),
-        f"SELECT row, col, val FROM {_SQ} UNION ALL SELECT i + 100, i + 100, 1.0::DOUBLE FROM range(10) t(i)",
+        lambda s, d: la.block_insert(square(s, d), la.identity(s, 10), n_suppliers(s, d), n_suppliers(s, d)),
+        f"SELECT row, col, val FROM {_SQ} UNION ALL SELECT i + (SELECT count(*) FROM supplier), i + (SELECT count(*) FROM supplier), 1.0::DOUBLE FROM range(10) t(i)",
     ),
-    "lower_triangle": (lambda s, d: la.triangle(_square(s, d)), f"SELECT * FROM {_SQ} WHERE row >= col"),
-    "upper_triangle_strict": (lambda s, d: la.triangle(_square(s, d), lower=False, strict=True), f"SELECT * FROM {_SQ} WHERE row < col"),
-    "matrix_diagonal": (lambda s, d: la.diagonal(_square(s, d)), f"SELECT row AS idx, val AS v FROM {_SQ} WHERE row = col"),
+    "lower_triangle": (lambda s, d: la.triangle(square(s, d)), f"SELECT * FROM {_SQ} WHERE row >= col"),
+    "upper_triangle_strict": (lambda s, d: la.triangle(square(s, d), lower=False, strict=True), f"SELECT * FROM {_SQ} WHERE row < col"),
+    "matrix_diagonal": (lambda s, d: la.diagonal(square(s, d)), f"SELECT row AS idx, val AS v FROM {_SQ} WHERE row = col"),
     "dot": (
         lambda s, d: la.dot(la.spmv(matrix(s, d), suppliers(s, d)), parts(s, d)),
         f"SELECT sum(y.v * p.v) AS dot FROM (SELECT a.row AS idx, sum(a.val * x.v) AS v FROM {_A} a JOIN {_X} x ON a.col = x.idx GROUP BY a.row) y JOIN {_P} p USING (idx)",
@@ -87,20 +99,17 @@ QUERIES = {
     "frobenius_sq": (lambda s, d: la.norms(matrix(s, d), "val"), f"SELECT sum(val * val) AS norm2_sq, max(abs(val)) AS norm_inf FROM {_A}"),
     "row_sums": (lambda s, d: la.row_sums(matrix(s, d)), f"SELECT row, sum(val) AS row_sum, count(*) AS n_entries FROM {_A} GROUP BY row"),
     "dirichlet_eliminate": (
-        lambda s, d: la.eliminate(_square(s, d), suppliers(s, d).filter(F.col("idx") % 7 == 0)),
-        f"SELECT * FROM {_SQ} WHERE row NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) AND col NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0)",
+        lambda s, d: la.eliminate(square(s, d), _boundary(s, d)),
+        f"SELECT * FROM {_SQ} WHERE row NOT IN {_B} AND col NOT IN {_B}",
     ),
     "rhs_correction": (
-        lambda s, d: la.rhs_correction(_square(s, d), parts(s, d).filter(F.col("idx") < 100), suppliers(s, d).filter((F.col("idx") % 7 == 0) & (F.col("idx") < 100))),
-        f"""SELECT p.idx, p.v - coalesce(c.v, 0) AS v FROM (SELECT * FROM {_P} WHERE idx < 100) p
-            LEFT JOIN (SELECT a.row AS idx, sum(a.val * x.v) AS v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx WHERE x.idx % 7 = 0 GROUP BY a.row) c USING (idx)
-            WHERE p.idx NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0 AND s_suppkey < 100)
-            UNION ALL
-            SELECT a.row AS idx, -sum(a.val * x.v) AS v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx WHERE x.idx % 7 = 0
-            AND a.row NOT IN (SELECT idx FROM {_P}) AND a.row NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 7 = 0) GROUP BY a.row""",
+        lambda s, d: la.rhs_correction(square(s, d), suppliers(s, d), _boundary(s, d)),
+        f"""SELECT x.idx, x.v - coalesce(c.v, 0) AS v FROM {_X} x
+            LEFT JOIN (SELECT a.row AS idx, sum(a.val * x.v) AS v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx WHERE x.idx IN {_B} GROUP BY a.row) c USING (idx)
+            WHERE x.idx NOT IN {_B}""",
     ),
     "permute_coo": (
-        lambda s, d: la.permute(_square(s, d), _permutation(s)),
+        lambda s, d: la.permute(square(s, d), _permutation(s, d)),
         f"SELECT r.pos AS row, c.pos AS col, val FROM {_SQ} a JOIN {_PERM} r ON a.row = r.idx JOIN {_PERM} c ON a.col = c.idx",
     ),
     "relative_error_norms": (
@@ -110,21 +119,23 @@ QUERIES = {
         f"SELECT round(sqrt(sum(pow(v * 1.25 - v, 2)) / sum(v * v)), 6) AS rel_l2, round(max(abs(v * 1.25 - v)), 6) AS abs_linf FROM {_P}",
     ),
     "saddle_matvec": (
-        # [A G; D C] on (u, p): A the square block, G its first ten columns, D their transpose, C the identity.
+        # [A G; D C] on (u, p): A square, G its columns of suppliers in debt, D their transpose, C the identity.
         lambda s, d: _saddle(s, d),
-        f"""SELECT idx, sum(v) AS v FROM (
-              SELECT a.row AS idx, a.val * x.v AS v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx
-              UNION ALL SELECT a.row, a.val * x.v FROM {_SQ} a JOIN {_X} x ON a.col = x.idx WHERE a.col < 10
-              UNION ALL SELECT a.col + 100, a.val * x.v FROM {_SQ} a JOIN {_X} x ON a.row = x.idx WHERE a.col < 10
-              UNION ALL SELECT idx + 100, v FROM {_X} WHERE idx < 10) GROUP BY idx""",
+        f"""WITH n AS (SELECT count(*) AS n FROM supplier), a AS (SELECT * FROM {_SQ}), x AS (SELECT * FROM {_X})
+            SELECT idx, sum(v) AS v FROM (
+              SELECT a.row AS idx, a.val * x.v AS v FROM a JOIN x ON a.col = x.idx
+              UNION ALL SELECT a.row, a.val * x.v FROM a JOIN x ON a.col = x.idx WHERE a.col IN {_B}
+              UNION ALL SELECT a.col + n, a.val * x.v FROM a JOIN x ON a.row = x.idx, n WHERE a.col IN {_B}
+              UNION ALL SELECT idx + n, v FROM x, n WHERE idx IN {_B}) GROUP BY idx""",
     ),
 }
 
 
 def _saddle(spark: SparkSession, d: str) -> DataFrame:
-    a = _square(spark, d)
-    g = a.filter(F.col("col") < 10)
-    shifted = la.block_insert(a, g, 0, 100).unionByName(la.transpose(g).select((F.col("row") + 100).alias("row"), "col", "val"))
-    whole = shifted.unionByName(la.identity(spark, 10).select((F.col("row") + 100).alias("row"), (F.col("col") + 100).alias("col"), "val"))
-    x = suppliers(spark, d).filter(F.col("idx") < 100)
-    return la.spmv(whole, x.unionByName(x.filter(F.col("idx") < 10).select((F.col("idx") + 100).alias("idx"), "v")))
+    a, n, fixed = square(spark, d), n_suppliers(spark, d), _boundary(spark, d)
+    g = a.join(fixed.select(F.col("idx").alias("col")), "col", "left_semi").select("row", "col", "val")
+    moved = fixed.select((F.col("idx") + n).alias("idx"), "v")
+    c = moved.select(F.col("idx").alias("row"), F.col("idx").alias("col"), F.lit(1.0).alias("val"))
+    d_block = la.transpose(g).select((F.col("row") + n).alias("row"), "col", "val")
+    whole = la.block_insert(a, g, 0, n).unionByName(d_block).unionByName(c)
+    return la.spmv(whole, suppliers(spark, d).unionByName(moved))

@@ -58,8 +58,8 @@ QUERIES = {
         "SELECT l_partkey AS row, CAST(sum(l_quantity) AS DOUBLE) AS val FROM lineitem WHERE l_suppkey = 3 GROUP BY l_partkey ORDER BY val DESC, row LIMIT 1",
     ),
     "checkpoint_durations": (
-        lambda s, d: od.history_durations(table(s, d, "events").filter("user_id < 40").select(F.col("user_id").alias("run"), F.col("event_id").cast("string").alias("label"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))),
-        "SELECT user_id AS run, CAST(event_id AS VARCHAR) AS label, epoch_us(ts) - coalesce(lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)), epoch_us(ts)) AS lap, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS total FROM events WHERE user_id < 40",
+        lambda s, d: od.history_durations(table(s, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").cast("string").alias("label"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))),
+        "SELECT user_id AS run, CAST(event_id AS VARCHAR) AS label, epoch_us(ts) - coalesce(lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, CAST(event_id AS VARCHAR)), epoch_us(ts)) AS lap, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS total FROM events",
     ),
 }
 

@@ -24,24 +24,24 @@ QUERIES = {
     "filter_indices": (lambda s, d: rg.filter_indexes(_sizes(s, d), F.col("v") > 25), f"SELECT idx FROM {_P} WHERE v > 25"),
     "element_map": (lambda s, d: _sizes(s, d).select("idx", (F.col("v") * F.col("v") + 1).alias("v")), f"SELECT idx, v * v + 1 AS v FROM {_P}"),
     "gather": (
-        lambda s, d: rg.gather(_sizes(s, d), s.range(300).select(F.col("id").alias("ord"), ((F.col("id") * 7) % 100).alias("idx"))).select("ord", "idx", "v"),
-        f"SELECT i AS ord, (i * 7) % 100 AS idx, v FROM range(300) t(i) JOIN {_P} p ON p.idx = (i * 7) % 100",
+        lambda s, d: rg.gather(_sizes(s, d), table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_partkey").alias("idx"))).select("ord", "idx", "v"),
+        f"SELECT l_orderkey * 10 + l_linenumber AS ord, idx, v FROM lineitem JOIN {_P} p ON p.idx = l_partkey",
     ),
     "scatter": (
-        lambda s, d: rg.scatter(_sizes(s, d), rg.seq(s, 0, 100, 3).select("idx", (-F.col("idx")).alias("v"))),
-        f"SELECT idx, CASE WHEN idx < 100 AND idx % 3 = 0 THEN -idx ELSE v END AS v FROM {_P}",
+        lambda s, d: rg.scatter(_sizes(s, d), table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), (-F.col("s_suppkey")).alias("v"))),
+        f"SELECT idx, coalesce(-s_suppkey, v) AS v FROM {_P} LEFT JOIN supplier ON s_suppkey = idx",
     ),
     "remove_indices": (
-        lambda s, d: rg.remove(_sizes(s, d), rg.seq(s, 0, 1000, 5)),
-        f"SELECT row_number() OVER (ORDER BY idx) - 1 AS idx, v FROM {_P} WHERE NOT (idx < 1000 AND idx % 5 = 0)",
+        lambda s, d: rg.remove(_sizes(s, d), table(s, d, "part").filter("p_retailprice > 1200").select(F.col("p_partkey").alias("idx"))),
+        "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS idx, CAST(p_size AS BIGINT) AS v FROM part WHERE NOT p_retailprice > 1200",
     ),
     "range_join": (
-        lambda s, d: rg.concatenated(_sizes(s, d).filter("idx < 50"), _sizes(s, d).filter("idx < 20"), 50),
-        f"SELECT idx, v FROM {_P} WHERE idx < 50 UNION ALL SELECT idx + 50, v FROM {_P} WHERE idx < 20",
+        lambda s, d: rg.concatenated(_sizes(s, d), table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_nationkey").cast("long").alias("v")), table(s, d, "part").count()),
+        f"SELECT idx, v FROM {_P} UNION ALL SELECT s_suppkey + (SELECT count(*) FROM part), CAST(s_nationkey AS BIGINT) FROM supplier",
     ),
     "index_complement": (
-        lambda s, d: rg.complement(s, _sizes(s, d).filter("v > 10").select("idx"), 100, 500),
-        f"SELECT i AS idx FROM range(100, 600) t(i) WHERE i NOT IN (SELECT idx FROM {_P} WHERE v > 10)",
+        lambda s, d: rg.complement(s, _sizes(s, d).filter("v > 10").select("idx"), 0, table(s, d, "part").count()),
+        f"SELECT i AS idx FROM range((SELECT count(*) FROM part)) t(i) WHERE i NOT IN (SELECT idx FROM {_P} WHERE v > 10)",
     ),
     "sorted_intersection": (
         lambda s, d: rg.ordered_intersection(_sizes(s, d), s.range(10, 30).select(F.col("id").alias("v"))).select("idx", "v"),
@@ -52,8 +52,8 @@ QUERIES = {
         f"SELECT idx, v FROM {_P} WHERE v BETWEEN 10 AND 29 ORDER BY idx LIMIT 25",
     ),
     "subset_test": (
-        lambda s, d: rg.is_subset(table(s, d, "lineitem").select(F.col("l_suppkey").alias("k")), table(s, d, "supplier").filter("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("k")), "k"),
-        "SELECT count(*) = 0 AS subset, count(*) AS n_missing FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) WHERE k NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)",
+        lambda s, d: rg.is_subset(table(s, d, "lineitem").select(F.col("l_suppkey").alias("k")), table(s, d, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("k")), "k"),
+        "SELECT count(*) = 0 AS subset, count(*) AS n_missing FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) WHERE k NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     ),
     "linear_index": (
         lambda s, d: s.range(120).select(
