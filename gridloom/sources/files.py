@@ -31,12 +31,12 @@ def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     skip = 1 if len(head[0]["line"].split()) > 1 else 2
     n_v, n_f = int(counts[0]), int(counts[1])
     parts = ordered.withColumn("t", F.split("line", r"\s+"))
-    vertices = parts.filter(F.col("n").between(skip, skip + n_v - 1)).select((F.col("n") - skip).cast("long").alias("id"), F.transform(F.slice("t", 1, 3), lambda c: c.cast("double")).alias("x"))
-    size = F.col("t")[0].cast("int")
+    vertices = parts.filter(F.col("n").between(skip, skip + n_v - 1)).select((F.col("n") - skip).cast("long").alias("id"), F.transform(F.slice("t", 1, 3), lambda c: c.try_cast("double")).alias("x"))
+    size = F.expr("try_cast(get(t, 0) AS INT)")
     faces = parts.filter(F.col("n").between(skip + n_v, skip + n_v + n_f - 1)).select(
         (F.col("n") - skip - n_v).cast("long").alias("id"),
-        F.transform(F.slice("t", F.lit(2), size), lambda c: c.cast("long")).alias("v"),
-        F.when(F.size("t") >= size + 4, F.transform(F.slice("t", size + 2, F.lit(3)), lambda c: c.cast("int"))).alias("colour"),
+        F.transform(F.slice("t", F.lit(2), size), lambda c: c.try_cast("long")).alias("v"),
+        F.when(F.size("t") >= size + 4, F.transform(F.slice("t", size + 2, F.lit(3)), lambda c: c.try_cast("int"))).alias("colour"),
     )
     return vertices, faces
 

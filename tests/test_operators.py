@@ -17,7 +17,7 @@ def dense(df, n, m):
 
 
 def coo(spark, a):
-    return spark.createDataFrame([(i, j, float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "row long, col long, val double")
+    return spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "row long, col long, val double")
 
 
 def spd(n=30, seed=0):
@@ -144,7 +144,7 @@ def test_operators_reproduce_polynomials(spark):
     field = nodes.select(F.col("id").alias("idx"), (F.col("x")[0] * F.col("x")[1] + F.col("x")[2] ** 2).alias("v"))
     assert all(abs(r["v"] - 2) < 1e-6 for r in pde.apply(w, "lap", field).collect())
     assert all(abs(r["v"] - 1) < 1e-6 for r in pde.apply(w, "d01", field).collect())
-    rotating = nodes.select(F.col("id").alias("idx"), F.explode(F.array(F.struct(F.lit(0).alias("axis"), (-F.col("x")[1]).alias("v")), F.struct(F.lit(1), F.col("x")[0]), F.struct(F.lit(2), F.lit(0.0)))).alias("f")).select("idx", "f.*")
+    rotating = nodes.select(F.col("id").alias("idx"), F.explode(F.array(*[F.struct(F.lit(i).alias("axis"), c.alias("v")) for i, c in enumerate((-F.col("x")[1], F.col("x")[0], F.lit(0.0)))])).alias("f")).select("idx", "f.*")
     assert all(abs(r["v"] - 2 * (r["axis"] == 2)) < 1e-6 for r in pde.curl(w, rotating).collect())
     assert all(abs(r["v"]) < 1e-6 for r in pde.divergence(w, rotating).collect())
     wls = pde.weights(spatial.knn(nodes, nodes, 25), nodes, ["lap"], method="wls")
