@@ -40,7 +40,7 @@ def n_words(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """Square of the share of characters that aren't symbols or digits; 0.0001 at least."""
-    clean = F.length(F.translate(text, JUNK, "")) / F.length(text)
+    clean = F.try_divide(F.length(F.translate(text, JUNK, "")), F.length(text))
     return F.greatest(F.coalesce(clean * clean, F.lit(0.0001)), F.lit(0.0001))
 
 

@@ -8,7 +8,7 @@ SQL["op8_mixing"] = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
          -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-           / greatest(coalesce(pow(length(translate(text, '#*$%&|<>{}\^~0123456789', ''))::DOUBLE / length(text), 2), 0.0001), 0.0001) AS k
+           / greatest(coalesce(pow(length(translate(text, '#*$%&|<>{}\^~0123456789', ''))::DOUBLE / nullif(length(text), 0), 2), 0.0001), 0.0001) AS k
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM s),
