@@ -39,6 +39,10 @@ def is_connected(edges: DataFrame, vertices: DataFrame) -> DataFrame:
     return vertices.select("id").distinct().join(reached, "id", "left_anti").agg((F.count(F.lit(1)) == 0).alias("connected"))
 
 
+#: Edges of a checkpoint file of `components`.
+EDGES_PER_FILE = 500_000
+
+
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(src, dst) -> (id, component): the smallest id each one reaches, for all ids in edges.
 
@@ -46,6 +50,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     edges, which shrink towards one edge from each id to its component.
     """
     now = cut_lineage(edges.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+    n = now.count()
     for _ in range(most_rounds):
         # Large-star: the larger neighbours of u go to the least of u and its neighbours.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -55,12 +60,13 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = cut_lineage(small)
+        now = cut_lineage(small.coalesce(n // EDGES_PER_FILE + 1))
         # Stars: nobody's centre has a centre, and nobody has two.
         stars = now.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("u").alias("d")).first()
         chained = now.select(F.col("v").alias("x")).join(now.select(F.col("u").alias("x")), "x", "left_semi").limit(1).count()
         if stars["n"] == stars["d"] and not chained:
             break
+        n = stars["n"]
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -40,7 +40,7 @@ def cut_lineage(df: DataFrame, partitions_per_file: int = 0) -> DataFrame:
     and tiny.
     """
     spark = df.sparkSession
-    if partitions_per_file and (n := df.rdd.getNumPartitions()) > 4 * partitions_per_file:
+    if partitions_per_file and (n := df.rdd.getNumPartitions()) > partitions_per_file:
         df = df.repartition(-(-n // partitions_per_file))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
