@@ -42,7 +42,7 @@ def held_out(doc_id: Column) -> Column:
 class WordHash(dict):
     """64-bit hashes of byte strings, remembered for the frequent ones; at most `most` entries are held."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 100_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 

@@ -204,12 +204,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, group_ro
     bounds = members.groupBy("grp").agg(F.count(F.lit(1)).alias("g_rows"), F.sum("n_shingles").alias("g_shingles"))
     members = cut_lineage(members.join(bounds, "grp").select("id", "grp", "degree", "n_shingles", "g_rows", "g_shingles"))
 
-    sets = _with_sets(docs, members, width)
     is_large = (F.col("g_rows") > group_rows) | (F.col("g_shingles") > group_shingles)
-    sets = cut_lineage(sets)
-    links = _settle_small(sets.filter(~is_large), percent)
+    links = _settle_small(_with_sets(docs, members.filter(~is_large), width), percent)
     if members.filter(is_large).limit(1).count():
-        links = links.unionByName(_settle_large(sets.filter(is_large), percent, group_rows, group_shingles))
+        sets = cut_lineage(_with_sets(docs, members.filter(is_large), width), partitions_per_file=8)
+        links = links.unionByName(_settle_large(sets, percent, group_rows, group_shingles))
     linked = components(links.unionByName(repeated))
     joined = sketched.join(linked, sketched["doc_id"] == linked["id"], "left")
     component = F.coalesce("component", "doc_id")

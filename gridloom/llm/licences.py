@@ -97,7 +97,7 @@ def scan(docs: DataFrame) -> DataFrame:
             F.when(F.col("_marked"), digest(F.col("_text"))).alias("_whole"),
             F.when(F.col("_marked"), F.transform(F.filter(F.split("_text", "\n"), _marked), digest)).alias("_lines"),
         ),
-        partitions_per_file=16,
+        partitions_per_file=8,
     )
     known = F.broadcast(known_digests(docs.sparkSession))
     units = compact.filter(F.col("_whole").isNotNull()).select(

@@ -83,7 +83,7 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
 
 def _placed(docs: DataFrame, weights: tuple[float, ...], total: float, most: float, seed: str) -> DataFrame:
     """Per row: its size and key, its source's size, target, epochs and what is left to sample, and the words before it by key."""
-    rows = cut_lineage(_keyed(docs, seed), partitions_per_file=16).withColumn("_b", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS))
+    rows = cut_lineage(_keyed(docs, seed), partitions_per_file=8).withColumn("_b", F.floor((1 - F.exp(-F.col("_key"))) * BUCKETS))
     per_bucket = rows.groupBy("source", "_b").agg(F.sum("size").alias("_n"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, total, most)

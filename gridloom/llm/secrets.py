@@ -71,7 +71,7 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_reposito
     `_spans` has the base spans, and the opaque ones whose value looks live; `_live` has
     the spans of `_spans` whose value isn't a widely copied example.
     """
-    compact = cut_lineage(_candidates(docs), partitions_per_file=16)
+    compact = cut_lineage(_candidates(docs), partitions_per_file=8)
     examples = ownership(compact).filter((F.col("owners") >= example_owners) & (F.col("repositories") >= example_repositories)).select("value")
     held = compact.filter(F.size("_all") > 0).select("doc_id", "_repo", F.explode(F.expr("array_distinct(transform(_all, s -> s.value))")).alias("value"))
     copied = held.join(examples, "value").groupBy(F.col("doc_id").alias("_id"), F.col("_repo").alias("_r")).agg(F.collect_set("value").alias("_copied"))
