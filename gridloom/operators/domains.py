@@ -159,7 +159,8 @@ def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_00
             v: int | None = end
             while v is not None:
                 u = came[v]
-                v, mate[v] = (back.get(u) if u != start else None), u
+                mate[v] = u
+                v = back.get(u) if u != start else None
     matched = set(mate.values())
     reach, front = set(u for u in near if u not in matched), [u for u in near if u not in matched]
     hit: set[int] = set()

@@ -230,3 +230,79 @@ def test_positions(spark):
     got = ranges.remove(df, spark.createDataFrame([(0,), (50,)], "idx long")).orderBy("idx").collect()
     assert [r["idx"] for r in got] == list(range(98)) and got[0]["v"] == 10
     assert [r["v"] for r in ranges.renumbered(df.filter("idx % 3 = 0"), width=7).orderBy("idx").collect()] == [i * 10 for i in range(0, 100, 3)]
+
+
+def test_minimum_separator_is_least(spark):
+    from gridloom.operators import domains
+
+    rng = np.random.default_rng(3)
+    for _ in range(3):
+        pairs = {(int(a), 100 + int(b)) for a, b in zip(rng.integers(0, 8, 14), rng.integers(0, 8, 14), strict=True)}
+        e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double")
+        sides = spark.createDataFrame([(i, 0) for i in range(8)] + [(100 + i, 1) for i in range(8)], "id long, side int")
+        cover = {r["id"] for r in domains.minimum_separator(e, sides).collect()}
+        assert all(a in cover or b in cover for a, b in pairs)
+        least = min((bin(m).count("1") + len({b for a, b in pairs if not m >> a & 1}) for m in range(256)))
+        assert len(cover) == least
+
+
+def test_dissection_separates(spark):
+    from gridloom.operators import domains
+
+    n = 12
+    points = spark.range(n * n).select("id", F.floor(F.col("id") / n).cast("double").alias("a"), (F.col("id") % n).cast("double").alias("b"))
+    at = lambda i, j: i * n + j
+    e = [(at(i, j), at(k, m), 1.0) for i in range(n) for j in range(n) for k, m in ((i + 1, j), (i, j + 1), (i - 1, j), (i, j - 1)) if 0 <= k < n and 0 <= m < n]
+    got = {r["id"]: (r["node"], r["separator"]) for r in domains.nested_dissection(points, spark.createDataFrame(e, "src long, dst long, w double"), ["a", "b"], 2, 10).collect()}
+    assert len(got) == n * n
+    up = lambda x, y: x == y or any(x >> k == y or y >> k == x for k in range(1, 8))
+    assert all(up(got[s][0], got[t][0]) for s, t, _ in e if not got[s][1] and not got[t][1])
+    assert all(up(got[s][0], got[t][0]) for s, t, _ in e)
+
+
+def test_relaxation_spreads_nodes(spark):
+    from gridloom.operators import domains
+
+    rng = np.random.default_rng(5)
+    rows = [(i, p.tolist(), 1) for i, p in enumerate(rng.random((60, 2)))]
+    nodes = spark.createDataFrame(rows, "id long, x array<double>, type int")
+    moved = domains.relax(nodes, 4, 4, 0.3, pde.in_box(F.col("x"), [0, 0], [1, 1]))
+    before, after = (spatial.spacing(n.select("id", "x")).first()["min_dist"] for n in (nodes, moved))
+    x = np.array([r["x"] for r in moved.collect()])
+    assert after > before and x.min() > 0 and x.max() < 1
+
+
+def test_refinement_adds_middles(spark):
+    from gridloom.operators import domains
+
+    nodes = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, [5.0, 0.0])], "id long, x array<double>")
+    got = domains.refine(nodes, F.col("x")[0] < 2, 1, 0.4, 10).collect()
+    assert [(r["id"], r["x"]) for r in got] == [(10, [0.5, 0.0])]
+
+
+def test_volume_of_a_tetrahedron(spark):
+    from gridloom.operators import domains
+
+    v = spark.createDataFrame([(0, [0.0, 0.0, 0.0]), (1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0])], "id long, x array<double>")
+    f = spark.createDataFrame([(0, [0, 2, 1]), (1, [0, 1, 3]), (2, [0, 3, 2]), (3, [1, 2, 3])], "id long, v array<long>")
+    r = domains.polyhedron_volume_moments(v, f).first()
+    assert abs(r["volume"] - 1 / 6) < 1e-12 and all(abs(r[f"m{d}"] - 1 / 24) < 1e-12 for d in range(3))
+
+
+def test_h_matrix_arithmetic(spark):
+    from gridloom.operators import cluster
+
+    x = np.linspace(0, 1, 120)
+    pts = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, a double")
+    b = cluster.bisect(pts, ["a"], 16, 6)
+    blocks = cluster.block_tree(cluster.tree(b, ["a"]), ["a"], "two_min", 1.0)
+    kernel = lambda p, q: 1.0 / (0.1 + np.abs(p[:, None, 0] - q[None, :, 0]))
+    h = lowrank.build(b.select("id", "node", F.array("a").alias("x")), blocks, kernel, 1e-10)
+    dense_h = kernel(x[:, None], x[:, None])
+    v = np.cos(np.arange(120.0))
+    vec = spark.createDataFrame([(i, float(c)) for i, c in enumerate(v)], "idx long, v double")
+    for m, factor in ((h, 1.0), (lowrank.add(h, h, 1e-10), 2.0), (lowrank.scale(h, -3.0), -3.0), (lowrank.recompress(h, 1e-9), 1.0)):
+        got = {r["idx"]: r["v"] for r in lowrank.h_matvec(m, vec).collect()}
+        assert np.allclose([got[i] for i in range(120)], factor * dense_h @ v, atol=1e-5)
+    s = lowrank.storage(h).first()
+    assert s["max_rank"] < 16 and s["dense_bytes"] + s["lowrank_bytes"] < 8 * 120 * 120
