@@ -25,6 +25,7 @@ from __future__ import annotations
 import functools
 import zlib
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,15 @@ SHARD_ROWS, SHARD_TOKENS = 1024, 1_500_000
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 #: Characters of remembered words.
-REMEMBERED = 6_000_000
+REMEMBERED = 5_000_000
 
 
 class WordIds:
     """Token ids of whole texts, kept by word as little-endian 16-bit numbers (32-bit for larger vocabularies).
 
     The tokenizer never merges across white space, nor across the border of letters and
-    punctuation, and it ignores case; so the ids of a word that ends in a full stop or comma are
-    those of its letters and of the mark. New words of letters only are encoded many at a time: each
+    punctuation, and it ignores case; so the ids of a word that ends in punctuation are
+    those of its letters and of the marks. New words of letters only are encoded many at a time: each
     of them ends with the one token that has the word-end suffix.
     """
 
@@ -63,7 +64,6 @@ class WordIds:
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
-        self.marks = {m: self._plain([m])[0] for m in ".,"}
 
     def _plain(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -78,18 +78,20 @@ class WordIds:
         return [flat[i * size : j * size] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
 
     def _learn(self, words: list[str]) -> None:
+        """Words of letters with marks after them take the ids of the letters and of the run of marks."""
         known = self.known
-        marked = [w for w in words if w[-1] in self.marks and w[:-1].isalpha()]
-        bare = {w[:-1] for w in marked}
-        bare.update(w for w in words if w.isalpha())
-        letters = [w for w in bare if w not in known]
-        others = list(set(words).difference(marked, bare))
-        for encode, some in ((self._letters, letters), (self._plain, others)):
+        bare = [w.rstrip(punctuation) for w in words]
+        split = [(w, b, w[len(b) :]) for w, b in zip(words, bare, strict=True) if b.isalpha()]
+        letters = {b for _, b, _ in split}.difference(known)
+        others = {m for _, _, m in split}.difference(known)
+        others.update(w for w, b in zip(words, bare, strict=True) if not b.isalpha())
+        for encode, some in ((self._letters, list(letters)), (self._plain, list(others))):
             for i in range(0, len(some), 2000):
                 part = some[i : i + 2000]
                 known.update(zip(part, encode(part), strict=True))
-        for w in marked:
-            known[w] = known[w[:-1]] + self.marks[w[-1]]
+        for w, b, m in split:
+            if m:
+                known[w] = known[b] + known[m]
         self.held += sum(map(len, words))
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
