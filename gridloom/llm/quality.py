@@ -51,14 +51,21 @@ CASE WHEN n_words >= 5 THEN
   transform(sequence(0, size(_words) - 5), i -> xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2), get(_words, i + 3), get(_words, i + 4)))
 ELSE array() END"""
 
+#: What a failing line has is looked for in the whole text first (the flags), so texts without it, nearly all, skip the rule.
+_FLAGS = {
+    "_barred": "contains(_text, '|') OR contains(_text, '»') OR contains(_text, '→')",
+    "_loud": "contains(_text, '!')",
+    "_capital": "regexp_like(_text, '[A-Z]{2}')",
+    "_stock": " OR ".join(f"contains(_lower, '{p}')" for p in STOCK_PHRASES),
+}
 _LINE_FAILS = f"""
-  length(l) - length(translate(l, '{SYMBOLS}', '')) > length(l) * {MAX_SYMBOL_PERCENT} / 100.0
-  OR 2 * (length(l) - length(translate(l, '!', ''))) > regexp_count(l, '{WORD}') AND l LIKE '%!%!%'
-  OR NOT rlike(l, '[.!?:;…"”’»)]\\\\s*$') AND regexp_count(l, '{WORD}') < 3
-  OR length(l) - length(translate(l, '|»→', '')) >= 3
-  OR rlike(l, r'{_MENU}')
-  OR rlike(l, '{_STOCK}')
-  OR rlike(l, '[A-Z]{{2}}') AND length(regexp_replace(l, '[^A-Z]+', '')) > 5 AND 2 * length(regexp_replace(l, '[^A-Z]+', '')) > length(regexp_replace(l, '[^A-Za-z]+', ''))
+  n_symbols > 0 AND length(l) - length(translate(l, '{SYMBOLS}', '')) > length(l) * {MAX_SYMBOL_PERCENT} / 100.0
+  OR _loud AND l LIKE '%!%!%' AND 2 * (length(l) - length(translate(l, '!', ''))) > regexp_count(l, '{WORD}')
+  OR instr('.!?:;…"”’»)', right(trim(TRAILING ' \t\r' FROM l), 1)) = 0 AND regexp_count(l, '{WORD}') < 3
+  OR _barred AND length(l) - length(translate(l, '|»→', '')) >= 3
+  OR regexp_like(l, r'{_MENU}')
+  OR _stock AND regexp_like(l, '{_STOCK}')
+  OR _capital AND regexp_like(l, '[A-Z]{{2}}') AND length(regexp_replace(l, '[^A-Z]+', '')) > 5 AND 2 * length(regexp_replace(l, '[^A-Z]+', '')) > length(regexp_replace(l, '[^A-Za-z]+', ''))
 """
 
 
@@ -72,11 +79,13 @@ def judge(docs: DataFrame, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFram
         "_text",
         "_words",
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.when(F.rlike("_text", F.lit("[#*$%&|<>]")), F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).otherwise(0).cast("long").alias("n_symbols"),
+        F.lower("_text").alias("_lower"),
         F.filter(F.split("_text", "\n"), lambda x: F.rlike(x, F.lit(WORD))).alias("_lines"),
     )
-    windows = counted.withColumn("_wins", F.expr(_WINDOWS)).withColumn("_unique", F.array_distinct("_lines"))
+    flags = {name: F.expr(sql) for name, sql in _FLAGS.items()}
+    windows = counted.withColumn("_wins", F.expr(_WINDOWS)).withColumn("_unique", F.array_distinct("_lines")).withColumns(flags)
     judged = windows.select(
         "doc_id",
         "n_words",
