@@ -9,6 +9,12 @@ packing      the pieces of training sequences
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of `docs`. Whoever runs the stages writes each result before
 the next one reads it, as run() does in the checkpoint folder.
+
+Defined cases, for each stage: null and empty texts are clean, are nobody's
+copies, have no secrets and pack as the end id alone; of rows that repeat an id
+near_dedup keeps one, rows without an id all stay; documents without words take
+no part in a mix's budget but follow its order; empty tables give empty results;
+other columns are passed on, whatever their names.
 """
 
 from __future__ import annotations

@@ -26,6 +26,15 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """Each row as one struct `_row`, so that columns of any names can pass through an operator's joins."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+
+
+def unwrapped(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col("_row")[c].alias(c) for c in columns])
+
+
 def small_batches(spark: SparkSession, rows: int = 1024) -> None:
     """Bound what one Arrow batch of whole texts holds, however long the texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import cut_lineage
-from .common import WordHash, shingle_hashes, small_batches, utf8
+from .common import WordHash, shingle_hashes, small_batches, unwrapped, utf8, wrapped
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 48, 8
@@ -295,9 +295,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     odd = cut_lineage(counts.filter((F.col("_rows") > 1) | ~F.col("_kept")).withColumnRenamed("doc_id", "_odd"))
     if odd.count() <= BROADCAST_ROWS:
         odd = F.broadcast(odd)
-    joined = docs.join(odd, F.col("doc_id") == F.col("_odd"), "left")
-    once = joined.filter(F.col("_odd").isNull()).select(*docs.columns)
+    joined = wrapped(docs).join(odd, F.col("_row.doc_id") == F.col("_odd"), "left")
+    once = joined.filter(F.col("_odd").isNull())
     # Rows that repeat an id are one node of a group: one of them stays, the one of the smallest text.
-    again = joined.filter(F.col("_kept") & (F.col("_rows") > 1)).select(*docs.columns)
-    first = again.withColumn("_at", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).filter(F.col("_at") == 1).drop("_at")
-    return once.unionByName(first)
+    again = joined.filter(F.col("_kept") & (F.col("_rows") > 1))
+    first = again.withColumn("_at", F.row_number().over(W.partitionBy("_row.doc_id").orderBy("_row.text"))).filter(F.col("_at") == 1).drop("_at")
+    return unwrapped(once.unionByName(first), docs.columns)

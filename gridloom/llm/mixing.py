@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import WORD
+from .common import WORD, unwrapped, wrapped
 
 #: Ranges of the key within a source; the windows of the prefix sum have one each.
 BUCKETS = 4096
@@ -121,8 +121,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float =
     found = last.limit(BROADCAST_SOURCES + 1).collect()
     if len(found) <= BROADCAST_SOURCES:
         last = F.broadcast(docs.sparkSession.createDataFrame(found, last.schema))
-    own = docs.select("*", n_words(F.col("text")).alias("_size"), (-F.log(uniform(F.col("doc_id"), seed)) / quality_weight(F.col("text"))).alias("_own_key"))
-    joined = own.join(last, F.col("source").eqNullSafe(F.col("_ts")))
-    sampled = F.coalesce(F.struct(F.col("_own_key").alias("_key"), F.col("doc_id"), F.col("_size").alias("size")) <= F.col("_last"), F.lit(False))
-    copies = F.col("_epochs") + F.when(sampled, 1).otherwise(0)
-    return joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    text, doc_id = F.col("_row.text"), F.col("_row.doc_id")
+    own = wrapped(docs).withColumn("_own", F.struct((-F.log(uniform(doc_id, seed)) / quality_weight(text)).alias("_key"), doc_id.alias("doc_id"), n_words(text).alias("size")))
+    joined = own.join(last, F.col("_row.source").eqNullSafe(F.col("_ts")))
+    copies = F.col("_epochs") + F.coalesce(F.col("_own") <= F.col("_last"), F.lit(False)).cast("int")
+    repeated = joined.withColumn("_copies", copies).filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return unwrapped(repeated, docs.columns)

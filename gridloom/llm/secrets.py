@@ -19,11 +19,12 @@ an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 from . import spans
+from .common import wrapped
 
 KINDS = ["assign", "access", "hex", "opaque"]
 #: A value in at least so many owners and repositories is a widely copied example.
@@ -111,11 +112,6 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     size = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_live")), F.lit(0))).first()
     if size[0] <= BROADCAST_ROWS and size[1] <= 4 * BROADCAST_ROWS:
         live = F.broadcast(live)
-    own = docs.withColumn("_repo", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = own.join(live, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_repo") == F.col("_r")), "left")
-    put = spans.replaced(text, "_live", KINDS)
-    out: list[Column] = [F.when(F.col("_live").isNull(), F.col(text)).otherwise(put).alias(c) if c == text else F.col(c) for c in docs.columns]
-    changed = joined.select(*out, F.col("_live").isNotNull().alias("_changed"))
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("_changed"), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.drop("_changed")
+    own = wrapped(docs).withColumn("_text", F.col("_row")[text]).withColumn("_repo", F.xxhash64(F.coalesce("_text", F.lit(""))))
+    joined = own.join(live, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.col("_repo") == F.col("_r")), "left")
+    return spans.with_replaced(joined, docs, text, "_live", KINDS)

@@ -7,7 +7,7 @@ at the matches too, and the lengths of the pieces add up to the places.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<start:int,end:int,kind:int,value:string>>"
@@ -17,16 +17,16 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find(text: str, kind: int, pattern: str, valid: str = "true", value_group: int = 0, first: str | None = None) -> Column:
-    """All leftmost, non-overlapping matches of a Java pattern in the column `text`.
+def find_sql(text: str, kind: int, pattern: str, valid: str = "true", value_group: int = 0, first: str | None = None) -> str:
+    """SQL of all leftmost, non-overlapping matches of a Java pattern in the expression `text`.
 
-    `valid` is SQL over `m` (the match) and `v` (its value group); matches that fail are dropped
+    `valid` is SQL over $m (the match) and $v (its value group); matches that fail are dropped
     after they were matched. `first` is a cheap condition that every text with a match meets.
     """
     p = _quoted(pattern)
     met = f"regexp_like({text}, {p})" if first is None else f"({first}) AND regexp_like({text}, {p})"
     valid = valid.replace("$m", "x.`1`").replace("$v", "x.`2`")
-    return F.expr(f"""
+    return f"""
       CASE WHEN {met} THEN
         aggregate(
           arrays_zip(split({text}, {p}, -1), regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {value_group})),
@@ -37,7 +37,12 @@ def find(text: str, kind: int, pattern: str, valid: str = "true", value_group: i
               concat(a.found, array(named_struct('start', a.at + length(x.`0`), 'end', a.at + length(x.`0`) + length(x.`1`), 'kind', {kind}, 'value', x.`2`))),
               a.found)),
           a -> a.found)
-      ELSE CAST(array() AS {SPAN}) END""")
+      ELSE CAST(array() AS {SPAN}) END"""
+
+
+def find(text: str, kind: int, pattern: str, valid: str = "true", value_group: int = 0, first: str | None = None) -> Column:
+    """find_sql as a Column."""
+    return F.expr(find_sql(text, kind, pattern, valid, value_group, first))
 
 
 def in_order(*found: Column) -> Column:
@@ -74,3 +79,17 @@ def replaced(text: str, spans: str, names: list[str]) -> Column:
             'at', greatest(a.at, s.end),
             'out', IF(s.start >= a.at, concat(a.out, substring({text}, a.at + 1, s.start - a.at), {kinds}[s.kind]), a.out)),
           a -> concat(a.out, substring({text}, a.at + 1))) END""")
+
+
+def with_replaced(joined: DataFrame, docs: DataFrame, text: str, spans: str, names: list[str]) -> DataFrame:
+    """The rows of `joined` (_row, _text and a column of spans or null) with the columns of `docs`, the text replaced and its n_chars set anew."""
+    done = joined.withColumn("_new", F.when(F.col(spans).isNotNull(), replaced("_text", spans, names)))
+    out = []
+    for c in docs.columns:
+        own = F.col("_row")[c]
+        if c == text:
+            own = F.coalesce("_new", own)
+        elif c == "n_chars":
+            own = F.coalesce(F.length("_new").cast(docs.schema[c].dataType), own)
+        out.append(own.alias(c))
+    return done.select(*out)

@@ -78,6 +78,24 @@ def test_odd_and_empty_tables(spark, odd_rows, name):
     assert ALL[name](docs(spark, odd_rows).limit(0)).count() == 0
 
 
+CLASHING = "_id _r _live _repo _spans _odd _rows _kept _at _own _new _row2 _ts _epochs _last _copies _copy _t _key size id band grp head component digest score n score_ taken kept spans value term entity".split()
+
+
+@pytest.mark.parametrize("name", ["keep_one", "redact", "sanitise", "mixed", "keep_clean", *sorted(set(ALL) - {"keep_one", "redact", "sanitise", "mixed"})])
+def test_clashing_columns(spark, odd_rows, name):
+    plain = docs(spark, [*odd_rows, (50, "token = abcdefgh12345 and me@x.org", "en", "a")])
+    clashing = plain.withColumns({c: F.lit(7) for c in CLASHING})
+    model = (np.zeros(0, np.int32), np.zeros(0, np.float32), -1.0)
+    run = (lambda d: toxicity.keep_clean(d, model)) if name == "keep_clean" else ALL[name]
+    got = run(clashing)
+    if name in ("keep_one", "redact", "sanitise", "mixed", "keep_clean"):
+        assert got.columns == clashing.columns and all(r["_id"] == 7 and r["grp"] == 7 for r in got.collect())
+        got = got.select(plain.columns)
+    as_rows = lambda df: Counter(map(repr, df.collect()))
+    if name != "packing":
+        assert as_rows(got) == as_rows(run(plain))
+
+
 def test_toxicity_odd_and_empty_tables(spark, odd_rows):
     labels = spark.createDataFrame([(1, 1), (1, 0), (6, None), (None, 1), (99, 1)], "doc_id long, toxic int")
     found = toxicity.classify(docs(spark, odd_rows), labels).collect()
