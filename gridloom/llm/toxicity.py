@@ -32,9 +32,9 @@ SLOT_BITS = 20
 #: Labelled rows the model learns from, at most (in the mean; texts up to LONGEST characters).
 SAMPLE = 8000
 LONGEST = 40_000
-EPOCHS, ALPHA, BETA, L2 = 10, 3.0, 1.0, 0.1
-#: The L1 penalty and the documents a feature must stand in grow with the sample, down to a floor.
-L1_SHARE, LEAST_L1, SEEN_SHARE, LEAST_SEEN = 1 / 533, 6.0, 1 / 600, 3
+EPOCHS, ALPHA, BETA, L2 = 10, 2.0, 1.0, 0.1
+#: The L1 penalty and the documents a feature must stand in grow with the sample.
+L1_SHARE, LEAST_L1, SEEN_SHARE, LEAST_SEEN = 1 / 1000, 8.0, 1 / 450, 3
 #: Toxic texts are the fewer: each counts so many times.
 POSITIVE_WEIGHT = 6.0
 #: Share of the slots that may have a weight; what is broadcast can't be larger.
@@ -85,7 +85,7 @@ class FTRL:
 
 def fit(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
     """Slots with a weight, their weights, and the bias."""
-    model = FTRL(l1=max(LEAST_L1, len(labels) * L1_SHARE))
+    model = FTRL(l1=LEAST_L1 + len(labels) * L1_SHARE)
     if features:
         seen = np.bincount(np.concatenate(features), minlength=1 << SLOT_BITS)
         features = [f[seen[f] >= max(LEAST_SEEN, len(labels) * SEEN_SHARE)] for f in features]
