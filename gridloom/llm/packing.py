@@ -36,10 +36,10 @@ from .common import small_batches
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_TOKENS = 1024, 1_500_000
-QUERY_TERMS = 32
+QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Characters of remembered words.
-REMEMBERED = 5_000_000
+REMEMBERED = 6_000_000
 
 
 class WordIds:
@@ -55,22 +55,29 @@ class WordIds:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.full = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        # For runs of lower-case Latin-1 letters the normalizer and the splitting pattern change nothing.
+        self.short = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
         self.held = 0
 
+    def _encode(self, texts: list[str], steps: tuple) -> list[np.ndarray]:
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = steps
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _plain(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [x.tobytes() for x in self._encode(words, self.full)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters, encoded as one text of many words."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        """Ids of words of lower-case Latin-1 letters, encoded as one text of many words."""
+        (ids,) = self._encode([" ".join(words)], self.short)
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) != len(words):  # a vocabulary without that suffix
             return self._plain(words)
@@ -81,17 +88,18 @@ class WordIds:
         """Words of letters with marks after them take the ids of the letters and of the run of marks."""
         known = self.known
         bare = [w.rstrip(punctuation) for w in words]
-        split = [(w, b, w[len(b) :]) for w, b in zip(words, bare, strict=True) if b.isalpha()]
-        letters = {b for _, b, _ in split}.difference(known)
-        others = {m for _, _, m in split}.difference(known)
-        others.update(w for w, b in zip(words, bare, strict=True) if not b.isalpha())
-        for encode, some in ((self._letters, list(letters)), (self._plain, list(others))):
+        marked = [(w, b) for w, b in zip(words, bare, strict=True) if b is not w and b != w and b.isalpha()]
+        plain = [w for w, b in zip(words, bare, strict=True) if b == w or not b.isalpha()]
+        bases = {b for _, b in marked}.difference(known)
+        bases.update(w for w in plain if w.isalpha())
+        letters = [b for b in bases if b.islower() and (b.isascii() or max(b) <= "ÿ")]
+        others = {w[len(b) :] for w, b in marked}.difference(known)
+        others.update(bases.difference(letters), (w for w in plain if not w.isalpha()))
+        for encode, some in ((self._letters, letters), (self._plain, list(others))):
             for i in range(0, len(some), 2000):
                 part = some[i : i + 2000]
                 known.update(zip(part, encode(part), strict=True))
-        for w, b, m in split:
-            if m:
-                known[w] = known[b] + known[m]
+        known.update([(w, known[b] + known[w[len(b) :]]) for w, b in marked])
         self.held += sum(map(len, words))
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
@@ -132,15 +140,14 @@ class Index:
     def nearest(self, query: np.ndarray, unused: np.ndarray) -> list[int]:
         """Unused documents by falling score for the query's rarest terms that others have too."""
         query = np.unique(query)
-        at = np.searchsorted(self.terms, query)
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], query, assume_unique=True) & (self.df[at] > 1)]
+        at = np.minimum(np.searchsorted(self.terms, query), len(self.terms) - 1)
+        at = at[(self.terms[at] == query) & (self.df[at] > 1)]
         if len(at) > QUERY_TERMS:
-            at = at[np.argsort(-self.idf[at], kind="stable")[:QUERY_TERMS]]
+            at = at[np.argpartition(self.df[at], QUERY_TERMS)[:QUERY_TERMS]]
         if not len(at):
             return []
-        where = np.concatenate([np.arange(self.start[i], self.start[i + 1]) for i in at])
-        score = np.bincount(self.doc[where], self.weight[where], self.n)
+        parts = [slice(i, j) for i, j in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True)]
+        score = np.bincount(np.concatenate([self.doc[p] for p in parts]), np.concatenate([self.weight[p] for p in parts]), self.n)
         score[~unused] = 0
         found = np.flatnonzero(score)
         return found[np.argsort(-score[found], kind="stable")].tolist()
