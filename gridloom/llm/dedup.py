@@ -118,6 +118,7 @@ def _sketches(width: int):
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
+        _words().clear()  # workers outlive their tasks
 
     return run
 

@@ -39,7 +39,7 @@ SHARD_ROWS, SHARD_TOKENS = 1024, 1_500_000
 QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Characters of remembered words.
-REMEMBERED = 6_000_000
+REMEMBERED = 5_000_000
 
 
 class WordIds:
@@ -255,5 +255,6 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             packer.shard(ids, held)
         packer.finish()
         yield taken()
+        words.known, words.held = {"": b""}, 0  # workers outlive their tasks
 
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)

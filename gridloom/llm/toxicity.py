@@ -164,5 +164,6 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thr
                 found = np.unique(found[dense[found] != 0])
                 kept.append(float(dense[found].sum(dtype=np.float64)) < limit)
             yield b.filter(pa.array(kept, pa.bool_()))
+        _words().clear()  # workers outlive their tasks
 
     return docs.mapInArrow(run, docs.schema)
