@@ -2,19 +2,24 @@
 
 The base finds addresses, numbers and hosts by pattern: they are the protected
 entities. Sanitisation then asks the corpus which terms reveal an entity: for a
-term t in the words around a mention of the entity e, with counts n(t), n(e),
-n(t, e) of N documents, the disclosure is
+term t of a document that holds the entity e, with counts n(t), n(e), n(t, e)
+of N documents, the disclosure is
 
     log(n(t, e) N / (n(t) n(e))) / log(N / n(e)),
 
 the pointwise mutual information as a share of all there is to learn about e: 1
 if t only stands where e is. Terms at DISCLOSURE or more, seen with e in at
-least SUPPORT distinct texts, become spans too and are put as <TERM>.
-
-One pass writes a compact row for each document; n(t) takes a second pass over
-the whole texts, but only terms that SUPPORT texts have beside an entity are
-counted there. Those are broadcast if there are at most BROADCAST_TERMS of
-them; beyond that the words are counted before they are shuffled and joined.
+least SUPPORT distinct texts, become spans too, wherever they stand in a text
+that holds e, and are put as <TERM>. A term is a run of letters, marks and
+digits of any length that no base span touches.
+
+One pass finds the base spans. Only entities that SUPPORT texts hold can have
+such terms, so only texts that hold one of these are read again for their terms.
+n(t) takes a pass over all texts, for the terms that SUPPORT of those texts
+have; terms too frequent for any entity (a bound that follows from n(t, e) <=
+n(e)) are dropped before terms and entities are paired. Tables for these passes
+are broadcast if they have at most BROADCAST_TERMS rows; beyond that the words
+are counted before they are shuffled and joined.
 
 Defined cases: null texts are empty and have no spans; repeated rows each get
 their own result, and count as one text towards SUPPORT; an empty table gives
@@ -35,10 +40,6 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 DISCLOSURE = 0.9
 #: Distinct texts that must have the term beside the entity.
 SUPPORT = 2
-#: Code points looked at on each side of a mention.
-NEAR = 64
-#: Letters of a term at most, where it reaches beyond NEAR.
-LONGEST_TERM = 40
 #: Terms up to which their table is broadcast: 16 bytes each.
 BROADCAST_TERMS = 2_000_000
 
@@ -46,50 +47,63 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-_TERM = r"\p{L}{4,}+"
+#: Letters, marks and digits of base spans are put as this while terms are looked for; no term holds it.
+_HIDDEN = "\ue000"
+_TERM = r"[\p{L}\p{M}\p{N}\x{E000}]++"
 _IP_VALID = "forall(split($m, '[.]'), p -> length(ltrim('0', p)) <= 3 AND CAST(concat('0', substring(ltrim('0', p), 1, 3)) AS INT) <= 255)"
 _DIGITS = "regexp_replace($m, '[^0-9]', '')"
 _LUHN = f"""length({_DIGITS}) BETWEEN 14 AND 19 AND aggregate(
   transform(split(reverse({_DIGITS}), ''), (c, i) -> IF(i % 2 = 0, int(c), IF(int(c) > 4, 2 * int(c) - 9, 2 * int(c)))), 0, (s, d) -> s + d) % 10 = 0"""
 
 
-def _mentions(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, base spans, and (entity, term, start, end) of the terms around them, per row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text"))
+def _based(rows: DataFrame) -> DataFrame:
+    """`rows` (with _text) and the base spans _b."""
+    own = rows.columns
     found = rows.select(
-        "doc_id",
-        "_text",
+        *own,
         spans.find("_text", 0, _EMAIL, first="contains(_text, '@')").alias("_email"),
         spans.find("_text", 1, _IP, _IP_VALID).alias("_ip"),
         spans.find("_text", 2, _CARD, _LUHN).alias("_card"),
         spans.find("_text", 3, _PHONE, f"length({_DIGITS}) BETWEEN 10 AND 15", first="contains(_text, '+')").alias("_phone"),
     )
-    based = found.select("doc_id", "_text", F.concat("_email", "_ip", "_card", "_phone").alias("_b"))
-    # Terms are looked for in a snippet around each mention, not in the whole text: those that stand
-    # whole in it, within NEAR of the mention and outside all spans.
-    wide = NEAR + LONGEST_TERM
-    snippets = f"transform(_b, e -> named_struct('e', e, 'at', greatest(0, e.start - {wide}), 'snip', substring(_text, greatest(0, e.start - {wide}) + 1, e.end + {wide} - greatest(0, e.start - {wide}))))"
-    near = f"""
-      flatten(transform({snippets}, s -> transform(
-        filter({spans.find_sql("s.snip", 4, _TERM)}, t ->
-          (t.start > 0 OR s.at = 0) AND (t.end < length(s.snip) OR s.at + t.end = _length)
-          AND s.at + t.start <= s.e.end + {NEAR} AND s.at + t.end >= s.e.start - {NEAR}
-          AND NOT exists(_b, b -> b.start < s.at + t.end AND s.at + t.start < b.end)),
-        t -> named_struct('entity', xxhash64(s.e.kind, lower(s.e.value)), 'term', xxhash64(lower(t.value)), 'start', s.at + t.start, 'end', s.at + t.end))))"""
-    none = "CAST(array() AS array<struct<entity:bigint,term:bigint,start:int,end:int>>)"
-    return based.withColumn("_length", F.length("_text")).select(
+    return found.select(*own, F.concat("_email", "_ip", "_card", "_phone").alias("_b"))
+
+
+def _mentions(docs: DataFrame) -> DataFrame:
+    """doc_id, digest of the text and base spans, with the entity's hash as value, per row."""
+    based = _based(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")))
+    return based.select(
         "doc_id",
         F.xxhash64("_text").alias("_repo"),
         F.expr("transform(_b, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'value', CAST(xxhash64(s.kind, lower(s.value)) AS STRING)))").alias("_b"),
-        F.expr(f"CASE WHEN size(_b) > 0 THEN {near} ELSE {none} END").alias("_near"),
     )
 
 
+def _outside(rows: DataFrame) -> DataFrame:
+    """`rows` with _open for _text: the text with its base spans hidden, of the same length and with the same words."""
+    hidden = f"regexp_replace(substring(_text, greatest(a.at, s.start) + 1, s.end - greatest(a.at, s.start)), '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]', '{_HIDDEN}')"
+    opened = F.expr(f"""
+      aggregate({spans.by_start_sql("_b")}, named_struct('at', 0, 'out', ''),
+        (a, s) -> named_struct('at', greatest(a.at, s.end),
+          'out', concat(a.out, IF(s.start > a.at, substring(_text, a.at + 1, s.start - a.at), ''), IF(s.end > a.at, {hidden}, ''))),
+        a -> concat(a.out, substring(_text, a.at + 1)))""")
+    based = _based(rows)
+    return based.select(*rows.columns, opened.alias("_open")).drop("_text")
+
+
+def _terms(text: str) -> str:
+    """SQL of the hashes of the distinct terms of a text."""
+    return f"array_distinct(transform(filter(regexp_extract_all({text}, {spans._quoted(_TERM)}, 0), w -> NOT contains(w, '{_HIDDEN}')), w -> xxhash64(lower(w))))"
+
+
+def _semi(rows: DataFrame, wanted: DataFrame, key: str, most: int) -> DataFrame:
+    """The rows whose key is in `wanted`, which is broadcast if it has `most` rows at most."""
+    return rows.join(F.broadcast(wanted) if wanted.limit(most + 1).count() <= most else wanted, key, "left_semi")
+
+
 def _term_counts(docs: DataFrame, wanted: DataFrame, broadcast_terms: int) -> DataFrame:
     """term -> n_t, the documents that have the wanted terms anywhere in their text."""
-    if not wanted.limit(1).count():
-        return wanted.withColumn("n_t", F.lit(0).cast("long"))
-    words = docs.select(F.explode(F.expr(f"array_distinct(transform(regexp_extract_all(lower(_text), {spans._quoted(_TERM)}, 0), w -> xxhash64(w)))")).alias("term"))
+    words = docs.select(F.explode(F.expr(_terms("_text"))).alias("term"))
     if wanted.count() <= broadcast_terms:
         return words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(wanted, "term", "left_semi")
@@ -101,31 +115,52 @@ def _counted(rows: DataFrame, keys: list[str], name: str, support: int) -> DataF
     return texts.filter(F.col("_texts") >= support).drop("_texts")
 
 
-def disclosing(docs: DataFrame, mentions: DataFrame, disclosure: float, support: int, broadcast_terms: int) -> DataFrame:
-    """(entity, term, disclosure) of the terms that give an entity away."""
+def disclosing(docs: DataFrame, mentions: DataFrame, disclosure: float, support: int, broadcast_terms: int) -> DataFrame | None:
+    """(_repo, term) of the terms that give an entity of a text away, by text; None if no entity has the support.
+
+    docs: doc_id, _repo and _text.
+    """
+    n = float(max(mentions.count(), 1))
     seen = mentions.filter(F.size("_b") > 0)
     entities = seen.select("_repo", F.explode(F.expr("array_distinct(transform(_b, s -> CAST(s.value AS BIGINT)))")).alias("entity"))
-    n_e = _counted(entities, ["entity"], "n_e", support)
-    pairs = seen.select("_repo", F.explode(F.expr("array_distinct(transform(_near, x -> named_struct('entity', x.entity, 'term', x.term)))")).alias("p")).select("_repo", "p.*")
-    both = cut_lineage(_counted(pairs, ["entity", "term"], "n_te", support).join(n_e, "entity"))
-    n = F.lit(float(max(mentions.count(), 1)))
-    counts = _term_counts(docs, both.select("term").distinct(), broadcast_terms)
-    learned = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    return both.join(counts, "term").withColumn("disclosure", learned / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))).filter(F.col("disclosure") >= disclosure).select("entity", "term", "disclosure")
+    n_e = cut_lineage(_counted(entities, ["entity"], "n_e", support))
+    if not n_e.limit(1).count():
+        return None
+    held = cut_lineage(entities.distinct().join(n_e, "entity"))
+    opened = _outside(_semi(docs.select("_repo", "_text"), held.select("_repo").distinct(), "_repo", broadcast_terms))
+    # _n rows have the same text; they are one row from here on.
+    terms = cut_lineage(opened.select("_repo", F.explode(F.expr(_terms("_open"))).alias("term")).groupBy("_repo", "term").agg(F.count(F.lit(1)).alias("_n")))
+    wanted = cut_lineage(terms.groupBy("term").agg(F.count(F.lit(1)).alias("_texts")).filter(F.col("_texts") >= support).select("term"))
+    # disclosure >= d means n_t <= n_te (N / n_e)^(1 - d), and n_te is n_e at most.
+    most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(max(0.0, 1 - disclosure))) * (1 + 1e-6)
+    bound = n_e.agg(F.max(most)).first()[0]
+    counts = cut_lineage(_term_counts(docs.select("_text"), wanted, broadcast_terms).filter(F.col("n_t") <= bound))
+    pairs = terms.join(counts, "term").join(held, "_repo").filter(F.col("n_t") <= most)
+    both = pairs.groupBy("entity", "term").agg(F.sum("_n").alias("n_te"), F.count(F.lit(1)).alias("_texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).filter(F.col("_texts") >= support)
+    learned = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
+    given = cut_lineage(both.filter(learned >= disclosure).select("entity", "term"))
+    return cut_lineage(terms.select("_repo", "term").join(given, "term").join(held.select("_repo", "entity"), ["_repo", "entity"], "left_semi").select("_repo", "term").distinct())
 
 
 def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """doc_id, _repo, the base spans and all spans, sorted, per row of `docs`."""
     mentions = cut_lineage(_mentions(docs), partitions_per_file=8)
-    texts = docs.select(F.coalesce("text", F.lit("")).alias("_text"))
-    given_away = disclosing(texts, mentions, disclosure, support, broadcast_terms).select("entity", "term")
-    near = mentions.filter(F.size("_near") > 0).select("doc_id", "_repo", F.explode("_near").alias("x")).select(F.col("doc_id").alias("_id"), F.col("_repo").alias("_r"), "x.*")
-    found = near.join(given_away, ["entity", "term"]).groupBy("_id", "_r").agg(F.collect_set(F.struct("start", "end", F.lit(4).alias("kind"), F.lit("").alias("value"))).alias("_t"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("_text")).withColumn("_repo", F.xxhash64("_text"))
+    given_away = disclosing(texts, mentions, disclosure, support, broadcast_terms)
+    base = spans.by_start_then_kind("_b").alias("_base")
+    if given_away is None:
+        return mentions.select("doc_id", "_repo", base, spans.by_start_then_kind("_b").alias("_spans"))
+    # The terms of a text in one row; each of their occurrences outside base spans is a span.
+    told = given_away.groupBy("_repo").agg(F.collect_set("term").alias("_given"))
+    told = F.broadcast(told) if given_away.limit(broadcast_terms + 1).count() <= broadcast_terms else told
+    places = F.expr(f"transform({spans.find_sql('_open', 4, _TERM, 'array_contains(_given, xxhash64(lower($m)))')}, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'value', ''))")
+    found = _outside(texts.join(told, "_repo")).select(F.col("doc_id").alias("_id"), F.col("_repo").alias("_r"), places.alias("_t"))
+    found = found.groupBy("_id", "_r").agg(F.first("_t").alias("_t"))  # repeated rows
     joined = mentions.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_repo") == F.col("_r")), "left")
     return joined.select(
         "doc_id",
         "_repo",
-        spans.by_start_then_kind("_b").alias("_base"),
+        base,
         spans.by_start_then_kind(f"concat(_b, coalesce(_t, CAST(array() AS {spans.SPAN})))").alias("_spans"),
     )
 

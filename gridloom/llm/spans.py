@@ -56,14 +56,19 @@ def listed(spans: str, names: list[str]) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat({kinds}[s.kind], ':', s.start, ':', s.end)), ',')")
 
 
-def by_start_then_kind(spans: str) -> Column:
-    """The spans of a column sorted by start, then kind (the struct's own order would put the end first)."""
-    return F.expr(
+def by_start_sql(spans: str) -> str:
+    """SQL of the spans of a column sorted by start, then kind (the struct's own order would put the end first)."""
+    return (
         f"transform(sort_array(transform({spans}, s -> named_struct('start', s.start, 'kind', s.kind, 'end', s.end, 'value', s.value))), "
         "s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'value', s.value))"
     )
 
 
+def by_start_then_kind(spans: str) -> Column:
+    """by_start_sql as a Column."""
+    return F.expr(by_start_sql(spans))
+
+
 def count(spans: str, kind: int) -> Column:
     return F.expr(f"CAST(size(filter({spans}, s -> s.kind = {kind})) AS BIGINT)")
 

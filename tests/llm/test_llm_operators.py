@@ -282,6 +282,37 @@ def test_disclosing_terms(spark):
     assert far.filter("exists(_spans, s -> s.kind = 4)").count() == 4
 
 
+@pytest.mark.parametrize("broadcast_terms", [0, 1000])
+def test_disclosing_terms_of_whole_texts(spark, broadcast_terms):
+    """Far from the mention, short, with digits, and each occurrence; against brute force."""
+    far = ["Kim", "A7", "zebulon", "x1@y.org"]
+    rows = [(i, f"{far[0]} {prose(i, 40)} {far[2]} {prose(i + 20, 60)} zeb@mail.org, {prose(i + 40, 60)} {far[1]} KIM call+1 555 555 0100", "en", "a") for i in range(4)]
+    rows += [(10, f"x1@y.org {prose(7, 30)} wrote", "en", "a"), (11, f"{prose(8, 30)} x1@y.org kim1.2.3.4", "en", "a"), (12, rows[0][1], "en", "b"), (12, rows[0][1], "en", "b")]
+    rows += [(100 + i, prose(i, 50) + " wrote call", "en", "a") for i in range(60)]
+    got = {i: r[0] for i, r in by_id(pii.scan(docs(spark, rows), broadcast_terms=broadcast_terms)).items()}
+
+    words, outside, held = {}, {}, {}
+    for i, text, _, _ in rows:
+        base = [(s["start"], s["end"], s["kind"], text[s["start"] : s["end"]].lower()) for s in got[i]["_base"]]
+        found = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]+", text)]
+        words[i], held[i] = {w for _, _, w in found}, {(k, v) for _, _, k, v in base}
+        outside[i] = [(a, b, w) for a, b, w in found if not any(a < e and s < b for s, e, _, _ in base)]
+    n, text_of = len(rows), {i: t for i, t, _, _ in rows}
+    ids = [i for i, *_ in rows]
+    want = defaultdict(set)
+    for e in set().union(*held.values()):
+        has = [i for i in ids if e in held[i]]
+        for w in {w for i in has for _, _, w in outside[i]}:
+            both = [i for i in has if any(w == x for _, _, x in outside[i])]
+            n_t = sum(w in words[i] for i in ids)
+            if len({text_of[i] for i in both}) >= 2 and np.log(len(both) * n / (n_t * len(has))) >= 0.9 * np.log(n / len(has)):
+                for i in both:
+                    want[i].update((a, b) for a, b, x in outside[i] if x == w)
+    assert {text_of[0][a:b] for a, b in want[0]} == {"Kim", "KIM", "A7", "zebulon"}
+    for i in text_of:
+        assert {(s["start"], s["end"]) for s in got[i]["_spans"] if s["kind"] == 4} == want[i], i
+
+
 def _brute_components(rows, width, percent):
     sets, up = {}, {}
     for i, text, _, _ in rows:
