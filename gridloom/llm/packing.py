@@ -3,12 +3,11 @@
 A partition's documents pass through in shards of at most SHARD_ROWS documents
 and about SHARD_TOKENS tokens. Each shard has an inverted index with BM25
 weights over token ids. A seed document opens a window of WINDOW tokens; the
-unused documents nearest to it by its QUERY_TERMS rarest terms fill the window,
-the last of them is cut, and what is left of it opens the next window as its
-seed. Where the index returns nothing unused, the next document in order comes.
-An open window is carried into the next shard, and only the end of a partition
-leaves one: its tokens go to sequences of falling powers of two, which need no
-padding.
+unused documents nearest to it by all its terms fill the window, the last of
+them is cut, and what is left of it opens the next window as its seed. Where the
+index returns nothing unused, the next document in order comes. An open window
+is carried into the next shard, and only the end of a partition leaves one: its
+tokens go to sequences of falling powers of two, which need no padding.
 
 It is one narrow pass: texts are tokenized and packed where they are read, with
 no shuffle and no state beyond a shard. Token ids are looked up by word, as the
@@ -36,7 +35,6 @@ from .common import small_batches
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_TOKENS = 1024, 1_500_000
-QUERY_TERMS = 24
 K1, B = 1.2, 0.75
 #: Characters of remembered words.
 REMEMBERED = 5_000_000
@@ -138,12 +136,10 @@ class Index:
         self.df, self.n = df, len(docs)
 
     def nearest(self, query: np.ndarray, unused: np.ndarray) -> list[int]:
-        """Unused documents by falling score for the query's rarest terms that others have too."""
+        """Unused documents by falling score for all terms of the query that others have too."""
         query = np.unique(query)
         at = np.minimum(np.searchsorted(self.terms, query), len(self.terms) - 1)
         at = at[(self.terms[at] == query) & (self.df[at] > 1)]
-        if len(at) > QUERY_TERMS:
-            at = at[np.argpartition(self.df[at], QUERY_TERMS)[:QUERY_TERMS]]
         if not len(at):
             return []
         parts = [slice(i, j) for i, j in zip(self.start[at].tolist(), self.start[at + 1].tolist(), strict=True)]

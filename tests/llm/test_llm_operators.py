@@ -179,6 +179,27 @@ def test_bm25_returns_the_lexical_neighbour():
     assert index.nearest(a[1], np.array([True, False, True, False])) == []
 
 
+def test_bm25_scores_all_terms_of_the_query():
+    """More than 24 rare terms are shared with one document, and other documents share only the more frequent ones."""
+    a = [np.arange(60), np.arange(30), np.arange(30, 60), np.arange(40, 60), np.arange(100, 140)]
+    a += [np.random.default_rng(i).integers(0, 200, 50) for i in range(20)]
+    a = [x.astype("<u4") for x in a]
+    counts, mean = [Counter(x.tolist()) for x in a], np.mean([len(x) for x in a])
+
+    def score(i):
+        total = 0.0
+        for t in set(counts[0]) & set(counts[i]):
+            df = sum(t in c for c in counts)
+            norm = packing.K1 * (1 - packing.B + packing.B * len(a[i]) / mean)
+            total += np.log(1 + (len(a) - df + 0.5) / (df + 0.5)) * counts[i][t] * (packing.K1 + 1) / (counts[i][t] + norm)
+        return total
+
+    want = sorted((i for i in range(1, len(a)) if score(i) > 0), key=lambda i: -score(i))
+    assert packing.Index(a).nearest(a[0], np.arange(len(a)) > 0) == want
+    short = packing.Index(a[:4])
+    assert short.nearest(a[0], np.arange(4) > 0) == [1, 2, 3] and packing.Index(a[:3]).nearest(a[0], np.arange(3) > 0) == [1, 2]
+
+
 def test_toxicity_learns_on_the_other_folds(spark):
     r = random.Random(4)
     rows, labels = [], []
