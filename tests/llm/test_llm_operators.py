@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -435,6 +437,22 @@ def test_licences(spark):
     assert [(r["whole_text"], r["licences"], r["n_notices"]) for r in got[3]] == [(None, "MIT", 1)] * 2
 
 
+def test_licence_files(spark):
+    """Files as they are found: title, copyright line and body, wrapped; bulleted; complete texts with and without their appendix."""
+    texts = {name: text for name, text in licences.KNOWN[:5]}
+    wrapped = {k: "\n".join(textwrap.wrap(v, 76)) for k, v in texts.items()}
+    head = "\n\nCopyright (c) 2020 Someone\n\n"
+    isc = texts["ISC"].replace("the above copyright", "the above\ncopyright").replace("copies. THE", "copies.\n\nTHE")
+    complete = {f.stem: f.read_text() for f in (Path(licences.__file__).parent / "licence_texts").glob("*.txt")}
+    rows = [("MIT", "MIT License" + head + wrapped["MIT"]), ("MIT", "The MIT License (MIT)" + head + wrapped["MIT"]), ("BSD-3-Clause", "BSD 3-Clause License" + head + wrapped["BSD-3-Clause"])]
+    rows += [("ISC", "ISC License" + head + isc), ("BSD-2-Clause", head + "\n* Redistributions".join(re.split(r" [12]\. Redistributions", texts["BSD-2-Clause"])))]
+    rows += list(complete.items())
+    rows += [("Apache-2.0", complete["Apache-2.0"].split("APPENDIX:")[0]), ("GPL-3.0", complete["GPL-3.0"].split("How to Apply These Terms")[0])]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "Zlib", "BSL-1.0"} <= set(complete)
+    got = by_id(licences.scan(docs(spark, [(i, x, "en", "a") for i, (_, x) in enumerate(rows)])))
+    assert [got[i][0]["whole_text"] for i in range(len(rows))] == [name for name, _ in rows]
+
+
 def test_quality_counts_match_brute_force(spark, odd_rows):
     rows = [*odd_rows[:-2], *[(100 + i, "\n".join(random.Random(i).choice([prose(i % 4, 7), prose(i, 3), "", " ", "a | b"]) for _ in range(12)), "en", "a") for i in range(80)]]
     got = by_id(quality.judge(docs(spark, rows)))
