@@ -8,10 +8,9 @@ the term with the least ln c - r (t - b) - r gives the coordinate (term, t), and
 two texts agree in a coordinate with the probability of their generalised
 Jaccard similarity, sum of min(w) / sum of max(w).
 
-Terms are hashed into 2^TERM_BITS slots, whose variates are one table drawn from
-a fixed seed; each Python worker builds it once (some 130 MB). A text takes a
-gather and a minimum. Coordinates are kept as 16 bits, so unequal ones agree by
-chance once in 65,536.
+The variates are hashed from a term's 64 bits and the coordinate, so texts of any
+length share only the terms they have in common. Coordinates are kept as 16 bits,
+so unequal ones agree by chance once in 65,536.
 
 Comparing neighbours in the order of ids needs no global sort: ids are cut into
 ranges by their quantiles, a range is one run of rows of a task, and the rows
@@ -37,12 +36,11 @@ from pyspark.sql import functions as F
 
 from .common import WordHash, small_batches, shingle_hashes
 
-TERM_BITS = 17
 SAMPLES = 64
 #: Ranges of ids for each shuffle partition, so that ranges spread evenly over the tasks.
 RANGES_PER_PARTITION = 8
 _SEED = 20_240_501
-_CHUNK = 1024
+_CHUNK = 256
 
 
 def _ordered(log_a: np.ndarray) -> np.ndarray:
@@ -50,46 +48,76 @@ def _ordered(log_a: np.ndarray) -> np.ndarray:
     return (log_a.astype(np.float32) + np.float32(128)).clip(0).view(np.uint32).astype(np.uint64) << np.uint64(32)
 
 
-def _codes(slots: np.ndarray, t: np.ndarray | int) -> np.ndarray:
-    """What a coordinate (slot, t) is kept as, in the lower half of 64 bits: 16 bits, never 0."""
-    x = slots.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.asarray(t).astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+def _codes(terms: np.ndarray, t: np.ndarray | int) -> np.ndarray:
+    """What a coordinate (term, t) is kept as, in the lower half of 64 bits: 16 bits, never 0."""
+    x = terms * np.uint64(0x9E3779B97F4A7C15) + np.asarray(t).astype(np.int64).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     return (x >> np.uint64(40)) % np.uint64(65535) + np.uint64(1)
 
 
+def _unit(bits: np.ndarray, count: int) -> np.ndarray:
+    """Integers of `count` bits as numbers inside (0, 1)."""
+    x = bits.astype(np.float32)
+    x += np.float32(0.5)
+    x *= np.float32(2.0**-count)
+    return np.minimum(x, np.float32(1 - 2.0**-24), out=x)
+
+
 class Sampler:
     """Consistent weighted samples of hashed terms."""
 
-    def __init__(self, samples: int = SAMPLES, bits: int = TERM_BITS, seed: int = _SEED):
-        rng = np.random.default_rng(seed)
-        shape = (1 << bits, samples)
-        self.samples, self.bits = samples, bits
-        self.r = rng.standard_gamma(2.0, shape, np.float32)
-        np.maximum(self.r, np.float32(1e-3), out=self.r)
-        self.b = rng.random(shape, np.float32)
-        log_c = np.log(rng.standard_gamma(2.0, shape, np.float32))
-        self.base = log_c - self.r * (1 - self.b)  # ln a of a weight of 1, where t is 0
-        self.packed = _ordered(self.base)
-        self.packed |= _codes(np.arange(1 << bits), 0)[:, None]
+    def __init__(self, samples: int = SAMPLES, seed: int = _SEED):
+        self.samples = samples
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def _variates(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, b and ln c of each term and coordinate: two 64-bit hashes make five uniform numbers."""
+        x = terms[:, None] ^ self.keys
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(31)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(29)
+        y = x * np.uint64(0xD6E8FEB86659FD93)
+        y ^= y >> np.uint64(32)
+        y *= np.uint64(0xC2B2AE3D27D4EB4F)
+        r = _unit((x >> np.uint64(43)).astype(np.uint32), 21)
+        r *= _unit((x >> np.uint64(22)).astype(np.uint32) & np.uint32(0x1FFFFF), 21)
+        np.log(r, out=r)
+        np.negative(r, out=r)
+        np.maximum(r, np.float32(1e-3), out=r)
+        b = _unit(x.astype(np.uint32) & np.uint32(0x3FFFFF), 22)
+        c = _unit((y >> np.uint64(32)).astype(np.uint32), 32)
+        c *= _unit(y.astype(np.uint32), 32)
+        np.log(c, out=c)
+        np.negative(c, out=c)
+        return r, b, np.log(c, out=c)
 
     def signature(self, hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
         """SAMPLES 16-bit coordinates of a bag of term hashes; of distinct hashes with weights, if given."""
         if not len(hashes):
             return np.zeros(self.samples, np.uint16)
-        slots = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        terms = hashes
         if weights is None:
-            slots, weights = np.unique(slots, return_counts=True)
+            terms, weights = np.unique(hashes, return_counts=True)
+        terms = terms.astype(np.uint64)
         least = np.full(self.samples, np.iinfo(np.uint64).max, np.uint64)
-        single = slots[weights == 1]
-        for i in range(0, len(single), _CHUNK):
-            np.minimum(least, self.packed[single[i : i + _CHUNK]].min(axis=0), out=least)
-        other = weights != 1
-        for i in range(0, int(other.sum()), _CHUNK):
-            s, w = slots[other][i : i + _CHUNK], weights[other][i : i + _CHUNK]
-            r = self.r[s]
-            t = np.floor(np.log(w.astype(np.float32))[:, None] / r + self.b[s])
-            np.minimum(least, (_ordered(self.base[s] - r * t) | _codes(s[:, None], t)).min(axis=0), out=least)
+        for one in (True, False):  # t is 0 where the weight is 1
+            mine = np.flatnonzero((weights == 1) == one)
+            for i in range(0, len(mine), _CHUNK):
+                s = terms[mine[i : i + _CHUNK]]
+                r, b, log_a = self._variates(s)
+                if one:
+                    t = np.zeros((len(s), 1), np.int64)
+                    log_a -= r * (1 - b)
+                else:
+                    t = np.floor(np.log(weights[mine[i : i + _CHUNK]].astype(np.float32))[:, None] / r + b)
+                    log_a -= r * (t - b) + r
+                # Only the least of each coordinate takes part, so only they get a code; ties go to the least code.
+                low = log_a.min(axis=0)
+                at, k = np.nonzero(log_a == low)
+                of = t[at, 0] if one else t[at, k]
+                np.minimum.at(least, k, _ordered(low[k]) | _codes(s[at], of))
         return (least & np.uint64(0xFFFF)).astype(np.uint16)
 
 

@@ -127,6 +127,16 @@ def test_consistent_samples_estimate_generalised_jaccard():
     assert abs(np.mean(estimates) - np.mean(truths)) < 0.02
 
 
+@pytest.mark.parametrize("n", [20_000, 300_000])
+def test_long_unrelated_texts_are_unlike(n):
+    """Terms are told apart however many there are; half of the terms in common is a likeness of a third."""
+    rng = np.random.default_rng(n)
+    h = rng.integers(0, 1 << 63, 3 * n // 2, dtype=np.uint64) * np.uint64(2)
+    s = fingerprints.Sampler(256)
+    a, b, c = s.signature(h[:n]), s.signature(h[n // 2 :]), s.signature(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+    assert fingerprints.likeness(a, c) < 0.02 and abs(fingerprints.likeness(a, b) - 1 / 3) < 0.1
+
+
 def test_fingerprints_follow_descending_ids(spark):
     rows = [(i * 7 % 101, prose(i, 5 + i % 40), "en", "a") for i in range(101)]
     order = sorted(rows, reverse=True)
