@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import graph, spatial
+from . import spatial
 
 #: The effective factor of the squared spacing under which nodes of joined domains are too close.
 TOO_CLOSE = 0.75
@@ -123,8 +123,7 @@ def restricted_support(nodes: DataFrame, k: int, clusters: DataFrame) -> DataFra
 def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     """(id): a least set of vertices that meets every edge between the sides, by a maximum matching of the cut.
 
-    The cut is far smaller than the graph; up to `most_edges` of its edges are matched on the driver,
-    beyond that the simple separator is taken.
+    The cut is matched on the driver; ValueError if it has more than `most_edges` edges, as no other set is a least one.
     """
     spark = edges.sparkSession
     a = sides.filter("side = 0").select(F.col("id").alias("src"))
@@ -132,11 +131,12 @@ def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_00
     cut = cut_lineage(edges.select("src", "dst").join(a, "src", "left_semi").join(b, "dst", "left_semi").distinct())
     rows = cut.limit(most_edges + 1).collect()
     if len(rows) > most_edges:
-        return graph.simple_separator(edges, sides)
+        raise ValueError(f"the cut has more than {most_edges} edges; graph.simple_separator gives a separator that isn't least")
     near: dict[int, list[int]] = {}
     for r in sorted(rows):
         near.setdefault(r["src"], []).append(r["dst"])
     mate: dict[int, int] = {}  # of vertices of side 1
+    back: dict[int, int] = {}  # of vertices of side 0
     for start in near:
         # An alternating path from an unmatched vertex, breadth first.
         came: dict[int, int] = {}
@@ -155,12 +155,10 @@ def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_00
                     break
             front = later
         if end is not None:
-            back = {u: v for v, u in mate.items()}
             v: int | None = end
             while v is not None:
                 u = came[v]
-                mate[v] = u
-                v = back.get(u) if u != start else None
+                mate[v], v, back[u] = u, back.get(u), v
     matched = set(mate.values())
     reach, front = set(u for u in near if u not in matched), [u for u in near if u not in matched]
     hit: set[int] = set()

@@ -49,8 +49,8 @@ def _dissected(s, d):
 
 
 def _cover_is_valid(s, d):
-    """Edges between the sides that the least separator misses (none), and its size."""
-    e = edges(s, d).filter("w < 3")
+    """Edges between the sides that the least separator misses: none."""
+    e = edges(s, d)
     sep = dm.minimum_separator(e, _sides(s, d))
     cut = e.join(_sides(s, d).select(F.col("id").alias("src"), F.col("side").alias("a")), "src").join(_sides(s, d).select(F.col("id").alias("dst"), F.col("side").alias("b")), "dst").filter("a <> b")
     missed = cut.join(sep.select(F.col("id").alias("src")), "src", "left_anti").join(sep.select(F.col("id").alias("dst")), "dst", "left_anti")
@@ -94,6 +94,7 @@ QUERIES = {
     ),
     "nested_dissection": (_dissected, None),
     "minimum_separator": (_cover_is_valid, "SELECT CAST(0 AS BIGINT) AS missed"),
+    "minimum_separator_vertices": (lambda s, d: dm.minimum_separator(edges(s, d), _sides(s, d)), None),
     "partition_of_unity": (
         lambda s, d: _unity(s, d),
         f"""WITH p AS (SELECT id, label, x[1] AS a, x[2] AS b FROM {_Q}),

@@ -246,6 +246,39 @@ def test_minimum_separator_is_least(spark):
         assert len(cover) == least
 
 
+def test_minimum_separator_never_turns_into_another(spark):
+    from gridloom.operators import domains
+
+    e = spark.createDataFrame([(0, 100 + i, 1.0) for i in range(5)], "src long, dst long, w double")
+    sides = spark.createDataFrame([(0, 0)] + [(100 + i, 1) for i in range(5)], "id long, side int")
+    assert [r["id"] for r in domains.minimum_separator(e, sides, 5).collect()] == [0]
+    with pytest.raises(ValueError, match="more than 4 edges"):
+        domains.minimum_separator(e, sides, 4)
+
+
+def test_minimum_separator_queries_take_all_edges(spark):
+    from gridloom.plans import graph_queries, registry
+
+    d = "/root/testdata/sf0.001"
+    found = {r["id"] for r in registry.queries()["minimum_separator_vertices"](spark, d).collect()}
+    cut = [(r["src"], r["dst"]) for r in graph_queries.edges(spark, d).collect() if r["src"] % 5 < 2 <= r["dst"] % 5]
+    mate, near = {}, {}
+    for a, b in cut:
+        near.setdefault(a, []).append(b)
+
+    def matched(u, seen):
+        for v in near[u]:
+            if v not in seen:
+                seen.add(v)
+                if v not in mate or matched(mate[v], seen):
+                    mate[v] = u
+                    return True
+        return False
+
+    assert len(found) == sum(matched(u, set()) for u in near)
+    assert all(a in found or b in found for a, b in cut)
+
+
 def test_dissection_separates(spark):
     from gridloom.operators import domains
 
