@@ -52,6 +52,14 @@ QUERIES = {
         lambda s, d: gr.components(edges(s, d).filter("w < 2")),
         f"WITH RECURSIVE {_WITH}, f AS (SELECT src, dst FROM e WHERE w < 2), r AS (SELECT src AS id, src AS reach FROM f UNION SELECT r.id, f.dst FROM r JOIN f ON f.src = r.reach) SELECT id, min(reach) AS component FROM r GROUP BY id",
     ),
+    # connected_components and simple_separator keep the filter of their SQL, edges of some weights; these take all edges.
+    "connected_components_all_edges": (lambda s, d: gr.components(edges(s, d)), None),
+    "simple_separator_all_edges": (
+        lambda s, d: gr.simple_separator(edges(s, d), _sides(s, d)),
+        f"""WITH {_WITH}, t AS (SELECT id, CASE WHEN id % 5 < 2 THEN 0 ELSE 1 END AS side FROM v),
+            n AS (SELECT count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1 FROM t)
+            SELECT DISTINCT a.id FROM t a JOIN e ON e.src = a.id JOIN t b ON b.id = e.dst, n WHERE a.side <> b.side AND a.side = CASE WHEN n0 < n1 THEN 1 ELSE 0 END""",
+    ),
     "graph_connected": (
         lambda s, d: gr.is_connected(edges(s, d), _vertices(s, d)),
         f"WITH RECURSIVE {_WITH}, r AS (SELECT id FROM s0 UNION SELECT e.dst FROM r JOIN e ON e.src = r.id) SELECT count(*) = 0 AS connected FROM v WHERE id NOT IN (SELECT id FROM r)",

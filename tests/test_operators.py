@@ -246,6 +246,29 @@ def test_minimum_separator_is_least(spark):
         assert len(cover) == least
 
 
+def test_graph_queries_over_all_edges(spark):
+    from gridloom.plans import graph_queries, registry
+
+    d = "/root/testdata/sf0.001"
+    pairs = [(r["src"], r["dst"]) for r in graph_queries.edges(spark, d).collect()]
+    up = {i: i for p in pairs for i in p}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    got = {r["id"]: r["component"] for r in registry.queries()["connected_components_all_edges"](spark, d).collect()}
+    assert got == {i: find(i) for i in up}
+    side = {i: 0 if i % 5 < 2 else 1 for i in up}
+    larger = 1 if sum(v == 0 for v in side.values()) < sum(side.values()) else 0
+    got = [r["id"] for r in registry.queries()["simple_separator_all_edges"](spark, d).collect()]
+    assert sorted(got) == sorted({a for a, b in pairs if side[a] == larger != side[b]})
+
+
 def test_minimum_separator_never_turns_into_another(spark):
     from gridloom.operators import domains
 
