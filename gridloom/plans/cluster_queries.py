@@ -16,12 +16,16 @@ def points(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"))
 
 
-def _bisected(s, d):
-    return cl.bisect(points(s, d), AXES, LEAF, LEVELS)
+#: Levels that node numbers of 64 bits allow; bisection ends before, when all leaves have their size.
+ALL_LEVELS = 62
 
 
-def _nodes(s, d):
-    return cl.tree(_bisected(s, d), AXES)
+def _bisected(s, d, levels=LEVELS):
+    return cl.bisect(points(s, d), AXES, LEAF, levels)
+
+
+def _nodes(s, d, levels=LEVELS):
+    return cl.tree(_bisected(s, d, levels), AXES)
 
 
 def _levels() -> str:
@@ -50,9 +54,9 @@ _ADM = {
 }
 
 
-def _admissible(kind: str):
+def _admissible(kind: str, levels: int = LEVELS):
     def run(s, d):
-        leaves = _nodes(s, d).filter("leaf").select("node", "min_x", "max_x", "min_y", "max_y")
+        leaves = _nodes(s, d, levels).filter("leaf").select("node", "min_x", "max_x", "min_y", "max_y")
         return cl.pairs(leaves, leaves).filter(cl.admissible(kind, AXES, 1.0)).select("r_node", "c_node")
 
     return run, f"WITH {_T} SELECT r.node AS r_node, c.node AS c_node FROM t r, t c WHERE r.leaf AND c.leaf AND {_ADM[kind]}"
@@ -66,8 +70,8 @@ def _block_sql() -> str:
     return out + f", blocks AS ({every})"
 
 
-def _blocks(s, d):
-    return cl.block_tree(_nodes(s, d), AXES, "two_min", 1.0)
+def _blocks(s, d, levels=LEVELS):
+    return cl.block_tree(_nodes(s, d, levels), AXES, "two_min", 1.0)
 
 
 def _binned(s, d):
@@ -99,6 +103,12 @@ QUERIES = {
         lambda s, d: cl.sparsity_constant(_blocks(s, d)),
         _block_sql() + ", r AS (SELECT count(*) AS n FROM blocks WHERE leaf GROUP BY r_node), c AS (SELECT count(*) AS n FROM blocks WHERE leaf GROUP BY c_node) SELECT (SELECT max(n) FROM r) AS csp_r, (SELECT max(n) FROM c) AS csp_c, greatest((SELECT max(n) FROM r), (SELECT max(n) FROM c)) AS csp",
     ),
+    # The same of the whole tree, bisected until no leaf is over LEAF points; the SQL of those above unrolls LEVELS levels.
+    "cluster_tree_whole": (lambda s, d: _nodes(s, d, ALL_LEVELS).select("node", "size", "leaf", "min_x", "max_x", "min_y", "max_y"), None),
+    "tree_depth_whole": (lambda s, d: cl.tree_stats(_nodes(s, d, ALL_LEVELS)), None),
+    **{f"admissible_pairs_{kind}_whole": (_admissible(kind, ALL_LEVELS)[0], None) for kind in _ADM},
+    "block_tree_whole": (lambda s, d: _blocks(s, d, ALL_LEVELS), None),
+    "sparsity_constant_whole": (lambda s, d: cl.sparsity_constant(_blocks(s, d, ALL_LEVELS)), None),
     "admissible_sparse_row_col": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 8), _sparse_sql("least(count(DISTINCT row), count(DISTINCT col))")),
     "admissible_sparse_nnz": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 8, by_count=True), _sparse_sql("count(*)")),
     "renumber_partition": (

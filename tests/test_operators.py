@@ -246,6 +246,54 @@ def test_minimum_separator_is_least(spark):
         assert len(cover) == least
 
 
+def test_whole_cluster_trees(spark):
+    """Against recursion, on a table whose tree is deeper than three levels."""
+    from gridloom.plans import cluster_queries, registry
+
+    d = "/root/testdata/sf0.01"
+    q = registry.queries()
+    p = np.array([(r["x"], r["y"]) for r in cluster_queries.points(spark, d).collect()])
+    tree = {}
+
+    def split(node, x):
+        lo, hi = x.min(axis=0), x.max(axis=0)
+        k = int((hi - lo).argmax())
+        leaf = len(x) <= 50 or (hi - lo)[k] <= 0
+        tree[node] = (len(x), leaf, lo, hi)
+        if not leaf:
+            right = x[:, k] >= (hi[k] + lo[k]) * 0.5
+            split(2 * node, x[~right])
+            split(2 * node + 1, x[right])
+
+    split(1, p)
+    assert {r["node"]: (r["size"], r["leaf"]) for r in q["cluster_tree_whole"](spark, d).collect()} == {k: v[:2] for k, v in tree.items()}
+    depth = max(tree).bit_length() - 1
+    stats = q["tree_depth_whole"](spark, d).first()
+    assert stats["depth"] == depth > 3 and stats["max_leaf"] <= 50
+
+    def gap2(a, b):
+        return (np.maximum(0, np.maximum(tree[a][2] - tree[b][3], tree[b][2] - tree[a][3])) ** 2).sum()
+
+    diameter2 = {k: ((v[3] - v[2]) ** 2).sum() for k, v in tree.items()}
+    blocks = {}
+
+    def pair(a, b):
+        admissible = min(diameter2[a], diameter2[b]) <= gap2(a, b)
+        blocks[a, b] = leaf = admissible or tree[a][1] or tree[b][1]
+        if not leaf:
+            for i in (0, 1):
+                for j in (0, 1):
+                    pair(2 * a + i, 2 * b + j)
+
+    pair(1, 1)
+    assert {(r["r_node"], r["c_node"]): r["leaf"] for r in q["block_tree_whole"](spark, d).collect()} == blocks
+    rows = [a for (a, _), leaf in blocks.items() if leaf]
+    assert q["sparsity_constant_whole"](spark, d).first()["csp_r"] == max(rows.count(a) for a in set(rows))
+    leaves = [k for k, v in tree.items() if v[1]]
+    want = {(a, b) for a in leaves for b in leaves if gap2(a, b) > 0}
+    assert {(r["r_node"], r["c_node"]) for r in q["admissible_pairs_distant_whole"](spark, d).collect()} == want
+
+
 def test_graph_queries_over_all_edges(spark):
     from gridloom.plans import graph_queries, registry
 
