@@ -9,8 +9,9 @@ for each slot, which is all the executors get.
 
 A fifth of the sample isn't trained on: it fits the temperature that makes
 scores probabilities, and the score under which a prediction counts as
-rejected. The sample is bounded: PER_LANGUAGE texts of each language in the
-mean, chosen by a hash of the id.
+rejected. The sample is bounded by language: PER_LANGUAGE texts of each language
+in the mean, chosen by a hash of the id, of LONGEST characters at most; texts of
+a language that has only longer ones are cut. Every language is learned.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and
 rejected; if there is nothing to learn from, every text is; rows with a null
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches
 
 BITS, WIDTH = 16, 8
-PER_LANGUAGE, LONGEST, MOST_LANGUAGES = 700, 40_000, 500
+PER_LANGUAGE, LONGEST = 700, 40_000
 EPOCHS, RATE = 4, 20.0
 #: Share of right predictions on the calibration rows that may fall under the rejection score.
 REJECTED = 0.005
@@ -70,16 +71,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def fit(texts: list[str], langs: list[str]) -> dict:
     """The languages, the table of logits by slot, the bias, the temperature's inverse and the rejection score."""
     names = sorted(set(langs))
+    number = {name: i for i, name in enumerate(names)}
     bags, y = [], []
     for text, lang in zip(texts, langs, strict=True):
         found, any_letter = slots(text)
         if any_letter:
             at, n = np.unique(found, return_counts=True)
             bags.append((at, (n / n.sum()).astype(np.float32)))
-            y.append(names.index(lang))
+            y.append(number[lang])
     rng = np.random.default_rng(5)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
+    trained = {y[i] for i in used}
+    alone = np.array([y[i] not in trained for i in held], bool)  # languages that would not be trained at all
+    held, used = held[~alone], np.concatenate([used, held[alone]])
     E = rng.normal(0, 1 / WIDTH, (1 << BITS, WIDTH)).astype(np.float32)
     V, b = np.zeros((WIDTH, max(len(names), 1)), np.float32), np.zeros(max(len(names), 1), np.float32)
     for epoch in range(EPOCHS):
@@ -109,15 +114,16 @@ def fit(texts: list[str], langs: list[str]) -> dict:
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """A model from a bounded sample of the rows outside the held-out fold that have a language."""
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    short = F.length("text") <= LONGEST
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("n_short")).collect()
     if not counts:
         return fit([], [])
     unit = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    below = {r["lang"]: int((1 << 20) * min(1.0, per_language / r["n"]) + 1) for r in counts}
-    chosen = F.lit(False)
-    for lang, limit in below.items():
-        chosen = chosen | ((F.col("lang") == lang) & (unit < limit))
-    rows = known.filter(chosen & (F.length("text") <= LONGEST)).select("doc_id", "text", "lang").limit(2 * per_language * len(below)).collect()
+    # Of languages with short texts only these are sampled; the others' texts are cut.
+    limits = [(r["lang"], int((1 << 20) * min(1.0, per_language / (r["n_short"] or r["n"])) + 1), not r["n_short"]) for r in counts]
+    table = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long, _cut boolean"))
+    chosen = known.join(table, "lang").filter((unit < F.col("_limit")) & (short | F.col("_cut")))
+    rows = chosen.select("doc_id", F.substring("text", 1, LONGEST).alias("text"), "lang").limit(2 * per_language * len(limits)).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 

@@ -493,3 +493,13 @@ def test_languages(spark):
     held = [r for r in got if r["held_out"] and r["doc_id"] < 5000]
     assert sum(r["lang_pred"] == rows[r["doc_id"]][2] for r in held) / len(held) > 0.95
     assert all(r["lang_pred"] == "und" and r["score"] == 0 for r in got if r["doc_id"] >= 5000)
+
+
+def test_every_language_is_learned(spark):
+    """More than 500 languages, the rarest last, and one with long texts only."""
+    ids = [i for i in range(4000) if crc_fold(i)]
+    rows = [(ids.pop(), prose(k, 5), f"l{k:03}", "a") for k in range(520) for _ in range(2)]
+    rows += [(ids.pop(), "qwx zvk jqz " * 4000, "long", "a") for _ in range(40)] + [(ids.pop(), "abba", "z", "a")]
+    model = langid.train(docs(spark, rows))
+    assert model["names"] == sorted({r[2] for r in rows})
+    assert {r["lang_pred"] for r in langid.predict(docs(spark, [(1, "qwx zvk jqz " * 20, None, "a")]), model).collect()} == {"long"}
