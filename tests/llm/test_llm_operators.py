@@ -430,13 +430,32 @@ def test_mixing_meets_targets(spark):
         free -= over or free
     for s in size:
         assert abs(target[s] - want[s]) < 1e-6 and abs(taken[s] - target[s]) <= 1
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs(spark, rows), range_rows=2).collect()))
     words = Counter()
     for r in mixing.mixed(docs(spark, rows)).collect():
         words[r["source"]] += len(r["text"].split())
     assert all(abs(words[s] - target[s]) <= 64 for s in size)
 
 
+def test_mixing_shares_what_is_left_among_repeated_rows(spark, monkeypatch):
+    """Identical rows can't be told apart: they share the end of the budget, however ranges are cut and sources dealt."""
+    rows = [(7, prose(1, 40), "en", "a")] * 500 + [(i, prose(i, 30), "en", "b") for i in range(100, 200)] + [(None, prose(3, 9), None, None)] * 3
+    want = mixing.mix(docs(spark, rows)).collect()
+    target = {r["source"]: r["target"] for r in want}
+    for s in target:
+        assert abs(sum(r["taken"] for r in want if r["source"] == s) - target[s]) <= 500
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert sorted(map(str, want)) == sorted(map(str, mixing.mix(docs(spark, rows), range_rows=10).collect()))
+    assert mixing.mixed(docs(spark, rows)).count() > 0
+
+
+def test_mixing_takes_a_weight(spark):
+    rows = docs(spark, [(i, prose(i, 30), "en", "a") for i in range(400)])
+    got = mixing.mix(rows, weight=F.when(F.col("doc_id") < 100, F.lit(50.0)).otherwise(F.lit(0.5))).collect()
+    share = [sum(r["taken"] for r in got if (r["doc_id"] < 100) == good) / sum(r["size"] for r in got if (r["doc_id"] < 100) == good) for good in (True, False)]
+    assert share[0] > share[1]
+
+
 def test_licences(spark):
     mit = licences.KNOWN[0][1]
     varied = "The MIT—" + mit
