@@ -21,7 +21,8 @@ the elementwise minimum of slices of it.
    shared bands is compared with all others first, which settles nearly all of
    a group of copies of one text; the rest is compared, block by block, with
    everything in its group. Memory per task stays bounded.
-6. Links confirmed on full sets make the final components.
+6. Links confirmed on full sets make the final components of classes; each row
+   takes its class's.
 
 Every decision rests on an exact intersection; banding only chooses what is
 compared. With the default bands a pair of similarity 0.8 is missed with
@@ -188,9 +189,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, group_ro
     small_batches(spark)
     sketched = cut_lineage(docs.select("doc_id", "text").mapInArrow(_sketches(width), "doc_id long, n_shingles long, digest binary, bands array<long>"), partitions_per_file=8)
     with_words = sketched.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    classes = with_words.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    # An id that stands in several rows joins their classes.
-    repeated = with_words.join(classes, "digest").filter(F.col("doc_id") != F.col("rep")).select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
+    classes = with_words.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n_rows"))
+    # An id that stands in rows of several classes joins them.
+    in_several = with_words.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter(F.col("a") != F.col("b")).select("doc_id")
+    held = with_words.join(in_several, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(classes, "digest").select("doc_id", "rep")
+    repeated = held.join(held.groupBy("doc_id").agg(F.min("rep").alias("src")), "doc_id").select("src", F.col("rep").alias("dst"))
 
     # All rows of a class have the same bands: the row of its smallest id speaks for it (of one id in several classes, each row).
     speakers = with_words.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
@@ -210,9 +213,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, group_ro
     if members.filter(is_large).limit(1).count():
         sets = cut_lineage(_with_sets(docs, members.filter(is_large), width), partitions_per_file=8)
         links = links.unionByName(_settle_large(sets, percent, group_rows, group_shingles))
+    # The graph's nodes are classes, by their smallest ids; a row has the component of its class, looked up by digest.
     linked = components(links.unionByName(repeated))
-    joined = sketched.join(linked, sketched["doc_id"] == linked["id"], "left")
-    component = F.coalesce("component", "doc_id")
+    of_class = classes.join(linked, F.col("rep") == F.col("id"), "left").select("digest", "rep", "n_rows", F.coalesce("component", "rep").alias("component"))
+    of_class = of_class.filter((F.col("n_rows") > 1) | (F.col("component") != F.col("rep"))).select(F.col("digest").alias("_class"), "component")
+    # Rows without words have no class: their ids spread them.
+    rows = sketched.select("doc_id", "n_shingles", F.coalesce("digest", F.unhex(F.hex("doc_id"))).alias("_key"))
+    joined = rows.join(of_class, F.col("_key") == F.col("_class"), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
