@@ -61,7 +61,7 @@ def _quality() -> str:
 
     word = r"'[^\x20\x09-\x0D]+'"
     count = lambda x: f"len(regexp_extract_all({x}, {word}))"
-    menu = r"(?i)^[\s|>»·•-]*(?:(?:" + "|".join(MENU_WORDS) + r")[\s|>»·•-]*)+$"
+    menu = r"(?i)^[\s|>»·•-]*(?:(?:" + "|".join(MENU_WORDS) + r")(?:[\s|>»·•-]+|$))+$"
     fails = f"""
       length(l) - length(translate(l, '{SYMBOLS}', '')) > length(l) * {MAX_SYMBOL_PERCENT} / 100.0
       OR l LIKE '%!%!%' AND 2 * (length(l) - length(translate(l, '!', ''))) > {count('l')}

@@ -31,7 +31,8 @@ STOCK_PHRASES = ["all rights reserved", "cookie policy", "we use cookies", "acce
 MAX_SYMBOL_PERCENT = 3
 MIN_KEPT_PERCENT = 50
 SYMBOLS = "#*$%&|<>"
-_MENU = r"(?i)^[\s|>»·•-]*(?:(?:" + "|".join(MENU_WORDS) + r")[\s|>»·•-]*)+$"
+#: Possessive, as a line may have any number of entries; longer entries come before those they begin with.
+_MENU = r"(?i)^[\s|>»·•-]*+(?:(?:" + "|".join(sorted(MENU_WORDS, key=len, reverse=True)) + r")(?:[\s|>»·•-]++|$))++$"
 _STOCK = "(?i)" + "|".join(STOCK_PHRASES)
 
 #: Words of 5-word windows found twice or more: sort the windows' hashes with their places, keep
