@@ -47,9 +47,7 @@ _EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-
 _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"[0-9](?:[\x20-]?[0-9]){13,}+"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Letters, marks and digits of base spans are put as this while terms are looked for; no term holds it.
-_HIDDEN = "\ue000"
-_TERM = r"[\p{L}\p{M}\p{N}\x{E000}]++"
+_TERM = r"[\p{L}\p{M}\p{N}]++"
 _IP_VALID = "forall(split($m, '[.]'), p -> length(ltrim('0', p)) <= 3 AND CAST(concat('0', substring(ltrim('0', p), 1, 3)) AS INT) <= 255)"
 _DIGITS = "regexp_replace($m, '[^0-9]', '')"
 _LUHN = f"""length({_DIGITS}) BETWEEN 14 AND 19 AND aggregate(
@@ -79,21 +77,15 @@ def _mentions(docs: DataFrame) -> DataFrame:
     )
 
 
-def _outside(rows: DataFrame) -> DataFrame:
-    """`rows` with _open for _text: the text with its base spans hidden, of the same length and with the same words."""
-    hidden = f"regexp_replace(substring(_text, greatest(a.at, s.start) + 1, s.end - greatest(a.at, s.start)), '[\\\\p{{L}}\\\\p{{M}}\\\\p{{N}}]', '{_HIDDEN}')"
-    opened = F.expr(f"""
-      aggregate({spans.by_start_sql("_b")}, named_struct('at', 0, 'out', ''),
-        (a, s) -> named_struct('at', greatest(a.at, s.end),
-          'out', concat(a.out, IF(s.start > a.at, substring(_text, a.at + 1, s.start - a.at), ''), IF(s.end > a.at, {hidden}, ''))),
-        a -> concat(a.out, substring(_text, a.at + 1)))""")
-    based = _based(rows)
-    return based.select(*rows.columns, opened.alias("_open")).drop("_text")
+def _terms(text: str) -> str:
+    """SQL of the hashes of the distinct terms of a text, wherever they stand."""
+    return f"array_distinct(transform(regexp_extract_all({text}, {spans._quoted(_TERM)}, 0), w -> xxhash64(lower(w))))"
 
 
-def _terms(text: str) -> str:
-    """SQL of the hashes of the distinct terms of a text."""
-    return f"array_distinct(transform(filter(regexp_extract_all({text}, {spans._quoted(_TERM)}, 0), w -> NOT contains(w, '{_HIDDEN}')), w -> xxhash64(lower(w))))"
+def _outside(rows: DataFrame, valid: str = "true") -> DataFrame:
+    """`rows` (with _text) and, as _t, the spans of the terms that no base span touches."""
+    found = _based(rows).select(*rows.columns, "_b", F.expr(spans.find_sql("_text", 4, _TERM, valid)).alias("_t"))
+    return found.select(*rows.columns, F.expr(spans.apart_sql("_t", "_b")).alias("_t"))
 
 
 def _semi(rows: DataFrame, wanted: DataFrame, key: str, most: int) -> DataFrame:
@@ -129,7 +121,7 @@ def disclosing(docs: DataFrame, mentions: DataFrame, disclosure: float, support:
     held = cut_lineage(entities.distinct().join(n_e, "entity"))
     opened = _outside(_semi(docs.select("_repo", "_text"), held.select("_repo").distinct(), "_repo", broadcast_terms))
     # _n rows have the same text; they are one row from here on.
-    terms = cut_lineage(opened.select("_repo", F.explode(F.expr(_terms("_open"))).alias("term")).groupBy("_repo", "term").agg(F.count(F.lit(1)).alias("_n")))
+    terms = cut_lineage(opened.select("_repo", F.explode(F.expr("array_distinct(transform(_t, s -> xxhash64(lower(s.value))))")).alias("term")).groupBy("_repo", "term").agg(F.count(F.lit(1)).alias("_n")))
     wanted = cut_lineage(terms.groupBy("term").agg(F.count(F.lit(1)).alias("_texts")).filter(F.col("_texts") >= support).select("term"))
     # disclosure >= d means n_t <= n_te (N / n_e)^(1 - d), and n_te is n_e at most.
     most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(max(0.0, 1 - disclosure))) * (1 + 1e-6)
@@ -153,8 +145,8 @@ def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT
     # The terms of a text in one row; each of their occurrences outside base spans is a span.
     told = given_away.groupBy("_repo").agg(F.collect_set("term").alias("_given"))
     told = F.broadcast(told) if given_away.limit(broadcast_terms + 1).count() <= broadcast_terms else told
-    places = F.expr(f"transform({spans.find_sql('_open', 4, _TERM, 'array_contains(_given, xxhash64(lower($m)))')}, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'value', ''))")
-    found = _outside(texts.join(told, "_repo")).select(F.col("doc_id").alias("_id"), F.col("_repo").alias("_r"), places.alias("_t"))
+    places = F.expr("transform(_t, t -> named_struct('start', t.start, 'end', t.end, 'kind', t.kind, 'value', ''))")
+    found = _outside(texts.join(told, "_repo"), "array_contains(_given, xxhash64(lower($m)))").select(F.col("doc_id").alias("_id"), F.col("_repo").alias("_r"), places.alias("_t"))
     found = found.groupBy("_id", "_r").agg(F.first("_t").alias("_t"))  # repeated rows
     joined = mentions.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_repo") == F.col("_r")), "left")
     return joined.select(

@@ -53,7 +53,7 @@ def _candidates(docs: DataFrame) -> DataFrame:
         spans.find("_text", 3, _OPAQUE, _OPAQUE_VALID).alias("_opaque"),
     )
     based = found.select("doc_id", "_owner", "_repo", F.concat("_assign", "_access", "_hex").alias("_b"), "_opaque")
-    apart = based.withColumn("_o", F.expr("filter(_opaque, o -> NOT exists(_b, b -> b.start < o.end AND o.start < b.end))"))
+    apart = based.withColumn("_o", F.expr(spans.apart_sql("_opaque", "_b")))
     # Past this point a value is its digest.
     digest = "transform({}, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'value', substring(sha2(s.value, 256), 1, 32)))"
     return apart.select("doc_id", "_owner", "_repo", F.expr(digest.format("concat(_b, _o)")).alias("_all"))
