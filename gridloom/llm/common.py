@@ -35,9 +35,10 @@ def unwrapped(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col("_row")[c].alias(c) for c in columns])
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound what one Arrow batch of whole texts holds, however long the texts are."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and the bytes of an Arrow batch of whole texts, however long the texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -9,14 +9,16 @@ for each slot, which is all the executors get.
 
 A fifth of the sample isn't trained on: it fits the temperature that makes
 scores probabilities, and the score under which a prediction counts as
-rejected. The sample is bounded by language: PER_LANGUAGE texts of each language
-in the mean, chosen by a hash of the id, of LONGEST characters at most; texts of
-a language that has only longer ones are cut. Every language is learned.
+rejected. The sample is bounded by language: PER_LANGUAGE texts and CHARACTERS of
+each language in the mean (fewer if there are over LANGUAGES), one at least, chosen
+by a hash of the id, whole and whatever their length. What the driver gets of a text
+is its distinct slots and their counts, half a MB at most. Every language is learned.
 
 Defined cases: null texts and texts without a letter are `und` with score 0 and
 rejected; if there is nothing to learn from, every text is; rows with a null
-language or id aren't learned from; repeated rows are predicted alike; an empty
-table gives an empty result; other columns are ignored.
+language or id aren't learned from; of rows that repeat an id and language one is
+learned from; repeated rows are predicted alike; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import held_out, small_batches
 
 BITS, WIDTH = 16, 8
-PER_LANGUAGE, LONGEST = 700, 40_000
+#: What is learned from a language; the more languages than LANGUAGES, the less of each.
+PER_LANGUAGE, CHARACTERS, LANGUAGES = 700, 6_000_000, 50
 EPOCHS, RATE = 4, 20.0
 #: Share of right predictions on the calibration rows that may fall under the rejection score.
 REJECTED = 0.005
@@ -68,17 +71,15 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def fit(texts: list[str], langs: list[str]) -> dict:
-    """The languages, the table of logits by slot, the bias, the temperature's inverse and the rejection score."""
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> dict:
+    """The languages, the table of logits by slot, the bias, the temperature's inverse and the rejection score.
+
+    counts: the distinct slots of each text and how often they occur.
+    """
     names = sorted(set(langs))
     number = {name: i for i, name in enumerate(names)}
-    bags, y = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        found, any_letter = slots(text)
-        if any_letter:
-            at, n = np.unique(found, return_counts=True)
-            bags.append((at, (n / n.sum()).astype(np.float32)))
-            y.append(number[lang])
+    bags = [(at, (n / n.sum()).astype(np.float32)) for at, n in counts]
+    y = [number[lang] for lang in langs]
     rng = np.random.default_rng(5)
     order = rng.permutation(len(y))
     held, used = order[: len(y) // 5], order[len(y) // 5 :]
@@ -111,21 +112,33 @@ def fit(texts: list[str], langs: list[str]) -> dict:
     return {"names": names, "table": table, "bias": b, "scale": scale, "reject": reject}
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, characters: int = CHARACTERS) -> dict:
     """A model from a bounded sample of the rows outside the held-out fold that have a language."""
+    small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    short = F.length("text") <= LONGEST
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(short).alias("n_short")).collect()
-    if not counts:
-        return fit([], [])
-    unit = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20))
-    # Of languages with short texts only these are sampled; the others' texts are cut.
-    limits = [(r["lang"], int((1 << 20) * min(1.0, per_language / (r["n_short"] or r["n"])) + 1), not r["n_short"]) for r in counts]
-    table = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long, _cut boolean"))
-    chosen = known.join(table, "lang").filter((unit < F.col("_limit")) & (short | F.col("_cut")))
-    rows = chosen.select("doc_id", F.substring("text", 1, LONGEST).alias("text"), "lang").limit(2 * per_language * len(limits)).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], r["text"]))
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    unit = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars"), F.min(unit).alias("least")).collect()
+    part = min(1.0, LANGUAGES / max(len(counts), 1))
+    limits = [(r["lang"], max(r["least"], int((1 << 30) * min(1.0, part * per_language / r["n"], part * characters / max(r["chars"], 1)))) + 1) for r in counts]
+    table = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long"))
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, langs, at, n = [], [], [], []
+            for doc_id, text, lang in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                found, any_letter = slots(text)
+                if any_letter:
+                    x, k = np.unique(found, return_counts=True)
+                    ids.append(doc_id)
+                    langs.append(lang)
+                    at.append(x.astype(np.uint16).tobytes())
+                    n.append(k.astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "lang", "at", "n"])
+
+    bagged = known.join(table, "lang").filter(unit < F.col("_limit")).select("doc_id", "text", "lang").mapInArrow(bags, "doc_id long, lang string, at binary, n binary")
+    rows = bagged.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "n")).alias("bag")).collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
+    return fit([(np.frombuffer(bytes(r["bag"]["at"]), np.uint16).astype(np.int64), np.frombuffer(bytes(r["bag"]["n"]), np.uint32)) for r in rows], [r["lang"] for r in rows])
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

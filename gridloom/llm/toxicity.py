@@ -6,14 +6,16 @@ punctuation and digits, hashed into 2^SLOT_BITS slots. FTRL-proximal keeps a
 learning rate for each coordinate and an L1 penalty, so most weights are exactly
 0; the others, a few thousand pairs at most, are what the executors get.
 
-The model learns on the driver from a bounded sample: SAMPLE labelled rows at
-most, chosen by a hash of the id, never of a held-out fold. Scoring is one
-narrow pass over the whole texts.
+The model learns on the driver from a bounded sample: about SAMPLE labelled
+documents of SAMPLE_CHARACTERS in all, chosen by a hash of the id, whole and
+whatever their length, never of a held-out fold. What the driver gets of a text is
+its distinct slots, 4 MB at most. Scoring is one narrow pass over the whole texts.
 
 Defined cases: null and empty texts get the score of no features; labels that
 are null or belong to no document are ignored, of several labels for an id the
-greatest counts; without any label every score is 0.5 and predicts 0; repeated rows score alike; an empty table gives an empty result;
-other columns are ignored.
+greatest counts; of rows that repeat an id one is learned from; without any
+label every score is 0.5 and predicts 0; repeated rows score alike; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,16 +31,13 @@ from pyspark.sql import functions as F
 from .common import WordHash, held_out, mix64, small_batches
 
 SLOT_BITS = 20
-#: Labelled rows the model learns from, at most (in the mean; texts up to LONGEST characters).
-SAMPLE = 8000
-LONGEST = 40_000
+#: Labelled documents the model learns from and the characters of their texts, in the mean at most.
+SAMPLE, SAMPLE_CHARACTERS = 8000, 60_000_000
 EPOCHS, ALPHA, BETA, L2 = 10, 2.0, 1.0, 0.1
 #: The L1 penalty and the documents a feature must stand in grow with the sample.
 L1_SHARE, LEAST_L1, SEEN_SHARE, LEAST_SEEN = 1 / 1000, 8.0, 1 / 450, 3
 #: Toxic texts are the fewer: each counts so many times.
 POSITIVE_WEIGHT = 6.0
-#: Share of the slots that may have a weight; what is broadcast can't be larger.
-MOST_WEIGHTS = 200_000
 
 _TABLE = bytes(b if chr(b).isalpha() or b >= 128 else 32 for b in range(256))
 
@@ -95,29 +94,29 @@ def fit(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) ->
             model.learn(features[i], labels[i])
     w = model.weights(slice(None))
     bias, w = float(w[model.bias]) if labels else -1e-9, w[:-1]
-    kept = np.flatnonzero(w)
-    if len(kept) > MOST_WEIGHTS:
-        kept = np.sort(kept[np.argsort(-np.abs(w[kept]))[:MOST_WEIGHTS]])
+    kept = np.flatnonzero(w)  # 2^SLOT_BITS at most, 8 bytes each
     return kept.astype(np.int32), w[kept].astype(np.float32), bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, float]:
-    """A model from at most about `sample` of the labelled documents outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = SAMPLE_CHARACTERS) -> tuple[np.ndarray, np.ndarray, float]:
+    """A model from a sample of the labelled documents outside the held-out fold."""
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_toxic"))
-    total = known.count()
-    # A threshold on a hash of the id: the same rows whatever the partitions, `sample` of them in the mean.
-    ids = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample / max(total, 1)) + 1)).limit(2 * sample)
-    texts = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull() & (F.length("text") <= LONGEST))
+    texts = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    total = texts.select("doc_id", F.length("text").cast("long").alias("n")).join(known, "doc_id", "left_semi").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).first()
+    # A threshold on a hash of the id: the same documents whatever the partitions.
+    share = min(1.0, sample / max(total["rows"], 1), characters / max(total["n"] or 0, 1))
+    chosen = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [np.unique(slots(t)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "toxic", "slots"])
 
-    # At most 2 * sample ids are broadcast.
-    rows = texts.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_toxic").mapInArrow(bags, "doc_id long, toxic int, slots binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], bytes(r["slots"])))
-    return fit([np.frombuffer(bytes(r["slots"]), np.int32) for r in rows], [int(r["toxic"]) for r in rows])
+    bagged = texts.filter(chosen).join(known.filter(chosen), "doc_id").select("doc_id", "text", "_toxic").mapInArrow(bags, "doc_id long, toxic int, slots binary")
+    rows = bagged.groupBy("doc_id").agg(F.min(F.struct("slots", "toxic")).alias("row")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
+    return fit([np.frombuffer(bytes(r["row"]["slots"]), np.int32) for r in rows], [int(r["row"]["toxic"]) for r in rows])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
