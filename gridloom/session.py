@@ -28,12 +28,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where that is unset, a temporary one, in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="gridloom-")
+
+
 def cut_lineage(df: DataFrame, partitions_per_file: int = 0) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and return it without its lineage.
 
-    The folder is the one in spark.checkpoint.dir; where that is unset (tests,
-    single-machine runs) a temporary folder is used. The files are reliable
-    checkpoints, so a lost executor costs nothing but a re-read.
+    The folder is shared_folder's. The files are reliable checkpoints, so a lost
+    executor costs nothing but a re-read.
 
     partitions_per_file: for a narrow plan that makes a compact row of each large
     one, so many input partitions go to a file; else their files would be many
@@ -44,5 +54,5 @@ def cut_lineage(df: DataFrame, partitions_per_file: int = 0) -> DataFrame:
         df = df.repartition(-(-n // partitions_per_file))
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
