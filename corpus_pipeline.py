@@ -19,13 +19,13 @@ other columns are passed on, whatever their names.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import dedup, mixing, packing, secrets, toxicity
 from gridloom.llm.common import documents, tokenizer_file
+from gridloom.session import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,12 +61,19 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages over documents."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridloom-")
-    folder = f"{top}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    """The result of all stages over documents. A stage's folder goes when the next one's is written; the last one's stays, as the result reads it."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, read = documents(spark, sf_dir), ""
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if read:
+            _delete(spark, read)
+        read = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
