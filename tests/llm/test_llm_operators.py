@@ -522,3 +522,134 @@ def test_every_language_is_learned(spark):
     model = langid.train(docs(spark, rows))
     assert model["names"] == sorted({r[2] for r in rows})
     assert {r["lang_pred"] for r in langid.predict(docs(spark, [(1, "qwx zvk jqz " * 20, None, "a")]), model).collect()} == {"long"}
+
+
+def _mix64(x):
+    x ^= x >> 31
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def test_ftrl_matches_a_scalar_one():
+    """The rule written out for one coordinate at a time, kept in dictionaries."""
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 60, 12)).astype(np.int32), int(rng.random() < 0.3)) for _ in range(300)]
+    model = toxicity.FTRL(bits=6, l1=1.5)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0 if i == 64 else 1.5
+        if abs(z[i]) <= l1:
+            return 0.0
+        return -(z[i] - np.sign(z[i]) * l1) / ((toxicity.BETA + n[i] ** 0.5) / toxicity.ALPHA + toxicity.L2)
+
+    for features, label in rows:
+        model.learn(features, label)
+        at = [*features.tolist(), 64]
+        w = {i: weight(i) for i in at}
+        g = (1 / (1 + np.exp(-sum(w.values()))) - label) * (toxicity.POSITIVE_WEIGHT if label else 1)
+        for i in at:
+            sigma = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / toxicity.ALPHA
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+    assert np.allclose(model.z[:65], [z[i] for i in range(65)]) and np.allclose(model.weights(slice(None))[:65], [weight(i) for i in range(65)])
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    import xxhash
+
+    rng = np.random.default_rng(9)
+    at = np.unique(rng.integers(0, 1 << toxicity.SLOT_BITS, 300_000)).astype(np.int32)
+    model = (at, rng.normal(0, 1, len(at)).astype(np.float32), -0.25)
+    weights = dict(zip(at.tolist(), model[1].tolist(), strict=True))
+    texts = {i: prose(i, 30) + " Çà 12 ab3cd e-f" for i in range(40)} | {40: "", 41: "one", 42: "one TWO"}
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs(spark, [(i, t, "en", "a") for i, t in texts.items()]), model).collect()}
+    for i, text in texts.items():
+        h = [xxhash.xxh64_intdigest(w.encode(), 3) for w in re.findall(r"[^\W\d_]+", re.sub(r"[\x00-\x40\x5b-\x60\x7b-\x7f]", " ", text.lower()))]
+        pairs = [(a * 0x9E3779B97F4A7C15 + b) % 2**64 for a, b in zip(h, h[1:])]
+        skips = [(((a * 0x9E3779B97F4A7C15) % 2**64 ^ 0x5851F42D4C957F2D) + b) % 2**64 for a, b in zip(h, h[2:])]
+        total = sum(weights.get(x, 0.0) for x in {_mix64(x) >> (64 - toxicity.SLOT_BITS) for x in h + pairs + skips})
+        assert abs(got[i] - 1 / (1 + np.exp(0.25 - total))) < 1e-5
+
+
+def test_language_scores_match_brute_force(spark):
+    rng = np.random.default_rng(3)
+    model = {"names": ["a", "b", "c"], "table": rng.normal(0, 1, (1 << langid.BITS, 3)).astype(np.float32), "bias": np.array([0.1, 0, -0.1], np.float32), "scale": 2.0, "reject": 0.4}
+    texts = {i: prose(i, 12) + " Ünö 3x" for i in range(30)} | {30: "é", 31: "1 2"}
+    got = {r["doc_id"]: r for r in langid.predict(docs(spark, [(i, t, "en", "a") for i, t in texts.items()]), model).collect()}
+    m = 2**32
+    for i, text in texts.items():
+        c = [ord(x) if x.isalpha() else 32 for x in f" {text.lower()} "]
+        found = []
+        for k in range(len(c) - 1):
+            if c[k] == 32 and c[k + 1] == 32:
+                continue  # a subword begins with a letter or just before one
+            h = (c[k] * 0x9E3779B1 + c[k + 1] * 0x85EBCA77) % m
+            found.append(h)
+            for x, by in zip(c[k + 2 : k + 4], (0xC2B2AE3D, 0x27D4EB2F), strict=False):
+                h = ((h ^ (h >> 15)) * 0x2C1B3C6D + x * by) % m
+                found.append(h)
+        if all(x == 32 for x in c):
+            assert got[i]["lang_pred"] == "und"
+            continue
+        logits = np.mean([model["table"][((x ^ (x >> 16)) * 0x7FEB352D % m) >> (32 - langid.BITS)] for x in found], axis=0, dtype=np.float64)
+        p = np.exp((logits + model["bias"]) * model["scale"])
+        p /= p.sum()
+        assert got[i]["lang_pred"] == "abc"[p.argmax()] and abs(got[i]["score"] - p.max()) < 1e-5 and got[i]["rejected"] == (p.max() < 0.4)
+
+
+def test_long_and_repeated_rows_are_learned_from(spark):
+    """Texts of any length take part; rows that repeat an id bring one of them to the driver."""
+    ids = [i for i in range(4000) if crc_fold(i)]
+    rows = [(ids[k], (prose(k, 12000) + " ") * 2 + ("scumbag " * 5 if k % 2 else ""), "en", "a") for k in range(60)]
+    labels = spark.createDataFrame([(ids[k], k % 2) for k in range(60)] + [(999_999_999, 1)] * 50, "doc_id long, toxic int")
+    at, w, _ = toxicity.train(docs(spark, rows + rows[:2] * 300), labels)
+    assert w[np.isin(at, toxicity.slots("scumbag"))].max() > 0
+
+
+def test_many_matches_take_linear_time(spark):
+    """100,000 matches of a pattern, and as many spans to keep apart or to put, within seconds."""
+    import time
+
+    from gridloom.llm import spans
+
+    n = 100_000
+    rows = spark.createDataFrame([(" ".join(f"{i % 256}.2.3.{i % 199}" for i in range(n)),), ("a1.2.3.4é 5.6.7.8",), ("",), ("no",)], "_text string")
+    began = time.time()
+    found = rows.select("_text", spans.find("_text", 1, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+").alias("a"), spans.find("_text", 2, "[0-9]+ [0-9]+").alias("b")).cache()
+    for r in found.collect():
+        for name, pattern in (("a", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"), ("b", "[0-9]+ [0-9]+")):
+            assert [(s["start"], s["end"], s["value"]) for s in r[name]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, r["_text"])]
+    put = found.withColumn("c", F.expr("filter(a, (s, i) -> i % 3 = 0)")).select("_text", "c", F.expr(spans.apart_sql("a", "b")).alias("alone"), F.expr(spans.apart_sql("a", "c")).alias("rest"), spans.replaced("_text", "a", ["X", "IP"]).alias("new"))
+    for r in put.collect():
+        matches = list(re.finditer(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", r["_text"]))
+        assert r["new"] == re.sub(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "<IP>", r["_text"])
+        assert [s["start"] for s in r["rest"]] == [m.start() for i, m in enumerate(matches) if i % 3]
+        assert len(r["alone"]) == (len(matches) if len(matches) < 9 else 0)
+    assert time.time() - began < 60
+    found.unpersist()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_spans_apart_match_brute_force(spark, seed):
+    from gridloom.llm import spans
+
+    r = random.Random(seed)
+    make = lambda n: sorted((s, s + r.randrange(1, 9)) for s in r.sample(range(2000), n))
+    a, b = make(r.choice([0, 3, 300])), make(r.choice([0, 2, 150]))
+    row = spark.createDataFrame([([(*s, 3, "v") for s in a], [(*s, 0, None) for s in b])], f"a {spans.SPAN}, b {spans.SPAN}")
+    got = row.select(F.expr(spans.apart_sql("a", "b")).alias("x")).first()["x"]
+    assert sorted((s["start"], s["end"]) for s in got) == [s for s in a if not any(o[0] < s[1] and s[0] < o[1] for o in b)]
+
+
+def test_quality_of_endless_menus(spark, tmp_path):
+    """A menu line of 100,000 entries, with and without a word that is none; read from a file, as the JVM optimises constants away."""
+    r = random.Random(1)
+    entries = [r.choice(quality.MENU_WORDS) for _ in range(100_000)]
+    rows = [(1, " | ".join(entries), "en", "a"), (2, " ".join(entries) + " other", "en", "a"), (3, "Contact us | About us » sign in", "en", "a"), (4, "contact usage pages here", "en", "a"), (5, " ".join(f"w{i}" for i in range(100_000)) + ".", "en", "a")]
+    docs(spark, rows).write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: r for r in quality.judge(spark.read.parquet(str(tmp_path / "d"))).collect()}
+    assert [got[i]["n_failed_lines"] for i in range(1, 6)] == [1, 0, 1, 0, 0]
+    assert got[5]["n_words"] == 100_000 and got[5]["n_repeat_words"] == 0 and got[5]["kept"]
