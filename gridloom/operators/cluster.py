@@ -150,18 +150,44 @@ def sparse_admissible(entries: DataFrame, sizes_row: DataFrame, sizes_col: DataF
     return sized.withColumn("limit", limit).select("br", "bc", "measure", "limit", ((F.col("measure") < F.col("limit")) & (F.col("measure") <= n_most)).alias("admissible"))
 
 
-def block_tree(nodes: DataFrame, axes: list[str], kind: str, eta: float, most_levels: int = 64) -> DataFrame:
+def dissected_admissible(base: Column, strict: bool = False) -> Column:
+    """A predicate for trees of dissected domains, over r_type and c_type: distinct domains (type 1) always qualify, else `base` decides.
+
+    strict: blocks of two separators (type 2) never do.
+    """
+    apart = (F.col("r_type") == 1) & (F.col("c_type") == 1) & (F.col("r_node") != F.col("c_node"))
+    found = F.coalesce(apart, F.lit(False)) | base
+    return ~F.coalesce((F.col("r_type") == 2) & (F.col("c_type") == 2), F.lit(False)) & found if strict else found
+
+
+def coupled_admissible(base: Column, interfaces: bool = False) -> Column:
+    """A predicate on a row cluster that may be associated with a column cluster (r_associated): domains (type 1) qualify if they aren't
+    associated, else `base` decides. interfaces: clusters of an interface (type 4) qualify against any domain, and interface parts
+    (type 3) against domains that they aren't associated with, in either direction (c_associated).
+    """
+    r, c, rt, ct = F.col("r_associated"), F.col("c_associated"), F.col("r_type"), F.col("c_type")
+    if not interfaces:
+        return base | F.coalesce(r.isNotNull() & (r != F.col("c_node")) & (ct == 1) & (rt == 1), F.lit(False))
+    found = base
+    for rule in ((rt == 1) & (ct == 1) & (F.col("r_node") != F.col("c_node")), (rt == 4) & (ct == 1), (rt == 1) & (ct == 4), (rt == 3) & (ct == 1) & (r != F.col("c_node")), (rt == 1) & (ct == 3) & (c != F.col("r_node"))):
+        found = found | F.coalesce(rule, F.lit(False))
+    return found
+
+
+def block_tree(nodes: DataFrame, axes: list[str], kind: str | Column, eta: float = 1.0, most_levels: int = 64, carry: tuple[str, ...] = ()) -> DataFrame:
     """(r_node, c_node, level, admissible, leaf) of the block tree of a cluster tree with itself.
 
     A pair is a leaf if it is admissible or either cluster is a leaf; else all pairs of sons follow.
-    Each level is two equi-joins on the parents.
+    Each level is two equi-joins on the parents. `kind` is a name that `admissible` knows, or any predicate
+    over the pair's columns: boxes, r_node, c_node, r_leaf, c_leaf and the columns named in `carry`, with r_ and c_.
     """
-    kept = ["node", "leaf", *[f"{n}_{a}" for a in axes for n in ("min", "max")]]
+    test = admissible(kind, axes, eta) if isinstance(kind, str) else kind
+    kept = ["node", "leaf", *carry, *[f"{n}_{a}" for a in axes for n in ("min", "max")]]
     side = lambda s: nodes.select(F.col("parent").alias(f"{s}parent"), *[F.col(c).alias(f"{s}{c}") for c in kept])
     now = pairs(nodes.filter("node = 1").select(kept), nodes.filter("node = 1").select(kept)).withColumn("level", F.lit(0))
     found = None
     for level in range(most_levels):
-        judged = now.withColumn("admissible", admissible(kind, axes, eta)).withColumn("leaf", F.col("admissible") | F.col("r_leaf") | F.col("c_leaf"))
+        judged = now.withColumn("admissible", test).withColumn("leaf", F.col("admissible") | F.col("r_leaf") | F.col("c_leaf"))
         judged = cut_lineage(judged)
         part = judged.select("r_node", "c_node", "level", "admissible", "leaf")
         found = part if found is None else found.unionByName(part)
@@ -169,9 +195,59 @@ def block_tree(nodes: DataFrame, axes: list[str], kind: str, eta: float, most_le
         if not split.limit(1).count():
             break
         now = split.join(side("r_"), "r_parent").join(side("c_"), "c_parent").drop("r_parent", "c_parent").withColumn("level", F.lit(level + 1))
+    else:
+        raise RuntimeError("the block tree is deeper than most_levels")
     return found
 
 
+def extended(nodes: DataFrame, depth: int, every: bool = True) -> DataFrame:
+    """A tree whose leaves above `depth` get a chain of only sons with the same points down to it; every=False: one more level for leaves at depth - 1 alone."""
+    short = nodes.filter("leaf").filter(F.col("level") < depth if every else F.col("level") == depth - 1)
+    chain = short.select("*", F.explode(F.sequence(F.col("level") + 1, F.lit(depth))).alias("_l"))
+    down = F.col("_l") - F.col("level")
+    added = chain.withColumn("parent", F.expr("shiftleft(node, CAST(_l - level - 1 AS INT))")).withColumn("node", F.expr("shiftleft(node, CAST(_l - level AS INT))"))
+    added = added.withColumn("leaf", F.col("_l") == depth).withColumn("level", F.col("level") + down).drop("_l")
+    inner = nodes.join(short.select("node", F.lit(True).alias("_x")), "node", "left").withColumn("leaf", F.col("leaf") & F.col("_x").isNull()).drop("_x")
+    return inner.unionByName(added.select(*nodes.columns))
+
+
+def cut_to_depth(nodes: DataFrame, depth: int) -> DataFrame:
+    """A tree without the levels below `depth`; what stood there is in its leaves."""
+    return nodes.filter(F.col("level") <= depth).withColumn("leaf", F.col("leaf") | (F.col("level") == depth))
+
+
+def balanced(nodes: DataFrame, depth: int) -> DataFrame:
+    """All leaves at `depth`: deeper ones cut, others extended."""
+    return extended(cut_to_depth(nodes, depth), depth)
+
+
+def without_small(nodes: DataFrame, least: int) -> DataFrame:
+    """A tree in which sons stay only if all sons of their node, and of its ancestors, have `least` points."""
+    bad = nodes.filter((F.col("size") < least) & F.col("parent").isNotNull()).select(F.col("parent").alias("_p")).distinct()
+    below = nodes.select("node", F.explode(F.expr("transform(sequence(1, greatest(1, level)), d -> shiftright(node, d))")).alias("_p")).join(bad, "_p", "left_semi").select("node").distinct()
+    return nodes.join(below, "node", "left_anti").join(bad.select(F.col("_p").alias("node"), F.lit(True).alias("_x")), "node", "left").withColumn("leaf", F.col("leaf") | F.coalesce("_x", F.lit(False))).drop("_x")
+
+
+def tree_faults(nodes: DataFrame) -> DataFrame:
+    """(node, fault) of a node table that isn't a tree: no parent, sizes that don't add up, a leaf with sons or a node with neither, a box that doesn't hold its sons'."""
+    axes = [c.removeprefix("min_") for c in nodes.columns if c.startswith("min_")]
+    sons = nodes.filter(F.col("parent").isNotNull())
+    summed = sons.groupBy(F.col("parent").alias("node")).agg(F.sum("size").alias("_n"), *[f(f"{n}_{a}").alias(f"_{n}_{a}") for a in axes for n, f in (("min", F.min), ("max", F.max))])
+    orphans = sons.join(nodes.select(F.col("node").alias("parent")), "parent", "left_anti").select("node", F.lit("no parent").alias("fault"))
+    both = nodes.join(summed, "node", "left")
+    outside = F.lit(False)
+    for a in axes:
+        outside = outside | (F.col(f"_min_{a}") < F.col(f"min_{a}")) | (F.col(f"_max_{a}") > F.col(f"max_{a}"))
+    fault = F.when(F.col("leaf") & F.col("_n").isNotNull(), "a leaf with sons").when(~F.col("leaf") & F.col("_n").isNull(), "neither leaf nor sons").when(F.col("_n") != F.col("size"), "sizes").when(outside, "box")
+    return both.select("node", fault.alias("fault")).filter(F.col("fault").isNotNull()).unionByName(orphans)
+
+
+def pairing_faults(nodes: DataFrame, ghosts: DataFrame) -> DataFrame:
+    """(id): boundary nodes whose ghost is missing or in another cluster; nodes(id, cluster), ghosts(id, ghost)."""
+    pair = ghosts.join(nodes.select("id", F.col("cluster").alias("_a")), "id").join(nodes.select(F.col("id").alias("ghost"), F.col("cluster").alias("_b")), "ghost", "left")
+    return pair.filter(~F.col("_a").eqNullSafe(F.col("_b"))).select("id")
+
+
 def sparsity_constant(blocks: DataFrame) -> DataFrame:
     """One row: the most leaf blocks of a row cluster and of a column cluster, and the greater of both."""
     leaves = blocks.filter("leaf")

@@ -30,6 +30,8 @@ def bfs_levels(edges: DataFrame, start: DataFrame, most_levels: int = 10_000) ->
         if not frontier.limit(1).count():
             break
         seen = cut_lineage(seen.unionByName(frontier))
+    else:
+        raise RuntimeError("the graph is deeper than most_levels")
     return seen
 
 
@@ -83,6 +85,8 @@ def shortest_paths(edges: DataFrame, start: DataFrame, most_rounds: int = 1000)
         if not changed.limit(1).count():
             break
         dist = cut_lineage(dist.join(changed.select("id"), "id", "left_anti").unionByName(changed))
+    else:
+        raise RuntimeError("paths didn't settle")
     return dist
 
 
@@ -146,3 +150,59 @@ def stencil_update(neighbours: DataFrame, considered: DataFrame, allowed: DataFr
     """(id): considered nodes that have a neighbour outside the allowed set; neighbours(id, nbr)."""
     outside = neighbours.join(allowed.select(F.col("id").alias("nbr")), "nbr", "left_anti").select("id").distinct()
     return considered.select("id").join(outside, "id", "left_semi")
+
+
+def levels_within(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(part, id, level) from start(part, id) over edges(part, src, dst): the fronts of all parts advance together."""
+    seen = cut_lineage(start.select("part", "id", F.lit(0).alias("level")))
+    frontier, level = seen, 0
+    while frontier.limit(1).count():
+        level += 1
+        fresh = edges.join(frontier.select("part", F.col("id").alias("src")), ["part", "src"]).select("part", F.col("dst").alias("id")).distinct()
+        frontier = cut_lineage(fresh.join(seen, ["part", "id"], "left_anti").withColumn("level", F.lit(level)))
+        seen = cut_lineage(seen.unionByName(frontier))
+    return seen
+
+
+def partition(edges: DataFrame, vertices: DataFrame, bisections: int) -> DataFrame:
+    """(id, part) of 2^bisections parts of about equal size: each part is cut across its levels from a vertex far out.
+
+    The parts of a step are cut together: two sweeps of levels, from the least id and from the last vertex that
+    reaches, then a cut after the first half of the part's vertices by (level, id). Vertices that the sweep doesn't
+    reach come last. A part's order is a count of its levels and a window in one level, so no part meets in a task.
+    """
+    from pyspark.sql import Window as W
+
+    now = cut_lineage(vertices.select("id", F.lit(0).cast("long").alias("part")).distinct())
+    both = symmetric(edges).select("src", "dst")
+    for _ in range(bisections):
+        own = now.select("part", F.col("id").alias("src"))
+        inner = cut_lineage(both.join(own, "src").join(now.select(F.col("part").alias("_p"), F.col("id").alias("dst")), "dst").filter(F.col("part") == F.col("_p")).select("part", "src", "dst"))
+        first = levels_within(inner, now.groupBy("part").agg(F.min("id").alias("id")))
+        last = first.groupBy("part").agg(F.max(F.struct("level", "id"))["id"].alias("id"))
+        swept = levels_within(inner, last)
+        placed = cut_lineage(now.join(swept, ["part", "id"], "left").withColumn("level", F.coalesce("level", F.lit((1 << 31) - 1))))
+        counts = placed.groupBy("part", "level").agg(F.count(F.lit(1)).alias("n"))
+        ahead = W.partitionBy("part").orderBy("level").rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn("before", F.coalesce(F.sum("n").over(ahead), F.lit(0))).withColumn("half", F.ceil(F.sum("n").over(W.partitionBy("part")) / 2))
+        joined = placed.join(counts, ["part", "level"])
+        # Only the level in which the half ends is put in order.
+        split = joined.filter((F.col("before") < F.col("half")) & (F.col("half") < F.col("before") + F.col("n")))
+        ordered = split.withColumn("_r", F.row_number().over(W.partitionBy("part", "level").orderBy("id"))).select("id", (F.col("before") + F.col("_r") > F.col("half")).alias("_right"))
+        right = joined.join(ordered, "id", "left").withColumn("_right", F.coalesce("_right", F.col("before") >= F.col("half")))
+        now = cut_lineage(right.select("id", (2 * F.col("part") + F.col("_right").cast("int")).alias("part")))
+    return now
+
+
+def edge_cut(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row: edges between parts(id, part), and the least and the largest part."""
+    cut = symmetric(edges).filter(F.col("src") < F.col("dst")).join(parts.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst")
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.lit(1).alias("_k"))
+    return cut.agg(F.count_if(F.col("a") != F.col("b")).alias("cut"), F.lit(1).alias("_k")).join(sizes, "_k").drop("_k")
+
+
+def subdomains(edges: DataFrame, parts: DataFrame) -> DataFrame:
+    """(id, part, separator) of parts(id, part): vertices with a neighbour in a part of a smaller number form the separator, so inner vertices of different parts don't touch."""
+    both = symmetric(edges)
+    touching = both.join(parts.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst").filter(F.col("a") > F.col("b"))
+    return parts.join(touching.select(F.col("src").alias("id"), F.lit(True).alias("separator")).distinct(), "id", "left").withColumn("separator", F.coalesce("separator", F.lit(False)))

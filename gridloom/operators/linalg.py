@@ -121,3 +121,37 @@ def relative_errors(x: DataFrame, reference: DataFrame) -> DataFrame:
         F.sqrt(F.sum(F.col("_d") * F.col("_d")) / F.sum(F.col("_r") * F.col("_r"))).alias("rel_l2"),
         F.max(F.abs("_d")).alias("abs_linf"),
     )
+
+
+def asymmetry(a: DataFrame) -> DataFrame:
+    """One row: the greatest |a_ij - a_ji|; 0 of a symmetric matrix."""
+    return add(a, transpose(a), -1.0).agg(F.coalesce(F.max(F.abs("val")), F.lit(0.0)).alias("asymmetry"))
+
+
+def orthogonality(a: DataFrame, n: int) -> DataFrame:
+    """One row: the Frobenius norm of A^T A - I."""
+    return add(identity(a.sparkSession, n), spmm(a, a, a_transposed=True), -1.0).agg(F.sqrt(F.coalesce(F.sum(F.col("val") * F.col("val")), F.lit(0.0))).alias("defect"))
+
+
+def diagonal_first(a: DataFrame) -> DataFrame:
+    """(row, ord, col, val): each row's entries by column, but the diagonal one first."""
+    from pyspark.sql import Window as W
+
+    order = W.partitionBy("row").orderBy((F.col("row") != F.col("col")).cast("int"), "col")
+    return a.select("row", (F.row_number().over(order) - 1).alias("ord"), "col", "val")
+
+
+def sorted_by(df: DataFrame, key: str, value: str, less) -> DataFrame:
+    """(key, value array) of each group in the order of a comparator: less(a, b) is a Column that tells whether a comes first."""
+    order = lambda a, b: F.when(less(a, b), -1).when(less(b, a), 1).otherwise(0)
+    return df.groupBy(key).agg(F.array_sort(F.collect_list(value), order).alias(value))
+
+
+def from_csr(rows: DataFrame) -> DataFrame:
+    """(row, col, val) of rows(row, cols, vals); as_csr is the way back."""
+    return rows.select("row", F.explode(F.arrays_zip("cols", "vals")).alias("e")).select("row", F.col("e.cols").alias("col"), F.col("e.vals").alias("val"))
+
+
+def as_csr(a: DataFrame) -> DataFrame:
+    listed = a.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("col", "val"))).alias("e"))
+    return listed.select("row", F.transform("e", lambda x: x["col"]).alias("cols"), F.transform("e", lambda x: x["val"]).alias("vals"))

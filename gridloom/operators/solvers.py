@@ -411,3 +411,143 @@ def preconditioner_quality(a: Apply, at: Apply, prec: Apply, prec_t: Apply, n: i
 def condition_estimate(a: np.ndarray) -> float:
     """Maximum-norm condition number of a matrix that fits the driver."""
     return float(np.linalg.cond(a, np.inf))
+
+
+class Solver:
+    """A prepared solver: solve(b) for a right side, psolve(b) as a preconditioner (one application, no tolerance asked)."""
+
+    def __init__(self, method: Callable[..., tuple[np.ndarray, int]], a: Apply, **options):
+        self.method, self.a, self.options, self.steps = method, a, options, 0
+
+    def solve(self, b: np.ndarray) -> np.ndarray:
+        x, self.steps = self.method(self.a, b, **self.options)
+        return x
+
+    def psolve(self, b: np.ndarray) -> np.ndarray:
+        prec = self.options.get("prec", _same)
+        return prec(b)
+
+
+class Truncation:
+    """Factors of a block given by products with it: by `svd` of its factors, by `random` probes or by `lanczos` steps."""
+
+    def __init__(self, method: str = "svd", eps: float = 1e-8):
+        self.method, self.eps = method, eps
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from .harith import lanczos_truncation
+        from .lowrank import randomized, truncate
+
+        if self.method == "svd":
+            return truncate(a, b, self.eps)
+        apply, apply_t = (lambda x: a @ (b.T @ x)), (lambda x: b @ (a.T @ x))
+        if self.method == "random":
+            return randomized(apply, apply_t, len(b), self.eps)
+        return lanczos_truncation(apply, apply_t, len(a), len(b), self.eps)
+
+    def trace(self, a: np.ndarray, b: np.ndarray) -> list[tuple[int, float]]:
+        """(rank, spectral norm of the error) for each rank up to the one kept."""
+        u, v = self(a, b)
+        qu, ru = np.linalg.qr(u)
+        qv, rv = np.linalg.qr(v)
+        x, s, yt = np.linalg.svd(ru @ rv.T)
+        whole = a @ b.T
+        return [(k, float(np.linalg.norm(whole - (qu @ x[:, :k] * s[:k]) @ (yt[:k] @ qv.T), 2))) for k in range(len(s) + 1)]
+
+
+def orthogonalized(v: np.ndarray, method: str = "modified") -> np.ndarray:
+    """Orthonormal columns with the span of v's: classical, modified, twice (classical, repeated), householder or cholesky."""
+    v = np.array(v, float)
+    if method == "householder":
+        return np.linalg.qr(v)[0]
+    if method == "cholesky":
+        return np.linalg.solve(np.linalg.cholesky(v.T @ v), v.T).T
+    q = np.zeros((len(v), 0))
+    for x in v.T:
+        for _ in range(2 if method == "twice" else 1):
+            if method == "modified":
+                for w in q.T:
+                    x = x - w * (w @ x)
+            else:
+                x = x - q @ (q.T @ x)
+        size = np.linalg.norm(x)
+        if size == 0:
+            raise ZeroDivisionError("the columns are dependent")
+        q = np.column_stack([q, x / size])
+    return q
+
+
+def tridiagonal_eigen(diagonal: np.ndarray, beside: np.ndarray, most: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues, ascending, and vectors of a symmetric tridiagonal matrix: QR steps with Wilkinson's shift, by rotations."""
+    n = len(diagonal)
+    t = np.diag(np.array(diagonal, float)) + np.diag(np.array(beside, float), 1) + np.diag(np.array(beside, float), -1)
+    q, hi, spent = np.eye(n), n - 1, 0
+    while hi > 0:
+        if abs(t[hi, hi - 1]) <= 1e-15 * (abs(t[hi, hi]) + abs(t[hi - 1, hi - 1])):
+            t[hi, hi - 1] = t[hi - 1, hi] = 0
+            hi, spent = hi - 1, 0
+            continue
+        spent += 1
+        if spent > most:
+            raise RuntimeError("the eigenvalues didn't settle")
+        d = (t[hi - 1, hi - 1] - t[hi, hi]) / 2
+        e2 = t[hi, hi - 1] ** 2
+        shift = t[hi, hi] - e2 / (d + (np.sqrt(d * d + e2) if d >= 0 else -np.sqrt(d * d + e2))) if d or e2 else t[hi, hi]
+        m = hi + 1
+        qk, rk = hessenberg_qr(t[:m, :m] - shift * np.eye(m))
+        t[:m, :m] = rk @ qk + shift * np.eye(m)
+        q[:, :m] = q[:, :m] @ qk
+    order = np.argsort(np.diag(t), kind="stable")
+    return np.diag(t)[order], q[:, order]
+
+
+def hessenberg_qr(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Q and R of an upper Hessenberg matrix, by one rotation for each entry below the diagonal."""
+    r, q = np.array(h, float), np.eye(len(h))
+    for k in range(len(h) - 1):
+        size = np.hypot(r[k, k], r[k + 1, k])
+        if size == 0:
+            continue
+        g = np.array([[r[k, k], r[k + 1, k]], [-r[k + 1, k], r[k, k]]]) / size
+        r[k : k + 2] = g @ r[k : k + 2]
+        q[:, k : k + 2] = q[:, k : k + 2] @ g.T
+    return q, np.triu(r)
+
+
+def bunch_kaufman(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P, L, D with P A P^T = L D L^T of a symmetric matrix that need not be definite; D has blocks of one or two."""
+    a, n = np.array(a, float), len(a)
+    p, low, d = np.arange(n), np.eye(n), np.zeros((n, n))
+    alpha, k = (1 + 17**0.5) / 8, 0
+
+    def swap(i: int, j: int) -> None:
+        a[[i, j]] = a[[j, i]]
+        a[:, [i, j]] = a[:, [j, i]]
+        low[[i, j], :k] = low[[j, i], :k]
+        p[[i, j]] = p[[j, i]]
+
+    while k < n:
+        size = 1
+        if k + 1 < n:
+            r = k + 1 + int(np.abs(a[k + 1 :, k]).argmax())
+            lam = abs(a[r, k])
+            if lam > 0 and abs(a[k, k]) < alpha * lam:
+                others = np.abs(a[k:, r]).copy()
+                others[r - k] = 0
+                sigma = others.max()
+                if abs(a[k, k]) * sigma >= alpha * lam * lam:
+                    pass
+                elif abs(a[r, r]) >= alpha * sigma:
+                    swap(k, r)
+                else:
+                    swap(k + 1, r)
+                    size = 2
+        block = a[k : k + size, k : k + size].copy()
+        d[k : k + size, k : k + size] = block
+        if k + size < n and np.abs(block).max() > 0:
+            c = a[k + size :, k : k + size]
+            m = np.linalg.solve(block, c.T).T
+            low[k + size :, k : k + size] = m
+            a[k + size :, k + size :] -= m @ c.T
+        k += size
+    return p, low, d
