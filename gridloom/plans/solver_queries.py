@@ -27,31 +27,82 @@ def _vector(s: SparkSession, v: np.ndarray, name: str = "v") -> DataFrame:
     return s.createDataFrame([(i, float(x)) for i, x in enumerate(v)], f"idx long, {name} double")
 
 
-def _rhs(n: int) -> np.ndarray:
+def _known(n: int) -> np.ndarray:
     return 1.0 + np.arange(n) % 7
 
 
+_KNOWN = "SELECT s_suppkey AS idx, 1.0::DOUBLE + s_suppkey % 7 AS v FROM supplier"
+
+
 def _solve(method):
+    """The solution of A x = A x*, for a known x*; a solver that stops short of it is an error."""
+
     def run(s, d):
         a = so.SparseMap(gram(s, d), n_suppliers(s, d))
-        x = method(a, a.transposed, _rhs(a.shape[0]))[0]
-        return _vector(s, np.round(x, 6) + 0.0)
+        b = a(_known(a.shape[0]))
+        x = method(a, a.transposed, b)
+        if np.linalg.norm(a(x) - b) > 1e-8 * np.linalg.norm(b):
+            raise RuntimeError("the solver didn't converge")
+        return _vector(s, np.round(x, 4) + 0.0)
 
     return run
 
 
-def _eigen(s, d):
-    a = so.SparseMap(gram(s, d), n_suppliers(s, d))
-    return _vector(s, np.round(so.lanczos(a, a.shape[0], 5)[0], 6), "eigenvalue")
+def rotated(s: SparkSession, d: str, first: float | None = None) -> DataFrame:
+    """A symmetric matrix whose eigenvalues are the suppliers' balances: pairs of them, turned by an angle. `first` replaces supplier 0's."""
+    balance = F.col("s_acctbal") if first is None else F.when(F.col("s_suppkey") == 0, F.lit(first)).otherwise(F.col("s_acctbal"))
+    v = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), balance.alias("v"))
+    pair = v.filter("k % 2 = 0").select("k", F.col("v").alias("a")).join(v.filter("k % 2 = 1").select((F.col("k") - 1).alias("k"), F.col("v").alias("b")), "k", "left")
+    angle = F.lit(0.3) + (F.col("k") / 2) % 5 * 0.2
+    co, si, k, a, b = F.cos(angle), F.sin(angle), F.col("k"), F.col("a"), F.col("b")
+    alone = F.array(F.struct(k.alias("row"), k.alias("col"), a.alias("val")))
+    entry = lambda i, j, x: F.struct((k + i).alias("row"), (k + j).alias("col"), x.alias("val"))
+    both = F.array(entry(0, 0, co * co * a + si * si * b), entry(0, 1, co * si * (a - b)), entry(1, 0, co * si * (a - b)), entry(1, 1, si * si * a + co * co * b))
+    return pair.select(F.explode(F.when(b.isNull(), alone).otherwise(both)).alias("e")).select("e.row", "e.col", "e.val")
+
+
+def turned(s: SparkSession, d: str) -> DataFrame:
+    """A matrix of pairs [a -b; b a], with eigenvalues a +- b i, from the customers' balances."""
+    c = table(s, d, "customer").select((F.col("c_custkey") - F.lit(1)).alias("k"), (F.col("c_acctbal") / 100).alias("a"), (F.col("c_nationkey") + 1).cast("double").alias("b"))
+    low = c.agg(F.min("k")).first()[0]
+    i = (F.col("k") - low) * 2
+    entry = lambda p, q, x: F.struct((i + p).alias("row"), (i + q).alias("col"), x.alias("val"))
+    return c.select(F.explode(F.array(entry(0, 0, F.col("a")), entry(0, 1, -F.col("b")), entry(1, 0, F.col("b")), entry(1, 1, F.col("a")))).alias("e")).select("e.row", "e.col", "e.val")
+
+
+def _eigen(method, places: int = 4):
+    """The values that `method` finds, by place."""
+
+    def run(s, d):
+        a = so.SparseMap(rotated(s, d), n_suppliers(s, d))
+        return _vector(s, np.round(np.asarray(method(a, s, d), float), places) + 0.0, "eigenvalue")
+
+    return run
+
+
+def _balances(order: str, k: int = 5) -> str:
+    return f"SELECT row_number() OVER (ORDER BY {order}) - 1 AS idx, round(s_acctbal, 4) + 0.0 AS eigenvalue FROM supplier ORDER BY {order} LIMIT {k}"
+
+
+def _diagonal(s, d) -> np.ndarray:
+    out = np.zeros(n_suppliers(s, d))
+    for r in rotated(s, d).filter("row = col").collect():
+        out[r["row"]] = r["val"]
+    return out
 
 
 def _svd(s, d):
-    a = so.SparseMap(matrix(s, d), int(table(s, d, "part").agg(F.max("p_partkey")).first()[0]) + 1, n_suppliers(s, d))
-    return _vector(s, np.round(so.partial_svd(a, a.transposed, *a.shape, 3)[1], 6), "sigma")
+    a = so.SparseMap(rotated(s, d), n_suppliers(s, d))
+    return _vector(s, np.round(so.partial_svd(a, a.transposed, *a.shape, 3)[1], 4), "sigma")
+
+
+def _general(s, d):
+    a = so.SparseMap(turned(s, d), 2 * table(s, d, "customer").count())
+    return _vector(s, np.round(np.abs(so.arnoldi(a, a.shape[0], 4, basis=60)[0]), 4), "magnitude")
 
 
 def _norm(s, d):
-    a = so.SparseMap(gram(s, d), n_suppliers(s, d))
+    a = so.SparseMap(rotated(s, d, 1e6), n_suppliers(s, d))
     return s.createDataFrame([(round(so.spectral_norm(a, a.transposed, a.shape[0]), 3),)], "norm double")
 
 
@@ -121,15 +172,39 @@ def _h_matvec(s, d):
     return lr.h_matvec(h, ones).select("idx", F.round("v", 4).alias("v"))
 
 
+def _jacobi(a: so.SparseMap) -> so.Apply:
+    """Division by the diagonal, which probes of disjoint rows would give as well; here from the entries."""
+    diagonal = np.zeros(a.shape[0])
+    at = a.row == a.col
+    diagonal[a.row[at]] = a.val[at]
+    return lambda r: r / diagonal
+
+
+def _nearest(a: so.SparseMap, s, d) -> np.ndarray:
+    """The four eigenvalues nearest to 4321.5, in order; the shifted matrix is solved by a dense factorization of its pairs."""
+    n = a.shape[0]
+    dense = np.zeros((n, n))
+    dense[a.row, a.col] = a.val
+    factor = np.linalg.inv(dense - 4321.5 * np.eye(n))
+    return np.sort(so.shift_invert(lambda x: factor @ x, 4321.5, n, 4)[0])
+
+
 QUERIES = {
     "power_iteration_k3": (_power, _power_sql()),
-    "spectral_norm": (_norm, None),
-    "cg": (_solve(lambda a, at, b: so.cg(a, b)), None),
-    "bicg": (_solve(lambda a, at, b: so.bicg(a, at, b)), None),
-    "bicgstab": (_solve(lambda a, at, b: so.bicgstab(a, b)), None),
-    "gmres": (_solve(lambda a, at, b: so.gmres(a, b)), None),
-    "lanczos_topk": (_eigen, None),
-    "partial_svd": (_svd, None),
+    "spectral_norm": (_norm, "SELECT 1000000.0::DOUBLE AS norm"),
+    "cg": (_solve(lambda a, at, b: so.cg(a, b)[0]), _KNOWN),
+    "cg_jacobi": (_solve(lambda a, at, b: so.cg(a, b, prec=_jacobi(a))[0]), _KNOWN),
+    "bicg": (_solve(lambda a, at, b: so.bicg(a, at, b)[0]), _KNOWN),
+    "bicgstab": (_solve(lambda a, at, b: so.bicgstab(a, b)[0]), _KNOWN),
+    "gmres": (_solve(lambda a, at, b: so.gmres(a, b)[0]), _KNOWN),
+    "solver_class": (_solve(lambda a, at, b: so.Solver(so.gmres, a, prec=_jacobi(a)).solve(b)), _KNOWN),
+    "lanczos_topk": (_eigen(lambda a, s, d: so.lanczos(a, a.shape[0], 5)[0]), _balances("s_acctbal DESC")),
+    "lanczos_smallest": (_eigen(lambda a, s, d: so.lanczos(a, a.shape[0], 5, rule="smallest_alge")[0]), _balances("s_acctbal")),
+    "shift_invert": (_eigen(lambda a, s, d: _nearest(a, s, d)), "SELECT row_number() OVER (ORDER BY s_acctbal) - 1 AS idx, round(s_acctbal, 4) + 0.0 AS eigenvalue FROM (SELECT * FROM supplier ORDER BY abs(s_acctbal - 4321.5) LIMIT 4)"),
+    "davidson": (_eigen(lambda a, s, d: so.davidson(a, _diagonal(s, d), 4)[0]), _balances("s_acctbal DESC", 4)),
+    "lobpcg": (_eigen(lambda a, s, d: so.lobpcg(a, a.shape[0], 4, most=3000)[0], 3), _balances("s_acctbal", 4).replace("4) + 0.0", "3) + 0.0")),
+    "arnoldi": (_general, "SELECT row_number() OVER (ORDER BY m DESC) - 1 AS idx, round(m, 4) AS magnitude FROM (SELECT unnest([sqrt((c_acctbal / 100) ** 2 + (c_nationkey + 1) ** 2), sqrt((c_acctbal / 100) ** 2 + (c_nationkey + 1) ** 2)]) AS m FROM customer) ORDER BY m DESC LIMIT 4"),
+    "partial_svd": (_svd, "SELECT row_number() OVER (ORDER BY abs(s_acctbal) DESC) - 1 AS idx, round(abs(s_acctbal), 4) AS sigma FROM supplier ORDER BY abs(s_acctbal) DESC LIMIT 3"),
     "rbffd_laplacian": (_laplacian, f"SELECT idx, 8.0::DOUBLE AS v FROM {_GRID}"),
     "poisson_implicit": (_poisson, f"SELECT idx, round(x * x - y * y + x * y, 5) + 0.0 AS v FROM {_GRID}"),
     "rk4": (_decay, "SELECT i AS id, round((i + 1) * exp(-1.0::DOUBLE), 6) AS y FROM range(50) t(i)"),
