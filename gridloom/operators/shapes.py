@@ -148,7 +148,7 @@ def density_fill(spark: SparkSession, inside: Column, lo: list[float], hi: list[
     top = [a + least * (n - 1) for a, n in zip(lo, counts, strict=True)]
     nodes = grid(spark, lo, top, counts).filter(inside).withColumn("_s", spacing)
     level = F.least(F.lit(levels), F.greatest(F.lit(0), F.floor(F.log2(F.col("_s") / least) + 1e-9))).cast("int")
-    step = F.shiftleft(F.lit(1), level)
+    step = F.pow(F.lit(2), level).cast("long")
     on_grid = F.lit(True)
     stride = 1
     for n in reversed(counts):  # the last index is the fastest

@@ -53,7 +53,10 @@ QUERIES = {
         f"WITH RECURSIVE {_WITH}, f AS (SELECT src, dst FROM e WHERE w < 2), r AS (SELECT src AS id, src AS reach FROM f UNION SELECT r.id, f.dst FROM r JOIN f ON f.src = r.reach) SELECT id, min(reach) AS component FROM r GROUP BY id",
     ),
     # connected_components and simple_separator keep the filter of their SQL, edges of some weights; these take all edges.
-    "connected_components_all_edges": (lambda s, d: gr.components(edges(s, d)), None),
+    "connected_components_all_edges": (
+        lambda s, d: gr.components(edges(s, d)),
+        f"WITH RECURSIVE {_WITH}, r AS (SELECT src AS id, src AS reach FROM e UNION SELECT r.id, e.dst FROM r JOIN e ON e.src = r.reach) SELECT id, min(reach) AS component FROM r GROUP BY id",
+    ),
     "simple_separator_all_edges": (
         lambda s, d: gr.simple_separator(edges(s, d), _sides(s, d)),
         f"""WITH {_WITH}, t AS (SELECT id, CASE WHEN id % 5 < 2 THEN 0 ELSE 1 END AS side FROM v),

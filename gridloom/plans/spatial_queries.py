@@ -78,7 +78,13 @@ QUERIES = {
                    CAST(max(a.hi - a.lo) AS DOUBLE) AS diam_max, CAST(max(greatest(0, a.lo - c.hi, c.lo - a.hi)) AS DOUBLE) AS dist_max
             FROM b a JOIN b c USING (i) GROUP BY a.label, c.label""",
     ),
-    "poisson_disk_subset": (lambda s, d: sp.poisson_disk_subset(low(s, d), 900.0, 30.0).select("id"), None),
+    "poisson_disk_subset": (
+        lambda s, d: sp.poisson_disk_subset(low(s, d), 900.0, 30.0).select("id"),
+        f"""WITH RECURSIVE p AS (SELECT id, x[1] AS a, x[2] AS b, row_number() OVER (ORDER BY id) AS n FROM {_Q}),
+            g(n, kept) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, a BIGINT, b BIGINT)[] UNION ALL
+              SELECT p.n, CASE WHEN len([k FOR k IN kept IF (k.a - p.a) * (k.a - p.a) + (k.b - p.b) * (k.b - p.b) < 900]) = 0 THEN list_append(kept, struct_pack(id := p.id, a := p.a, b := p.b)) ELSE kept END FROM g JOIN p ON p.n = g.n + 1)
+            SELECT unnest([k.id FOR k IN kept]) AS id FROM (SELECT kept FROM g ORDER BY n DESC LIMIT 1)""",
+    ),
 }
 
 

@@ -39,7 +39,11 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="gridloom-")
 
 
-def cut_lineage(df: DataFrame, partitions_per_file: int = 0) -> DataFrame:
+#: Shuffle partitions of a small table that go to one file.
+COMPACT = 16
+
+
+def cut_lineage(df: DataFrame, partitions_per_file: int = 0, compact: bool = False) -> DataFrame:
     """Materialise `df` in the shared checkpoint folder and return it without its lineage.
 
     The folder is shared_folder's. The files are reliable checkpoints, so a lost
