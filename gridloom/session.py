@@ -52,8 +52,13 @@ def cut_lineage(df: DataFrame, partitions_per_file: int = 0, compact: bool = Fal
     partitions_per_file: for a narrow plan that makes a compact row of each large
     one, so many input partitions go to a file; else their files would be many
     and tiny.
+    compact: for a table that comes out of a shuffle and is small beside the input
+    (counts, keys, links); it is dealt to COMPACT times fewer files than there are
+    shuffle partitions.
     """
     spark = df.sparkSession
+    if compact:
+        df = df.repartition(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // COMPACT))
     if partitions_per_file and (n := df.rdd.getNumPartitions()) > partitions_per_file:
         df = df.repartition(-(-n // partitions_per_file))
     sc = spark.sparkContext
