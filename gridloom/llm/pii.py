@@ -115,23 +115,23 @@ def disclosing(docs: DataFrame, mentions: DataFrame, disclosure: float, support:
     n = float(max(mentions.count(), 1))
     seen = mentions.filter(F.size("_b") > 0)
     entities = seen.select("_repo", F.explode(F.expr("array_distinct(transform(_b, s -> CAST(s.value AS BIGINT)))")).alias("entity"))
-    n_e = cut_lineage(_counted(entities, ["entity"], "n_e", support))
+    n_e = cut_lineage(_counted(entities, ["entity"], "n_e", support), compact=True)
     if not n_e.limit(1).count():
         return None
-    held = cut_lineage(entities.distinct().join(n_e, "entity"))
+    held = cut_lineage(entities.distinct().join(n_e, "entity"), compact=True)
     opened = _outside(_semi(docs.select("_repo", "_text"), held.select("_repo").distinct(), "_repo", broadcast_terms))
     # _n rows have the same text; they are one row from here on.
-    terms = cut_lineage(opened.select("_repo", F.explode(F.expr("array_distinct(transform(_t, s -> xxhash64(lower(s.value))))")).alias("term")).groupBy("_repo", "term").agg(F.count(F.lit(1)).alias("_n")))
-    wanted = cut_lineage(terms.groupBy("term").agg(F.count(F.lit(1)).alias("_texts")).filter(F.col("_texts") >= support).select("term"))
+    terms = cut_lineage(opened.select("_repo", F.explode(F.expr("array_distinct(transform(_t, s -> xxhash64(lower(s.value))))")).alias("term")).groupBy("_repo", "term").agg(F.count(F.lit(1)).alias("_n")), compact=True)
+    wanted = cut_lineage(terms.groupBy("term").agg(F.count(F.lit(1)).alias("_texts")).filter(F.col("_texts") >= support).select("term"), compact=True)
     # disclosure >= d means n_t <= n_te (N / n_e)^(1 - d), and n_te is n_e at most.
     most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(max(0.0, 1 - disclosure))) * (1 + 1e-6)
     bound = n_e.agg(F.max(most)).first()[0]
-    counts = cut_lineage(_term_counts(docs.select("_text"), wanted, broadcast_terms).filter(F.col("n_t") <= bound))
+    counts = cut_lineage(_term_counts(docs.select("_text"), wanted, broadcast_terms).filter(F.col("n_t") <= bound), compact=True)
     pairs = terms.join(counts, "term").join(held, "_repo").filter(F.col("n_t") <= most)
     both = pairs.groupBy("entity", "term").agg(F.sum("_n").alias("n_te"), F.count(F.lit(1)).alias("_texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).filter(F.col("_texts") >= support)
     learned = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
-    given = cut_lineage(both.filter(learned >= disclosure).select("entity", "term"))
-    return cut_lineage(terms.select("_repo", "term").join(given, "term").join(held.select("_repo", "entity"), ["_repo", "entity"], "left_semi").select("_repo", "term").distinct())
+    given = cut_lineage(both.filter(learned >= disclosure).select("entity", "term"), compact=True)
+    return cut_lineage(terms.select("_repo", "term").join(given, "term").join(held.select("_repo", "entity"), ["_repo", "entity"], "left_semi").select("_repo", "term").distinct(), compact=True)
 
 
 def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:

@@ -108,7 +108,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     text). They are broadcast up to BROADCAST_ROWS rows, so the texts aren't shuffled.
     """
     live = scan(docs).filter(F.size("_live") > 0).groupBy(F.col("doc_id").alias("_id"), F.col("_repo").alias("_r")).agg(F.first("_live").alias("_live"))
-    live = cut_lineage(live.withColumn("_live", F.expr("transform(_live, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))")))
+    live = cut_lineage(live.withColumn("_live", F.expr("transform(_live, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))")), compact=True)
     size = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_live")), F.lit(0))).first()
     if size[0] <= BROADCAST_ROWS and size[1] <= 4 * BROADCAST_ROWS:
         live = F.broadcast(live)
