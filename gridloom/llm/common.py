@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 
 import numpy as np
@@ -41,6 +42,14 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def release_memory() -> None:
+    """Give back what a finished task has freed: Arrow's pool and the heap keep it otherwise, and workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows no model of this subpackage learns from: crc32 of the id's digits, modulo 5, is 0.
 

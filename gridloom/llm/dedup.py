@@ -50,7 +50,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from ..session import cut_lineage
-from .common import WordHash, shingle_hashes, small_batches, unwrapped, utf8, wrapped
+from .common import WordHash, release_memory, shingle_hashes, small_batches, unwrapped, utf8, wrapped
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 48, 8
@@ -119,7 +119,8 @@ def _sketches(width: int):
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in bands]))).astype(np.int32))
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
-        _words().clear()  # workers outlive their tasks
+        _words().clear()
+        release_memory()
 
     return run
 
@@ -231,6 +232,8 @@ def _with_sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
         for b in batches:
             found = [shingle_set(words_of(t), width).tobytes() for t in utf8(b.column(5))]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(found, pa.binary())], names=["grp", "id", "degree", "g_rows", "g_shingles", "shingles"])
+        _words().clear()
+        release_memory()
 
     wanted = members.select("grp", "id", "degree", "g_rows", "g_shingles")
     if wanted.count() <= BROADCAST_ROWS:

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import release_memory, small_batches
 
 WINDOW, END_ID = 2048, 1
 SHARD_ROWS, SHARD_BYTES = 1024, 6_000_000
@@ -322,4 +322,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
             shard(held)
         packer.finish()
         yield taken()
+        del held
+        release_memory()
+
     return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)

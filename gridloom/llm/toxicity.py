@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, held_out, mix64, small_batches
+from .common import WordHash, held_out, mix64, release_memory, small_batches
 
 SLOT_BITS = 20
 #: Labelled documents the model learns from and the characters of their texts, in the mean at most.
@@ -86,16 +86,17 @@ def fit(features: list[np.ndarray], labels: list[int], epochs: int = EPOCHS) ->
     """Slots with a weight, their weights, and the bias."""
     model = FTRL(l1=LEAST_L1 + len(labels) * L1_SHARE)
     if features:
-        seen = np.bincount(np.concatenate(features), minlength=1 << SLOT_BITS)
+        seen = np.zeros(1 << SLOT_BITS, np.int32)
+        for f in features:
+            seen[f] += 1  # a text's slots are distinct
         features = [f[seen[f] >= max(LEAST_SEEN, len(labels) * SEEN_SHARE)] for f in features]
     rng = np.random.default_rng(11)
     for _ in range(epochs):
         for i in rng.permutation(len(labels)):
             model.learn(features[i], labels[i])
-    w = model.weights(slice(None))
-    bias, w = float(w[model.bias]) if labels else -1e-9, w[:-1]
-    kept = np.flatnonzero(w)  # 2^SLOT_BITS at most, 8 bytes each
-    return kept.astype(np.int32), w[kept].astype(np.float32), bias
+    bias = float(model.weights(np.array([model.bias]))[0]) if labels else -1e-9
+    kept = np.flatnonzero(np.abs(model.z[:-1]) > model.l1)  # those with a weight, 2^SLOT_BITS at most, 8 bytes each
+    return kept.astype(np.int32), model.weights(kept).astype(np.float32), bias
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters: int = SAMPLE_CHARACTERS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -112,11 +113,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, characters:
         for b in batches:
             found = [np.unique(slots(t)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "toxic", "slots"])
+        _words().clear()
+        release_memory()
 
     bagged = texts.filter(chosen).join(known.filter(chosen), "doc_id").select("doc_id", "text", "_toxic").mapInArrow(bags, "doc_id long, toxic int, slots binary")
-    rows = bagged.groupBy("doc_id").agg(F.min(F.struct("slots", "toxic")).alias("row")).collect()
-    rows.sort(key=lambda r: r["doc_id"])
-    return fit([np.frombuffer(bytes(r["row"]["slots"]), np.int32) for r in rows], [int(r["row"]["toxic"]) for r in rows])
+    # By Arrow: the features are views of what arrived, not copies.
+    rows = bagged.groupBy("doc_id").agg(F.min(F.struct("slots", "toxic")).alias("row")).select("doc_id", "row.slots", "row.toxic").toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
+    bags_of = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("slots")]
+    toxic = rows.column("toxic").to_numpy()
+    model = fit([bags_of[i] for i in order], toxic[order].tolist())
+    del rows, bags_of
+    release_memory()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
@@ -135,6 +144,8 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataF
                 found = np.unique(found[dense[found] != 0])
                 out.append(1 / (1 + np.exp(-np.clip(float(dense[found].sum(dtype=np.float64)) + bias, -35, 35))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64())], names=["doc_id", "score"])
+        _words().clear()
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
@@ -163,6 +174,7 @@ def keep_clean(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thr
                 found = np.unique(found[dense[found] != 0])
                 kept.append(float(dense[found].sum(dtype=np.float64)) < limit)
             yield b.filter(pa.array(kept, pa.bool_()))
-        _words().clear()  # workers outlive their tasks
+        _words().clear()
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
