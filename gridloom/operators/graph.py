@@ -71,7 +71,9 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
         n = stars["n"]
     else:
         raise RuntimeError("components didn't settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    # One combined sum dealt by the id: centres stand once, and joins on the id need no further shuffle.
+    ends = now.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("component")), F.struct(F.col("v").alias("id"), F.col("v").alias("component")))).alias("_end"))
+    return ends.select("_end.*").groupBy("id").agg(F.min("component").alias("component"))
 
 
 def shortest_paths(edges: DataFrame, start: DataFrame, most_rounds: int = 1000) -> DataFrame:
