@@ -199,20 +199,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, group_ro
     # All rows of a class have the same bands: the row of its smallest id speaks for it (of one id in several classes, each row).
     speakers = with_words.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).dropDuplicates(["digest", "doc_id"])
     banded = speakers.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    # Counted apart, so that adaptive execution may split a band that many classes share when it is joined.
+    shared = cut_lineage(banded.groupBy("band").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), compact=True)
     starred = cut_lineage(banded.join(shared, "band").groupBy("doc_id", "head").agg(F.sum("n").alias("degree")))
-    degrees = starred.groupBy("doc_id").agg(F.sum("degree").alias("degree"))
+    degrees = starred.groupBy(F.col("doc_id").alias("id")).agg(F.sum("degree").alias("degree"))
     groups = components(starred.select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))).withColumnRenamed("component", "grp")
-    members = groups.join(degrees.withColumnRenamed("doc_id", "id"), "id")
     sizes = speakers.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_shingles").alias("n_shingles"))
-    members = members.join(sizes, "id")
-    bounds = members.groupBy("grp").agg(F.count(F.lit(1)).alias("g_rows"), F.sum("n_shingles").alias("g_shingles"))
-    members = cut_lineage(members.join(bounds, "grp").select("id", "grp", "degree", "n_shingles", "g_rows", "g_shingles"))
+    members = cut_lineage(groups.join(degrees, "id").join(sizes, "id").select("id", "grp", "degree", "n_shingles"))
 
-    is_large = (F.col("g_rows") > group_rows) | (F.col("g_shingles") > group_shingles)
-    links = _settle_small(_with_sets(docs, members.filter(~is_large), width), percent)
-    if members.filter(is_large).limit(1).count():
-        sets = cut_lineage(_with_sets(docs, members.filter(is_large), width), partitions_per_file=8)
+    # Only large groups need their sizes; no group's members are dealt by their group to learn them.
+    bounds = members.groupBy("grp").agg(F.count(F.lit(1)).alias("g_rows"), F.sum("n_shingles").alias("g_shingles"))
+    large = cut_lineage(bounds.filter((F.col("g_rows") > group_rows) | (F.col("g_shingles") > group_shingles)), compact=True)
+    n_large = large.count()
+    if n_large <= BROADCAST_ROWS:
+        large = F.broadcast(large)
+    members = members.join(large, "grp", "left").select("id", "grp", "degree", "g_rows", "g_shingles")
+    links = _settle_small(_with_sets(docs, members.filter(F.col("g_rows").isNull()), width), percent)
+    if n_large:
+        sets = cut_lineage(_with_sets(docs, members.filter(F.col("g_rows").isNotNull()), width), partitions_per_file=8)
         links = links.unionByName(_settle_large(sets, percent, group_rows, group_shingles))
     # The graph's nodes are classes, by their smallest ids; a row has the component of its class, looked up by digest.
     linked = components(links.unionByName(repeated))
@@ -256,9 +260,10 @@ def _settle_large(sets: DataFrame, percent: int, group_rows: int, group_shingles
     """Links of groups that don't fit one task: the hub against all, then what is left against all blocks.
 
     All joins are on the group; the side with a third of all rows is one that adaptive
-    execution splits, the other has a row for each group or block.
+    execution splits, the other is a written table of a row for each group or block.
     """
-    hub = sets.groupBy("grp").agg(F.max(F.struct("degree", F.negative("id").alias("i"), "shingles"))["shingles"].alias("hub"), F.max(F.struct("degree", F.negative("id").alias("i")))["i"].alias("i"))
+    best = F.max(F.struct("degree", F.negative("id").alias("i"), "shingles"))
+    hub = cut_lineage(sets.groupBy("grp").agg(best.alias("best")).select("grp", F.col("best.shingles").alias("hub"), F.col("best.i").alias("i")), compact=True)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -275,7 +280,7 @@ def _settle_large(sets: DataFrame, percent: int, group_rows: int, group_shingles
     n_blocks = F.greatest(F.ceil(F.col("g_rows") / (group_rows // 2)), F.ceil(F.col("g_shingles") / (group_shingles // 2))).cast("int")
     dealt = marked.withColumn("nb", n_blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("nb")).cast("int"))
     # Pairs of blocks (left: rows the hub didn't settle; right: all rows). Only blocks that have such rows go left.
-    lefts = dealt.filter(~F.col("hit")).groupBy("grp", "nb").agg(F.collect_set("block").alias("left_blocks"))
+    lefts = cut_lineage(dealt.filter(~F.col("hit")).groupBy("grp", "nb").agg(F.collect_set("block").alias("left_blocks")), compact=True)
     right = dealt.join(lefts.select("grp", "left_blocks"), "grp").select("grp", F.explode("left_blocks").alias("l"), F.col("block").alias("r"), "id", "degree", "hit", "shingles", F.lit(False).alias("asks"))
     left = dealt.filter(~F.col("hit")).select("grp", F.col("block").alias("l"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("r"), "id", "degree", "hit", "shingles", F.lit(True).alias("asks"))
 
