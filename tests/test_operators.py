@@ -410,3 +410,12 @@ def test_h_matrix_arithmetic(spark):
         assert np.allclose([got[i] for i in range(120)], factor * dense_h @ v, atol=1e-5)
     s = lowrank.storage(h).first()
     assert s["max_rank"] < 16 and s["dense_bytes"] + s["lowrank_bytes"] < 8 * 120 * 120
+
+
+def test_components_give_each_id_once(spark):
+    """A hub, a chain, repeated edges in both directions, a loop, and no edges at all."""
+    edges = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(20)] + [(201, 200), (200, 201), (200, 201), (7, 7)]
+    want = dict.fromkeys(range(60), 0) | dict.fromkeys(range(100, 121), 100) | {200: 200, 201: 200}
+    got = graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert sorted((r["id"], r["component"]) for r in got) == sorted(want.items())
+    assert graph.components(spark.createDataFrame([], "src long, dst long")).count() == 0
