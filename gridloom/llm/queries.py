@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, fingerprints, langid, licences, mixing, oracles, packing, pii, quality, secrets, toxicity
+from . import dedup, fingerprints, knn, langid, licences, mixing, oracles, packing, pii, quality, runs, secrets, toxicity
 from .common import documents, tokenizer_file
 
 
@@ -52,6 +52,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.report(documents(spark, sf_dir), plant=True)
+
+
+def op12_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprints": op1_fingerprints,
@@ -64,6 +72,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_licences": op9_licences,
         "op10_quality_rules": op10_quality_rules,
+        "op11_runs": op11_runs,
+        "op12_quality_votes": op12_quality_votes,
     }
 
 
