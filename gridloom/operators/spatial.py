@@ -20,37 +20,79 @@ from pyspark.sql import functions as F
 
 BLOCK = 4096
 _NEIGHBOURS = "id long, nbr long, d2 double"
+#: Dimensions up to which all distances of two blocks are taken by differences.
+_FEW = 4
 
 
-def _blockwise(queries: DataFrame, points: DataFrame, kernel: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], block: int) -> DataFrame:
-    """(id, nbr, d2) of what kernel(d2, ids, nbrs) picks as (rows, columns) in each pair of blocks."""
+class Block:
+    """Squared distances of a block of queries and a block of points, which are sorted by id.
+
+    In few dimensions they are sums of squared differences. In many, products of the centred blocks
+    give them up to `error`, for each query, and `exact` gives those picked by differences again.
+    """
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b = a, b
+        if a.shape[1] <= _FEW:
+            self.d2, self.error = np.zeros((len(a), len(b))), np.zeros(len(a))
+            for k in range(a.shape[1]):
+                self.d2 += (a[:, k, None] - b[None, :, k]) ** 2
+            return
+        middle = b.mean(axis=0)
+        p, q = a - middle, b - middle
+        n_p, n_q = (p * p).sum(1), (q * q).sum(1)
+        self.d2 = n_p[:, None] + n_q[None, :] - 2 * (p @ q.T)
+        # What centring rounds off counts too: it is relative to the coordinates as given.
+        scale = n_p + n_q.max() + (np.abs(a).max(1) + np.abs(b).max()) * (np.sqrt(n_p) + np.sqrt(n_q.max()))
+        self.error = 4 * (a.shape[1] + 8) * np.finfo(float).eps * scale
+
+    def exact(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The squared distances of pairs, coordinate after coordinate."""
+        if self.a.shape[1] <= _FEW:
+            return self.d2[i, j]
+        out = np.zeros(len(i))
+        for k in range(self.a.shape[1]):
+            out += (self.a[i, k] - self.b[j, k]) ** 2
+        return out
+
+    def below(self, limit: np.ndarray | float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs (i, j, d2) that may be within `limit`, by i and j; all that are within it are among them."""
+        i, j = np.nonzero(self.d2 <= (limit + self.error)[:, None])
+        return i, j, self.exact(i, j)
+
+    def nearest(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The k nearest of each query, the first ones of equals."""
+        take = min(k, self.d2.shape[1])
+        i, j, d2 = self.below(np.partition(self.d2, take - 1, axis=1)[:, take - 1] + self.error)
+        order = np.lexsort((j, d2, i))
+        i, j, d2 = i[order], j[order], d2[order]
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+        rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        return i[rank < take], j[rank < take], d2[rank < take]
+
+
+def _blockwise(queries: DataFrame, points: DataFrame, kernel: Callable[[Block, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], block: int) -> DataFrame:
+    """(id, nbr, d2) of what kernel(block, ids, nbrs) picks as (rows, columns, d2) in each pair of blocks."""
     n_q = max(1, -(-queries.count() // block))
     n_p = max(1, -(-points.count() // block))
-    dealt = lambda df, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    left = queries.select("id", "x", dealt(queries, n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"), F.lit(True).alias("asks"))
-    right = points.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), dealt(points, n_p).alias("pb"), F.lit(False).alias("asks"))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.select("id", "x", dealt(n_q).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_p - 1))).alias("pb"), F.lit(True).alias("asks"))
+    right = points.select("id", "x", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), dealt(n_p).alias("pb"), F.lit(False).alias("asks"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         q, p = rows[rows["asks"]], rows[~rows["asks"]].sort_values("id")
         if q.empty or p.empty:
             return pd.DataFrame({"id": [], "nbr": [], "d2": []}).astype({"id": "int64", "nbr": "int64", "d2": "float64"})
-        a, b = np.stack(q["x"].to_numpy()), np.stack(p["x"].to_numpy())
-        d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T), 0)
-        i, j = kernel(d2, q["id"].to_numpy(), p["id"].to_numpy())
-        return pd.DataFrame({"id": q["id"].to_numpy()[i], "nbr": p["id"].to_numpy()[j], "d2": d2[i, j]})
+        pair = Block(np.stack(q["x"].to_numpy()), np.stack(p["x"].to_numpy()))
+        i, j, d2 = kernel(pair, q["id"].to_numpy(), p["id"].to_numpy())
+        return pd.DataFrame({"id": q["id"].to_numpy()[i], "nbr": p["id"].to_numpy()[j], "d2": d2})
 
     return left.unionByName(right.select(left.columns)).groupBy("qb", "pb").applyInPandas(run, _NEIGHBOURS)
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(id, ord, nbr, d2): the k nearest of `points`, by squared distance, then id; a point is its own neighbour."""
-
-    def nearest(d2, ids, nbrs):
-        take = min(k, d2.shape[1])
-        order = np.argsort(d2, axis=1, kind="stable")[:, :take]  # columns are sorted by id
-        return np.repeat(np.arange(len(d2)), take), order.ravel()
-
-    return top_k(_blockwise(queries, points, nearest, block), k)
+    return top_k(_blockwise(queries, points, lambda pair, ids, nbrs: pair.nearest(k), block), k)
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -69,7 +111,12 @@ def force_self(neighbours: DataFrame, k: int) -> DataFrame:
 
 def radius_join(queries: DataFrame, points: DataFrame, r2: float, block: int = BLOCK) -> DataFrame:
     """(id, nbr, d2) of all points with a squared distance strictly below r2."""
-    return _blockwise(queries, points, lambda d2, ids, nbrs: np.nonzero(d2 < r2), block)
+
+    def within(pair, ids, nbrs):
+        i, j, d2 = pair.below(r2)
+        return i[d2 < r2], j[d2 < r2], d2[d2 < r2]
+
+    return _blockwise(queries, points, within, block)
 
 
 def squared_distance(a: str | Column, b: str | Column) -> Column:
@@ -89,10 +136,11 @@ def grid_radius_join(queries: DataFrame, points: DataFrame, r: float, dim: int)
 def exists_in_sphere(queries: DataFrame, points: DataFrame, r2: float, strict: bool = True, block: int = BLOCK) -> DataFrame:
     """(id, found): whether another point lies within the squared radius (strictly, or not)."""
 
-    def one(d2, ids, nbrs):
-        hit = ((d2 < r2) if strict else (d2 <= r2)) & (ids[:, None] != nbrs[None, :])
-        i = np.flatnonzero(hit.any(axis=1))
-        return i, hit[i].argmax(axis=1)
+    def one(pair, ids, nbrs):
+        i, j, d2 = pair.below(r2)
+        hit = ((d2 < r2) if strict else (d2 <= r2)) & (ids[i] != nbrs[j])
+        i, at = np.unique(i[hit], return_index=True)
+        return i, j[hit][at], d2[hit][at]
 
     hits = _blockwise(queries, points, one, block).select("id").distinct().withColumn("found", F.lit(True))
     return queries.select("id").join(hits, "id", "left").select("id", F.coalesce("found", F.lit(False)).alias("found"))
