@@ -50,7 +50,8 @@ class WordIds:
     The tokenizer never merges across white space, nor across the border of letters and
     punctuation, and it ignores case; so the ids of a word that ends in punctuation are
     those of its letters and of the marks. New words of letters only are encoded many at a time: each
-    of them ends with the one token that has the word-end suffix.
+    of them ends with the one token that has the word-end suffix. The string of a special token is that
+    token's id wherever it stands in a text, as the tokenizer has it.
 
     All ids of known words stand in one array; a batch of texts is split and its words numbered by
     Arrow, and the ids of all its texts are one gather from that array.
@@ -63,19 +64,20 @@ class WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.full = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
         # For runs of lower-case Latin-1 letters the normalizer and the splitting pattern change nothing.
         self.short = (normalizers.Sequence([]), pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]))
         size = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        # The strings of special tokens are found before a text is split, in any word; each is one id.
+        self.special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.clear()
         self._check()
 
     def _check(self) -> None:
         """The short ways must give what the tokenizer gives for a text as a whole; a vocabulary for which they don't is refused."""
-        for text in ("The Quick brown fox, (jumped) over; l'été müßig -- niño... ÀB! a1b2 x_y!?", "one\ntwo  three \n four. A.B c\u2019est 3.14 <s> </s> \u0130x!"):
+        for text in ("The Quick brown fox, (jumped) over; l'été müßig -- niño... ÀB! a1b2 x_y!?", "one\ntwo  three \n four. A.B c\u2019est 3.14 <s> </s> \u0130x! TAR\u0130H\u0130. \u0130, " + " a".join(self.special).lower() + " " + "!x".join(self.special).upper()):
             (ids,) = self._encode([text], self.full)
             if not np.array_equal(self.of([text])[0][:-1], ids):
                 raise ValueError("this tokenizer doesn't treat words apart; its ids can't be looked up by word")
@@ -145,8 +147,11 @@ class WordIds:
         words = coded.dictionary
         # In Latin-1 lower case is one character for one, as the tokenizer's is.
         lower = pc.if_else(pc.match_substring_regex(words, LATIN), pc.utf8_lower(words), words)
+        for token in self.special:
+            lower = pc.if_else(pc.match_substring(words, token, ignore_case=True), words, lower)
         bare = pc.utf8_rtrim(lower, characters=punctuation)
-        marked = pc.and_(pc.not_equal(bare, lower), pc.utf8_is_alpha(bare))
+        # The capital I with a dot is a letter, but in lower case it ends in a mark, which joins those that follow.
+        marked = pc.and_(pc.and_(pc.not_equal(bare, lower), pc.utf8_is_alpha(bare)), pc.invert(pc.match_substring(bare, "\u0130")))
         # A word is a stem and a mark, either of which may be empty; number 1 ends a text.
         stem = pc.if_else(marked, bare, lower).dictionary_encode()
         mark = pc.if_else(marked, pc.replace_substring_regex(lower, r"^.*?([!-/:-@\[-`{-~]*)$", r"\1"), "").dictionary_encode()

@@ -653,3 +653,16 @@ def test_quality_of_endless_menus(spark, tmp_path):
     got = {r["doc_id"]: r for r in quality.judge(spark.read.parquet(str(tmp_path / "d"))).collect()}
     assert [got[i]["n_failed_lines"] for i in range(1, 6)] == [1, 0, 1, 0, 0]
     assert got[5]["n_words"] == 100_000 and got[5]["n_repeat_words"] == 0 and got[5]["kept"]
+
+
+def test_ids_are_those_of_the_tokenizer():
+    """Special tokens' strings anywhere in a text, letters whose lower case ends in a mark, and odd mixtures of both."""
+    from tokenizers import Tokenizer
+
+    ids, whole = packing.WordIds(tokenizer_file()), Tokenizer.from_file(tokenizer_file())
+    r = random.Random(2)
+    parts = ["a", "İ", "TARİHİ", ".", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", " ", "\n", "\t", "é", "É!", "'s", "x,", "12", "<", "|>", "ß", "Σας", "😀", "é", "̇"]
+    texts = ["a <|endoftext|> b", "TARİHİ.", "", *("".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(3000))]
+    for text, got in zip(texts, ids.of(texts), strict=True):
+        assert got[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert ids.of(texts[:1])[0].tolist() == [320, 49407, 321, 1]
