@@ -161,7 +161,6 @@ def test_packing_is_an_exact_round_trip(spark, odd_rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file())
-    t.encode_special_tokens = True
     texts = [*odd_rows, (20, "Don't STOP, it's 3.14!! ÄÖÜ ß Σίσυφος İstanbul á <|endoftext|> x\ty z", "en", "a"), *[(100 + i, prose(i, 300), "en", "a") for i in range(40)]]
     want = Counter(np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for _, x, _, _ in texts)
     pieces = packing.pack(docs(spark, texts), tokenizer_file()).collect()
