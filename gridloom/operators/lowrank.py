@@ -93,8 +93,10 @@ def build(points: DataFrame, blocks: DataFrame, kernel: Callable[[np.ndarray, np
     The points of a cluster are found by the prefix of their leaf's number; each block is one group.
     """
     own = points.select("id", "x", F.explode(F.expr("transform(sequence(0, CAST(floor(log2(node)) AS INT)), d -> shiftright(node, d))")).alias("n"))
-    side = lambda s: own.groupBy("n").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias(f"{s}_points"))
     leaves = blocks.filter("leaf")
+    # Only clusters that a block names are gathered, so never all points unless one block has them all.
+    named = lambda s: leaves.select(F.col(f"{s}_node").alias("n")).distinct()
+    side = lambda s: own.join(named(s), "n", "left_semi").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias(f"{s}_points"))
     joined = leaves.join(side("r"), leaves["r_node"] == F.col("n")).drop("n").join(side("c"), F.col("c_node") == F.col("n")).drop("n")
 
     def run(frames):

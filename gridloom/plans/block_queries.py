@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
 from ..operators import h2, harith
+from ..operators import hmatrix as hm
 from ..operators import linalg as la
 from ..operators import lowrank as lr
 from ..operators import solvers as so
-from ..session import table
+from ..session import cut_lineage, table
 from .linalg_queries import n_suppliers
 from .solver_queries import _KNOWN, _known, _vector, gram
 
@@ -180,6 +181,53 @@ def _h_ranks(s, d):
     return lr.storage(h).withColumn("k", F.lit(1)).join(full, "k").select("max_rank", (F.col("lowrank_bytes") <= F.col("full")).alias("smaller"))
 
 
+#: Positions of a leaf of the suppliers' halved tree.
+_LEAF = 8
+
+
+def _h_gram(s, d):
+    """The Gram matrix as an H-matrix of several levels over the halved suppliers, and its tree and blocks."""
+    nodes = hm.index_tree(s, n_suppliers(s, d), _LEAF).cache()
+    blocks = hm.weak_blocks(nodes).cache()
+    return cut_lineage(hm.from_entries(gram(s, d), nodes, blocks, 1e-14)), nodes, blocks
+
+
+def _h_copied(s, d):
+    h, nodes, _ = _h_gram(s, d)
+    return _rounded(hm.entries(h, nodes))
+
+
+def _h_multiplied(s, d):
+    h, nodes, blocks = _h_gram(s, d)
+    return _rounded(hm.entries(hm.multiply_add(h, h, h, nodes, blocks, 1e-3, 1e-14), nodes))
+
+
+def _h_added(s, d):
+    h, nodes, blocks = _h_gram(s, d)
+    return _rounded(hm.entries(hm.add(h, hm.transposed(h), nodes, blocks, 1.0, 1e-14), nodes))
+
+
+def _h_solved(s, d):
+    h, nodes, _ = _h_gram(s, d)
+    known = table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), (F.lit(1.0) + F.col("s_suppkey") % 7).alias("v"))
+    return hm.solve(hm.factor(h, nodes), la.spmv(gram(s, d), known)).select("idx", (F.round("v", 4) + 0.0).alias("v"))
+
+
+def _h_kernel_product(s, d):
+    """K K times ones, for the kernel 1 + x . y over parts in blocks of several levels; whole numbers, exactly."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") - 25).cast("double").alias("x"), (F.floor(F.col("p_retailprice") / 100) - 14).cast("double").alias("y"))
+    leaves = cl.bisect(p, ["x", "y"], 64, 20)
+    nodes = hm.placed(cl.tree(leaves, ["x", "y"])).cache()
+    blocks = cl.block_tree(nodes, ["x", "y"], "two_min", 2.0).cache()
+    at = hm.positions(leaves, nodes).cache()
+    points = at.join(p, "id").select(F.col("pos").alias("id"), "node", F.array("x", "y").alias("x"))
+    k = lr.build(points, blocks, lambda a, c: 1.0 + a @ c.T, 1e-13)
+    k = cut_lineage(k.select(F.col("r_node").alias("i"), F.col("c_node").alias("j"), F.size("rows").alias("m"), F.size("cols").alias("n"), "kind", "rank", "a", "b"))
+    ones = at.select(F.col("pos").alias("idx"), F.lit(1.0).alias("v"))
+    found = hm.matvec(hm.multiply_add(None, k, k, nodes, blocks, 1.0, 1e-13), nodes, ones)
+    return found.join(at.select(F.col("pos").alias("idx"), "id"), "idx").select("id", F.round("v").cast("long").alias("v"))
+
+
 def _uzawa(s, d):
     """[A B^T; B 0] for suppliers and nations, with the known velocity: B sums suppliers by nation, and each nation's own weight makes it regular."""
     g = so.SparseMap(gram(s, d), n_suppliers(s, d))
@@ -281,6 +329,21 @@ QUERIES = {
     "tiles_add": (_sum, _NONZERO.format(f"SELECT row, col, round(2 * val, 4) AS val FROM {_GRAM}")),
     "tiles_norm": (lambda s, d: harith.norm(_tiles(s, d)[0]).select(F.round("norm", 4).alias("norm")), f"SELECT round(sqrt(sum(val * val)), 4) AS norm FROM {_GRAM}"),
     "tiles_histogram": (lambda s, d: harith.leaf_histogram(_tiles(s, d)[0]).agg(F.sum("tiles").alias("tiles"), F.max(F.when(F.col("kind") == "lowrank", F.col("rank")).otherwise(0) <= _TILE).alias("bounded")), f"SELECT (ceil(count(*) / {_TILE}.0) ** 2)::BIGINT AS tiles, true AS bounded FROM supplier"),
+    "hmatrix_from_sparse": (_h_copied, _NONZERO.format(f"SELECT row, col, round(val, 4) AS val FROM {_GRAM}")),
+    "hmatrix_multiply_add": (_h_multiplied, _NONZERO.format(f"WITH g AS {_GRAM} SELECT row, col, round(sum(val), 4) AS val FROM (SELECT * FROM g UNION ALL SELECT a.row, b.col, 1e-3::DOUBLE * a.val * b.val FROM g a JOIN g b ON a.col = b.row) GROUP BY row, col")),
+    "hmatrix_add": (_h_added, _NONZERO.format(f"SELECT row, col, round(2 * val, 4) AS val FROM {_GRAM}")),
+    "hmatrix_solve": (_h_solved, _KNOWN),
+    "hmatrix_levels": (
+        lambda s, d: hm.leaf_counts(_h_gram(s, d)[0]),
+        f"""WITH n AS (SELECT count(*) AS n FROM supplier), d AS (SELECT min(i) AS depth FROM n, range(40) t(i) WHERE ceil(n / 2.0 ** i) <= {_LEAF})
+            SELECT i::INT AS level, 'lowrank' AS kind, (2 ** i)::BIGINT AS blocks FROM d, range(1, 40) t(i) WHERE i <= depth UNION ALL SELECT depth::INT, 'dense', (2 ** depth)::BIGINT FROM d""",
+    ),
+    "hmatrix_kernel_product": (
+        _h_kernel_product,
+        """WITH p AS (SELECT p_partkey AS id, (p_size - 25)::DOUBLE AS x, floor(p_retailprice / 100) - 14 AS y FROM part),
+           o AS (SELECT a.id, a.x, a.y, sum(1 + a.x * b.x + a.y * b.y) AS v FROM p a, p b GROUP BY ALL)
+           SELECT a.id, CAST(round(sum((1 + a.x * b.x + a.y * b.y) * b.v)) AS BIGINT) AS v FROM p a, o b GROUP BY a.id""",
+    ),
     "h2_matvec": (_h2, _SUMS.format("sum((a.p_size - b.p_size)::DOUBLE ** 2 + (a.p_retailprice / 100 - b.p_retailprice / 100) ** 2) / 997")),
     "cluster_basis_forward": (_moments, "SELECT round(sum(p_size)::DOUBLE, 3) AS total FROM part"),
     "h_matrix_sum": (_h_sum, _SUMS.format("3 * sum(1 + a.p_size * b.p_size + (a.p_retailprice / 100) * (b.p_retailprice / 100)) / 997")),

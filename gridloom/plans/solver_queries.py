@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from ..functions import mathx
 from ..operators import cluster as cl
+from ..operators import krylov as kr
 from ..operators import linalg as la
 from ..operators import lowrank as lr
 from ..operators import pde
 from ..operators import solvers as so
 from ..operators import spatial as sp
-from ..session import table
+from ..session import cut_lineage, table
 from .linalg_queries import _A, matrix, n_suppliers
 
 def gram(s: SparkSession, d: str) -> DataFrame:
@@ -48,10 +49,32 @@ def _solve(method):
     return run
 
 
-def rotated(s: SparkSession, d: str, first: float | None = None) -> DataFrame:
-    """A symmetric matrix whose eigenvalues are the suppliers' balances: pairs of them, turned by an angle. `first` replaces supplier 0's."""
-    balance = F.col("s_acctbal") if first is None else F.when(F.col("s_suppkey") == 0, F.lit(first)).otherwise(F.col("s_acctbal"))
-    v = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), balance.alias("v"))
+def _distributed(method):
+    """As _solve, with no vector on the driver."""
+
+    def run(s, d):
+        known = table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), (F.lit(1.0) + F.col("s_suppkey") % 7).alias("v"))
+        g = cut_lineage(gram(s, d))
+        x, _ = method(kr.BlockMatrix(g, n_suppliers(s, d)), la.spmv(g, known))
+        return x.select("idx", (F.round("v", 4) + 0.0).alias("v"))
+
+    return run
+
+
+def _leading(s, d):
+    """The leading singular value and vectors of lineitem's matrix A, by Lanczos on A^T A with distributed vectors: sigma, and the largest entry of |A^T A v - sigma^2 v| over sigma^2."""
+    a = matrix(s, d)
+    g = cut_lineage(la.spmm(a, a, a_transposed=True))
+    start = table(s, d, "supplier").select(F.col("s_suppkey").alias("idx"), F.lit(1.0).alias("v"))
+    values, pairs = kr.lanczos(kr.BlockMatrix(g, n_suppliers(s, d)), start, 1)
+    x = pairs.select("idx", "v")
+    left = la.axpy(x, la.spmv(g, x), -float(values[0])).agg((F.max(F.abs("v")) / float(values[0]) <= 1e-9).alias("exact"))
+    return left.select(F.lit(round(float(np.sqrt(values[0])), 3)).alias("sigma"), "exact")
+
+
+def rotated(s: SparkSession, d: str) -> DataFrame:
+    """A symmetric matrix whose eigenvalues are the suppliers' balances: pairs of them, turned by an angle."""
+    v = table(s, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
     pair = v.filter("k % 2 = 0").select("k", F.col("v").alias("a")).join(v.filter("k % 2 = 1").select((F.col("k") - 1).alias("k"), F.col("v").alias("b")), "k", "left")
     angle = F.lit(0.3) + (F.col("k") / 2) % 5 * 0.2
     co, si, k, a, b = F.cos(angle), F.sin(angle), F.col("k"), F.col("a"), F.col("b")
@@ -70,6 +93,47 @@ def turned(s: SparkSession, d: str) -> DataFrame:
     return c.select(F.explode(F.array(entry(0, 0, F.col("a")), entry(0, 1, -F.col("b")), entry(1, 0, F.col("b")), entry(1, 1, F.col("a")))).alias("e")).select("e.row", "e.col", "e.val")
 
 
+def _pairs(method, k: int):
+    """Eigenpairs (largest first) of A^T A for lineitem's matrix A: the leading value, and of each pair its residual, relative to the leading value, and whether it is orthonormal to those before."""
+
+    def run(s, d):
+        a = matrix(s, d)
+        g = so.SparseMap(la.spmm(a, a, a_transposed=True), n_suppliers(s, d))
+        values, x = method(g, min(k, g.shape[0]))
+        residual = np.linalg.norm(np.column_stack([g(v) for v in x.T]) - x * values, axis=0) / abs(values[0])
+        defect = np.abs(np.triu(x.T @ x - np.eye(len(values)))).max(axis=0)
+        ordered = np.append(True, values[:-1] >= values[1:])
+        rows = [(i, round(float(v), 2) if i == 0 else 0.0, bool(r <= 1e-9), bool(q <= 1e-8), bool(o)) for i, (v, r, q, o) in enumerate(zip(values, residual, defect, ordered, strict=True))]
+        return s.createDataFrame(rows, "idx long, leading double, exact boolean, orthonormal boolean, ordered boolean")
+
+    return run
+
+
+def _top_sql(value: str) -> str:
+    """The leading eigenvalue of A^T A by power steps, whose error falls by (lambda_2 / lambda_1)^2 each."""
+    out = f"WITH a AS (SELECT * FROM {_A}), x0 AS (SELECT s_suppkey AS idx, 1.0::DOUBLE AS v FROM supplier)"
+    for i in range(8):
+        out += f""", y{i} AS (SELECT a.row AS idx, sum(a.val * x.v) AS v FROM a JOIN x{i} x ON a.col = x.idx GROUP BY a.row), z{i} AS (SELECT a.col AS idx, sum(a.val * y.v) AS v FROM a JOIN y{i} y ON a.row = y.idx GROUP BY a.col),
+        x{i + 1} AS (SELECT idx, v / (SELECT sqrt(sum(v * v)) FROM z{i}) AS v FROM z{i})"""
+    return out + f", top AS (SELECT sum(z7.v * x7.v) AS square FROM z7 JOIN x7 USING (idx)) {value}"
+
+
+def _pairs_sql(k: int, value: str = "round(square, 2)") -> str:
+    return _top_sql(f"SELECT i AS idx, CASE WHEN i = 0 THEN {value} ELSE 0 END AS leading, true AS exact, true AS orthonormal, true AS ordered FROM range(least({k}, (SELECT count(*) FROM supplier))) t(i), top")
+
+
+def _triplets(s, d):
+    """The three leading singular triplets of lineitem's matrix itself, as _pairs gives them: A v = sigma u and A^T u = sigma v."""
+    a = so.SparseMap(matrix(s, d), table(s, d, "part").count(), n_suppliers(s, d))
+    u, sigma, v = so.partial_svd(a, a.transposed, *a.shape, min(3, a.shape[1]))
+    rows = []
+    for i, value in enumerate(sigma):
+        left = np.linalg.norm(a(v[:, i]) - value * u[:, i]) + np.linalg.norm(a.transposed(u[:, i]) - value * v[:, i])
+        q = max(np.abs(m[:, : i + 1].T @ m[:, i] - (np.arange(i + 1) == i)).max() for m in (u, v))
+        rows.append((i, round(float(value), 4) if i == 0 else 0.0, bool(left <= 1e-7 * sigma[0]), bool(q <= 1e-7), bool(i == 0 or sigma[i - 1] >= value)))
+    return s.createDataFrame(rows, "idx long, leading double, exact boolean, orthonormal boolean, ordered boolean")
+
+
 def _eigen(method, places: int = 4):
     """The values that `method` finds, by place."""
 
@@ -91,19 +155,14 @@ def _diagonal(s, d) -> np.ndarray:
     return out
 
 
-def _svd(s, d):
-    a = so.SparseMap(rotated(s, d), n_suppliers(s, d))
-    return _vector(s, np.round(so.partial_svd(a, a.transposed, *a.shape, 3)[1], 4), "sigma")
-
-
 def _general(s, d):
     a = so.SparseMap(turned(s, d), 2 * table(s, d, "customer").count())
     return _vector(s, np.round(np.abs(so.arnoldi(a, a.shape[0], 4, basis=60)[0]), 4), "magnitude")
 
 
 def _norm(s, d):
-    a = so.SparseMap(rotated(s, d, 1e6), n_suppliers(s, d))
-    return s.createDataFrame([(round(so.spectral_norm(a, a.transposed, a.shape[0]), 3),)], "norm double")
+    a = so.SparseMap(matrix(s, d), table(s, d, "part").count(), n_suppliers(s, d))
+    return s.createDataFrame([(round(so.spectral_norm(a, a.transposed, a.shape[1]), 4),)], "norm double")
 
 
 def _power(s, d):
@@ -191,20 +250,23 @@ def _nearest(a: so.SparseMap, s, d) -> np.ndarray:
 
 QUERIES = {
     "power_iteration_k3": (_power, _power_sql()),
-    "spectral_norm": (_norm, "SELECT 1000000.0::DOUBLE AS norm"),
-    "cg": (_solve(lambda a, at, b: so.cg(a, b)[0]), _KNOWN),
+    "spectral_norm": (_norm, _top_sql("SELECT round(sqrt(square), 4) AS norm FROM top")),
+    "cg": (_distributed(kr.cg), _KNOWN),
     "cg_jacobi": (_solve(lambda a, at, b: so.cg(a, b, prec=_jacobi(a))[0]), _KNOWN),
     "bicg": (_solve(lambda a, at, b: so.bicg(a, at, b)[0]), _KNOWN),
     "bicgstab": (_solve(lambda a, at, b: so.bicgstab(a, b)[0]), _KNOWN),
-    "gmres": (_solve(lambda a, at, b: so.gmres(a, b)[0]), _KNOWN),
+    "gmres": (_distributed(kr.gmres), _KNOWN),
+    "gmres_restarted": (_solve(lambda a, at, b: so.gmres(a, b)[0]), _KNOWN),
+    "lanczos_distributed": (_leading, _top_sql("SELECT round(sqrt(square), 3) AS sigma, true AS exact FROM top")),
     "solver_class": (_solve(lambda a, at, b: so.Solver(so.gmres, a, prec=_jacobi(a)).solve(b)), _KNOWN),
-    "lanczos_topk": (_eigen(lambda a, s, d: so.lanczos(a, a.shape[0], 5)[0]), _balances("s_acctbal DESC")),
+    "lanczos_topk": (_pairs(lambda a, k: so.lanczos(a, a.shape[0], k), 5), _pairs_sql(5)),
+    "lanczos_spectrum": (_eigen(lambda a, s, d: so.lanczos(a, a.shape[0], 5)[0]), _balances("s_acctbal DESC")),
     "lanczos_smallest": (_eigen(lambda a, s, d: so.lanczos(a, a.shape[0], 5, rule="smallest_alge")[0]), _balances("s_acctbal")),
     "shift_invert": (_eigen(lambda a, s, d: _nearest(a, s, d)), "SELECT row_number() OVER (ORDER BY s_acctbal) - 1 AS idx, round(s_acctbal, 4) + 0.0 AS eigenvalue FROM (SELECT * FROM supplier ORDER BY abs(s_acctbal - 4321.5) LIMIT 4)"),
     "davidson": (_eigen(lambda a, s, d: so.davidson(a, _diagonal(s, d), 4)[0]), _balances("s_acctbal DESC", 4)),
     "lobpcg": (_eigen(lambda a, s, d: so.lobpcg(a, a.shape[0], 4, most=3000)[0], 3), _balances("s_acctbal", 4).replace("4) + 0.0", "3) + 0.0")),
     "arnoldi": (_general, "SELECT row_number() OVER (ORDER BY m DESC) - 1 AS idx, round(m, 4) AS magnitude FROM (SELECT unnest([sqrt((c_acctbal / 100) ** 2 + (c_nationkey + 1) ** 2), sqrt((c_acctbal / 100) ** 2 + (c_nationkey + 1) ** 2)]) AS m FROM customer) ORDER BY m DESC LIMIT 4"),
-    "partial_svd": (_svd, "SELECT row_number() OVER (ORDER BY abs(s_acctbal) DESC) - 1 AS idx, round(abs(s_acctbal), 4) AS sigma FROM supplier ORDER BY abs(s_acctbal) DESC LIMIT 3"),
+    "partial_svd": (_triplets, _pairs_sql(3, "round(sqrt(square), 4)")),
     "rbffd_laplacian": (_laplacian, f"SELECT idx, 8.0::DOUBLE AS v FROM {_GRID}"),
     "poisson_implicit": (_poisson, f"SELECT idx, round(x * x - y * y + x * y, 5) + 0.0 AS v FROM {_GRID}"),
     "rk4": (_decay, "SELECT i AS id, round((i + 1) * exp(-1.0::DOUBLE), 6) AS y FROM range(50) t(i)"),
