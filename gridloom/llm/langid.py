@@ -28,10 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, small_batches
+from .common import held_out, release_memory, small_batches
 
 BITS, WIDTH = 16, 8
 #: What is learned from a language; the more languages than LANGUAGES, the less of each.
@@ -117,10 +118,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, characters: int = C
     small_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     unit = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 30))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars"), F.min(unit).alias("least")).collect()
-    part = min(1.0, LANGUAGES / max(len(counts), 1))
-    limits = [(r["lang"], max(r["least"], int((1 << 30) * min(1.0, part * per_language / r["n"], part * characters / max(r["chars"], 1)))) + 1) for r in counts]
-    table = F.broadcast(docs.sparkSession.createDataFrame(limits, "lang string, _limit long"))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text").cast("long")).alias("chars"), F.min(unit).alias("least")).cache()
+    part = min(1.0, LANGUAGES / max(counts.count(), 1))
+    share = F.least(F.lit(1.0), F.lit(part * per_language) / F.col("n"), F.lit(part * characters) / F.greatest("chars", F.lit(1)))
+    table = counts.select("lang", (F.greatest("least", F.floor(F.lit(float(1 << 30)) * share)) + 1).alias("_limit"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -136,9 +137,16 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, characters: int = C
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs, pa.string()), pa.array(at, pa.binary()), pa.array(n, pa.binary())], names=["doc_id", "lang", "at", "n"])
 
     bagged = known.join(table, "lang").filter(unit < F.col("_limit")).select("doc_id", "text", "lang").mapInArrow(bags, "doc_id long, lang string, at binary, n binary")
-    rows = bagged.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "n")).alias("bag")).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"]))
-    return fit([(np.frombuffer(bytes(r["bag"]["at"]), np.uint16).astype(np.int64), np.frombuffer(bytes(r["bag"]["n"]), np.uint32)) for r in rows], [r["lang"] for r in rows])
+    # By Arrow: the bags are views of what arrived, not copies.
+    rows = bagged.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "n")).alias("bag")).select("doc_id", "lang", "bag.at", "bag.n").toArrow().combine_chunks()
+    counts.unpersist()
+    order = pc.sort_indices(rows, sort_keys=[("doc_id", "ascending"), ("lang", "ascending")]).to_pylist()
+    at, n = ([np.frombuffer(x.as_buffer(), k) for x in rows.column(c)] for c, k in (("at", np.uint16), ("n", np.uint32)))
+    langs = rows.column("lang").to_pylist()
+    model = fit([(at[i], n[i]) for i in order], [langs[i] for i in order])
+    del rows, at, n
+    release_memory()
+    return model
 
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:

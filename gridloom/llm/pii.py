@@ -107,6 +107,12 @@ def _counted(rows: DataFrame, keys: list[str], name: str, support: int) -> DataF
     return texts.filter(F.col("_texts") >= support).drop("_texts")
 
 
+def _classes(rows: DataFrame, key: str, count: str) -> DataFrame:
+    """key -> _class: the same for keys that stand in the same texts and count the same; by two 64-bit sums of the texts' hashes, which need no list of them."""
+    seal = lambda k: F.bit_xor(F.xxhash64("_repo", F.lit(k)))
+    return rows.groupBy(key, count).agg(seal(1).alias("_s1"), seal(2).alias("_s2")).select(key, F.xxhash64(count, "_s1", "_s2").alias("_class"))
+
+
 def disclosing(docs: DataFrame, mentions: DataFrame, disclosure: float, support: int, broadcast_terms: int) -> DataFrame | None:
     """(_repo, term) of the terms that give an entity of a text away, by text; None if no entity has the support.
 
@@ -127,11 +133,18 @@ def disclosing(docs: DataFrame, mentions: DataFrame, disclosure: float, support:
     most = F.col("n_e") * F.pow(n / F.col("n_e"), F.lit(max(0.0, 1 - disclosure))) * (1 + 1e-6)
     bound = n_e.agg(F.max(most)).first()[0]
     counts = cut_lineage(_term_counts(docs.select("_text"), wanted, broadcast_terms).filter(F.col("n_t") <= bound), compact=True)
-    pairs = terms.join(counts, "term").join(held, "_repo").filter(F.col("n_t") <= most)
-    both = pairs.groupBy("entity", "term").agg(F.sum("_n").alias("n_te"), F.count(F.lit(1)).alias("_texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).filter(F.col("_texts") >= support)
+    # Entities of the same texts are one class, and terms of the same texts: a list of many names in few texts is one pair of classes, not all pairs.
+    entity_class = cut_lineage(_classes(held, "entity", "n_e"), compact=True)
+    entities = cut_lineage(held.join(entity_class, "entity").select("_repo", F.col("_class").alias("entities"), "n_e").distinct(), compact=True)
+    counted = terms.join(counts, "term")
+    term_class = cut_lineage(_classes(counted, "term", "n_t"), compact=True)
+    classes = cut_lineage(counted.join(term_class, "term").select("_repo", F.col("_class").alias("terms"), "n_t", "_n").distinct(), compact=True)
+    pairs = classes.join(entities, "_repo").filter(F.col("n_t") <= most)
+    both = pairs.groupBy("entities", "terms").agg(F.sum("_n").alias("n_te"), F.count(F.lit(1)).alias("_texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")).filter(F.col("_texts") >= support)
     learned = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.greatest(F.log(n / F.col("n_e")), F.lit(1e-9))
-    given = cut_lineage(both.filter(learned >= disclosure).select("entity", "term"), compact=True)
-    return cut_lineage(terms.select("_repo", "term").join(given, "term").join(held.select("_repo", "entity"), ["_repo", "entity"], "left_semi").select("_repo", "term").distinct(), compact=True)
+    given = both.filter(learned >= disclosure).select("entities", "terms")
+    told = cut_lineage(classes.join(given, "terms").join(entities, ["_repo", "entities"], "left_semi").select("_repo", "terms").distinct(), compact=True)
+    return cut_lineage(terms.select("_repo", "term").join(term_class.select("term", F.col("_class").alias("terms")), "term").join(told, ["_repo", "terms"], "left_semi").select("_repo", "term"), compact=True)
 
 
 def scan(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:

@@ -665,3 +665,16 @@ def test_ids_are_those_of_the_tokenizer():
     for text, got in zip(texts, ids.of(texts), strict=True):
         assert got[:-1].tolist() == whole.encode(text, add_special_tokens=False).ids
     assert ids.of(texts[:1])[0].tolist() == [320, 49407, 321, 1]
+
+
+def test_a_list_of_many_names_in_two_texts(spark):
+    """5,000 entities and 4,000 terms that stand in the same two texts are two classes, not twenty million pairs; each term gives them away."""
+    names = " ".join(f"n{i}@x{i}.org" for i in range(5000))
+    terms = [f"w{i}q" for i in range(4000)]
+    rows = [(i, prose(i, 20), "en", "a") for i in range(40)]
+    rows += [(100, f"{names} {' '.join(terms)} once", "en", "a"), (101, f"{' '.join(terms)} {names} alone", "en", "a")]
+    got = by_id(pii.scan(docs(spark, rows)))
+    for i in (100, 101):
+        told = [s for s in got[i][0]["_spans"] if s["kind"] == 4]
+        text = dict((r[0], r[1]) for r in rows)[i]
+        assert {text[s["start"] : s["end"]] for s in told} == set(terms)
