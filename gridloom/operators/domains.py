@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -66,10 +67,16 @@ def refine(nodes: DataFrame, region: Column, k: int, fraction: float, first_id:
     middles = links.join(nodes.select(F.col("id").alias("a"), F.col("x").alias("_a")), "a").join(nodes.select(F.col("id").alias("b"), F.col("x").alias("_b")), "b")
     middles = cut_lineage(middles.select(F.xxhash64("a", "b").alias("id"), "a", "b", "d2", F.zip_with("_a", "_b", lambda x, y: (x + y) / 2).alias("x")))
     nearest = spatial.knn(middles.select("id", "x"), nodes.select("id", "x"), 1).select("id", F.col("d2").alias("m"))
-    from pyspark.sql import Window as W
-
     kept = middles.join(nearest, "id").filter(F.col("m") >= fraction * fraction * F.col("d2") * 0.999999)
-    return kept.withColumn("id", F.row_number().over(W.orderBy("a", "b")) - 1 + first_id).select("id", "x")
+    return _numbered(kept, ["a", "b"], first_id).select("id", "x")
+
+
+def _numbered(df: DataFrame, order: list[str], first_id: int, width: int = 1 << 14) -> DataFrame:
+    """`df` with ids from first_id in the order of its columns: ranks within blocks of the first one, added to the blocks' starts."""
+    blocked = df.drop("id").withColumn("_b", F.floor(F.col(order[0]) / width))
+    starts = blocked.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    rank = F.row_number().over(W.partitionBy("_b").orderBy(*order)) - 1
+    return blocked.withColumn("_r", rank).join(starts, "_b").withColumn("id", F.col("_start") + F.col("_r") + first_id).drop("_b", "_r", "_start")
 
 
 def balanced_support(nodes: DataFrame, least: int, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,24 +61,44 @@ def _qr(a):
     return np.tril(a, -2) + q @ r
 
 
-#: A matrix of rank three: i j + i^2 + j^2 over 40 by 30.
-_LEFT = np.stack([np.arange(40.0), np.arange(40.0) ** 2, np.ones(40)], axis=1)
-_RIGHT = np.stack([np.arange(30.0), np.ones(30), np.arange(30.0) ** 2], axis=1)
-_RANK3 = "SELECT i AS row, j AS col, (i * j + i * i + j * j)::DOUBLE AS val FROM range(40) a(i), range(30) b(j)"
+def _columns(x: np.ndarray) -> np.ndarray:
+    return np.stack([x, x * x, np.ones(len(x))], axis=1)
 
 
-def _factors(work: Callable[[], tuple[np.ndarray, np.ndarray]]):
-    """The product of factors that must be of rank three."""
+def _factors(work: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], rank: int = 3):
+    """The row sums of blocks of rank three, i j + i^2 + j^2 for the sizes i of a brand's parts and the nations' keys j, from factors that `work` finds; one block for each brand."""
 
     def run(s, d):
-        u, v = work()
-        if u.shape[1] != 3:
-            raise RuntimeError(f"rank {u.shape[1]}")
-        return _entries(s, u @ v.T, 4)
+        keys = np.array(sorted(r[0] for r in table(s, d, "nation").select("n_nationkey").collect()), float)
+        right = np.stack([keys, np.ones(len(keys)), keys * keys], axis=1)
+
+        def block(f: pd.DataFrame) -> pd.DataFrame:
+            f = f.sort_values("p_partkey")
+            u, v = work(_columns(f["p_size"].to_numpy(float)), right)
+            if u.shape[1] > rank:
+                raise RuntimeError(f"rank {u.shape[1]}")
+            return pd.DataFrame({"id": f["p_partkey"], "v": np.round(u @ v.sum(axis=0), 3)})
+
+        return table(s, d, "part").select("p_partkey", "p_size", "p_brand").groupBy("p_brand").applyInPandas(block, "id long, v double")
 
     return run
 
 
+_RANK3 = "SELECT p_partkey AS id, round(sum(p_size * n_nationkey + p_size * p_size + n_nationkey * n_nationkey)::DOUBLE, 3) AS v FROM part, nation GROUP BY p_partkey"
+
+
+def _traced(s, d):
+    """Of each brand's block: which ranks give it exactly; it has as many as it has sizes, three at most."""
+    keys = np.array(sorted(r[0] for r in table(s, d, "nation").select("n_nationkey").collect()), float)
+    right = np.stack([keys, np.ones(len(keys)), keys * keys], axis=1)
+
+    def block(f: pd.DataFrame) -> pd.DataFrame:
+        trace = so.Truncation("svd", 1e-10).trace(_columns(f["p_size"].to_numpy(float)), right)
+        return pd.DataFrame([(f["p_brand"].iloc[0], k, bool(e < 1e-6)) for k, e in trace], columns=["brand", "rank", "exact"])
+
+    return table(s, d, "part").select("p_size", "p_brand").groupBy("p_brand").applyInPandas(block, "brand string, rank long, exact boolean")
+
+
 def _partition(s, d) -> DataFrame:
     return harith.even_partition(table(s, d, "supplier").select(F.col("s_suppkey").alias("idx")), _TILE)
 
@@ -302,21 +323,13 @@ QUERIES = {
     "dense_triangular": (_dense(lambda a: so.triangular(np.tril(a), np.tril(a) @ np.eye(8))), _EYE),
     "dense_eigen": (_dense(lambda a: (np.linalg.eigh(a)[1] * np.linalg.eigh(a)[0]) @ np.linalg.eigh(a)[1].T), _CORNER),
     "orthogonalizers": (_dense(lambda a: sum(so.orthogonalized(a, m).T @ so.orthogonalized(a, m) for m in ("modified", "twice", "householder", "cholesky")) / 4), _EYE),
-    "tridiagonal_eigen": (
-        lambda s, d: _vector(s, np.round(so.tridiagonal_eigen(np.full(30, 2.0), np.full(29, -1.0))[0], 9), "eigenvalue"),
-        "SELECT i AS idx, round(2 - 2 * cos(pi() * (i + 1) / 31), 9) AS eigenvalue FROM range(30) t(i)",
-    ),
-    "condition_estimate": (lambda s, d: s.createDataFrame([(round(so.condition_estimate(np.diag(np.arange(1.0, 21.0))), 6),)], "condition double"), "SELECT 20.0::DOUBLE AS condition"),
-    "lowrank_truncation": (_factors(lambda: lr.truncate(np.column_stack([_LEFT, _LEFT]), np.column_stack([_RIGHT, 0 * _RIGHT]), 1e-10)), _RANK3),
-    "lowrank_sum": (_factors(lambda: lr.truncated_sum([(_LEFT, 0.25 * _RIGHT), (0.75 * _LEFT, _RIGHT)], 1e-10)), _RANK3),
-    "lowrank_randomized": (_factors(lambda: lr.randomized(lambda x: _LEFT @ (_RIGHT.T @ x), lambda x: _RIGHT @ (_LEFT.T @ x), 30, 1e-9)), _RANK3),
-    "lowrank_lanczos": (_factors(lambda: harith.lanczos_truncation(lambda x: _LEFT @ (_RIGHT.T @ x), lambda x: _RIGHT @ (_LEFT.T @ x), 40, 30, 1e-9)), _RANK3),
-    "lowrank_cross": (_factors(lambda: lr.truncate(*lr.cross_approximation(lambda i: _LEFT[i] @ _RIGHT.T, lambda j: _LEFT @ _RIGHT[j], 40, 30, 1e-12), 1e-10)), _RANK3),
-    "truncation_class": (_factors(lambda: so.Truncation("lanczos", 1e-9)(_LEFT, _RIGHT)), _RANK3),
-    "truncation_trace": (
-        lambda s, d: s.createDataFrame([(k, e < 1e-6 * 3e4) for k, e in so.Truncation("svd", 1e-10).trace(_LEFT, _RIGHT)], "rank long, exact boolean"),
-        "SELECT i AS rank, i = 3 AS exact FROM range(4) t(i)",
-    ),
+    "lowrank_truncation": (_factors(lambda a, b: lr.truncate(np.column_stack([a, a]), np.column_stack([b, 0 * b]), 1e-10)), _RANK3),
+    "lowrank_sum": (_factors(lambda a, b: lr.truncated_sum([(a, 0.25 * b), (0.75 * a, b)], 1e-10)), _RANK3),
+    "lowrank_randomized": (_factors(lambda a, b: lr.randomized(lambda x: a @ (b.T @ x), lambda x: b @ (a.T @ x), len(b), 1e-9)), _RANK3),
+    "lowrank_lanczos": (_factors(lambda a, b: harith.lanczos_truncation(lambda x: a @ (b.T @ x), lambda x: b @ (a.T @ x), len(a), len(b), 1e-9)), _RANK3),
+    "lowrank_cross": (_factors(lambda a, b: lr.truncate(*lr.cross_approximation(lambda i: a[i] @ b.T, lambda j: a @ b[j], len(a), len(b), 1e-12), 1e-10)), _RANK3),
+    "truncation_class": (_factors(lambda a, b: so.Truncation("lanczos", 1e-9)(a, b)), _RANK3),
+    "truncation_trace": (_traced, "SELECT p_brand AS brand, i AS rank, i >= n AS exact FROM (SELECT p_brand, least(count(DISTINCT p_size), 3) AS n FROM part GROUP BY p_brand), range(4) t(i) WHERE i <= n"),
     "tiles_from_sparse": (_copied, _NONZERO.format(f"SELECT row, col, round(val, 4) AS val FROM {_GRAM}")),
     **{
         f"tiles_multiply_add_{form}": (_multiplied(form), _NONZERO.format(f"WITH g AS {_GRAM} SELECT row, col, round(sum(val), 4) AS val FROM (SELECT * FROM g UNION ALL SELECT a.row, b.col, 1e-3::DOUBLE * a.val * b.val FROM g a JOIN g b ON a.col = b.row) GROUP BY row, col"))

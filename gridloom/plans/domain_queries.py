@@ -9,7 +9,9 @@ from ..operators import domains as dm
 from ..operators import graph as gr
 from ..operators import pde
 from ..operators import spatial as sp
+from ..session import table
 from .graph_queries import _WITH, _sides, edges
+from .part_nodes import GRID, TRIANGLES, mesh, nodes, side
 from .spatial_queries import _Q, low, points
 
 
@@ -17,29 +19,38 @@ def _ball(c: str = "x"):
     return pde.in_ball(F.col(c), [0.5, 0.5], 0.4)
 
 
+def _fine(s, d) -> float:
+    """A power of two below the parts' spacing: sums of it are exact."""
+    return 2.0 ** -((side(s, d) - 1).bit_length())
+
+
+#: The step of _fine as `h`, and its number of steps to 1 as `n`.
+_FINE = "(SELECT pow(2.0::DOUBLE, -k) AS h, CAST(pow(2, k) AS BIGINT) AS n FROM (SELECT min(k) AS k FROM range(31) r(k), (SELECT count(*) AS parts FROM part) WHERE pow(2, k) > floor(sqrt(parts)) - 1))"
+
+
 def _fill(s, d):
-    return dm.grid_fill(s, _ball(), [0.0, 0.0], [1.0, 1.0], 0.0625).select("id")
+    return dm.grid_fill(s, _ball(), [0.0, 0.0], [1.0, 1.0], _fine(s, d)).select("id")
 
 
-def _boxes(s):
-    a = pde.box_nodes(s, [0.0, 0.0], [1.0, 1.0], [9, 9]).select("id", "x")
-    b = pde.box_nodes(s, [0.5, 0.5], [1.5, 1.5], [9, 9]).select((F.col("id") + 1000).alias("id"), "x")
-    return a, b
+def _boxes(s, d):
+    """The parts' nodes, and the same moved by half a side."""
+    a = nodes(s, d).select("id", "x").cache()
+    return a, a.select((F.col("id") + 1_000_000_000).alias("id"), F.transform("x", lambda v: v + 0.5).alias("x"))
 
 
-_G = "(SELECT i AS id, (i // 9) / 8.0::DOUBLE AS x, (i % 9) / 8.0::DOUBLE AS y FROM range(81) t(i))"
-_H = "(SELECT i + 1000 AS id, 0.5 + (i // 9) / 8.0::DOUBLE AS x, 0.5 + (i % 9) / 8.0::DOUBLE AS y FROM range(81) t(i))"
-_NEAR = "EXISTS (SELECT 1 FROM {o} o WHERE (p.x - o.x) ** 2 + (p.y - o.y) ** 2 < 0.75 * 0.125 * 0.125)"
+_G = f"(SELECT idx AS id, m, x, y FROM {GRID})"
+_H = f"(SELECT idx + 1000000000 AS id, m, x + 0.5 AS x, y + 0.5 AS y FROM {GRID})"
+_NEAR = "EXISTS (SELECT 1 FROM {o} o WHERE (p.x - o.x) ** 2 + (p.y - o.y) ** 2 < 0.75 / ((p.m - 1) * (p.m - 1)))"
 
 
 def _union(s, d):
-    a, b = _boxes(s)
-    return dm.union(a, b, pde.in_box(F.col("x"), [0.0, 0.0], [1.0, 1.0]), 0.125, 2).select("id")
+    a, b = _boxes(s, d)
+    return dm.union(a, b, pde.in_box(F.col("x"), [0.0, 0.0], [1.0, 1.0]), 1 / (side(s, d) - 1), 2).select("id")
 
 
 def _difference(s, d):
-    a, b = _boxes(s)
-    return dm.difference(a, b, pde.in_box(F.col("x"), [0.5, 0.5], [1.5, 1.5]), 0.125, 2).select("id")
+    a, b = _boxes(s, d)
+    return dm.difference(a, b, pde.in_box(F.col("x"), [0.5, 0.5], [1.5, 1.5]), 1 / (side(s, d) - 1), 2).select("id")
 
 
 def _dissected(s, d):
@@ -74,7 +85,7 @@ def _cut_levels() -> str:
 
 
 QUERIES = {
-    "grid_fill": (_fill, "SELECT i AS id FROM range(289) t(i) WHERE ((i // 17) * 0.0625 - 0.5) ** 2 + ((i % 17) * 0.0625 - 0.5) ** 2 < 0.4 * 0.4"),
+    "grid_fill": (_fill, f"SELECT i * (n + 1) + j AS id FROM {_FINE}, range((SELECT n + 1 FROM {_FINE})) a(i), range((SELECT n + 1 FROM {_FINE})) b(j) WHERE (i * h - 0.5) ** 2 + (j * h - 0.5) ** 2 < 0.4 * 0.4"),
     "domain_union": (_union, f"SELECT id FROM {_G} UNION ALL SELECT id FROM {_H} p WHERE NOT (x > 0 AND x < 1 AND y > 0 AND y < 1) AND NOT {_NEAR.format(o=_G)}"),
     "domain_difference": (_difference, f"SELECT id FROM {_G} p WHERE NOT (x > 0.5 AND x < 1.5 AND y > 0.5 AND y < 1.5) AND NOT {_NEAR.format(o=_H)}"),
     "balanced_support": (
@@ -104,16 +115,16 @@ QUERIES = {
             FROM (SELECT q.id, r.nbr, (p.a - q.a) ** 2 + (p.b - q.b) ** 2 AS d2, reach FROM p q, p JOIN r ON r.nbr = p.id) q JOIN p ON p.id = q.nbr WHERE d2 < 1.21 * reach GROUP BY q.id""",
     ),
     "ghost_nodes": (
-        lambda s, d: pde.ghost_nodes(pde.box_nodes(s, [0.0, 0.0], [1.0, 1.0], [9, 9]), 0.125, 1000).select("id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y")),
-        f"SELECT id + 1000 AS id, CASE WHEN id // 9 = 0 THEN -0.125 WHEN id // 9 = 8 THEN 1.125 ELSE x END::DOUBLE AS x, CASE WHEN id // 9 IN (0, 8) THEN y WHEN id % 9 = 0 THEN -0.125 WHEN id % 9 = 8 THEN 1.125 END::DOUBLE AS y FROM {_G} WHERE id // 9 IN (0, 8) OR id % 9 IN (0, 8)",
+        lambda s, d: pde.ghost_nodes(nodes(s, d), 1 / (side(s, d) - 1), 1_000_000_000).select("id", F.round(F.col("x")[0], 9).alias("x"), F.round(F.col("x")[1], 9).alias("y")),
+        f"""SELECT idx + 1000000000 AS id, round(x + CASE type WHEN -1 THEN -1.0 WHEN -2 THEN 1.0 ELSE 0.0 END::DOUBLE / (m - 1), 9) AS x, round(y + CASE type WHEN -3 THEN -1.0 WHEN -4 THEN 1.0 ELSE 0.0 END::DOUBLE / (m - 1), 9) AS y FROM {GRID} WHERE type < 0""",
     ),
     "mesh_edges": (
-        lambda s, d: pde.mesh_edges(pde.unit_square_mesh(s, 8)[1]).groupBy("n").agg(F.count(F.lit(1)).alias("edges")),
-        "SELECT * FROM (VALUES (1::BIGINT, 32::BIGINT), (2::BIGINT, 176::BIGINT)) t(n, edges)",
+        lambda s, d: pde.mesh_edges(mesh(s, d)[1]),
+        f"SELECT least(p, q) AS a, greatest(p, q) AS b, count(*) AS n FROM (SELECT a AS p, b AS q FROM {TRIANGLES} UNION ALL SELECT b, c FROM {TRIANGLES} UNION ALL SELECT c, a FROM {TRIANGLES}) GROUP BY 1, 2",
     ),
     "lcg_vector": (
-        lambda s, d: dm.lcg_vector(s, 1000, 1).select("idx", F.round("v", 12).alias("v")),
-        "WITH RECURSIVE r AS (SELECT 0::BIGINT AS idx, 16807::BIGINT AS x UNION ALL SELECT idx + 1, x * 16807 % 2147483647 FROM r WHERE idx < 999) SELECT idx, round(x / 2147483647.0::DOUBLE - 0.5, 12) AS v FROM r",
+        lambda s, d: dm.lcg_vector(s, table(s, d, "part").count(), 1).select("idx", F.round("v", 12).alias("v")),
+        "WITH RECURSIVE r AS (SELECT 0::BIGINT AS idx, 16807::BIGINT AS x UNION ALL SELECT idx + 1, x * 16807 % 2147483647 FROM r WHERE idx < (SELECT count(*) - 1 FROM part)) SELECT idx, round(x / 2147483647.0::DOUBLE - 0.5, 12) AS v FROM r",
     ),
 }
 

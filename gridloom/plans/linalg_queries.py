@@ -75,7 +75,7 @@ QUERIES = {
     ),
     "matrix_scale": (lambda s, d: la.scale(matrix(s, d), 0.25), f"SELECT row, col, val * 0.25::DOUBLE AS val FROM {_A}"),
     "matrix_transpose": (lambda s, d: la.transpose(matrix(s, d)), f"SELECT col AS row, row AS col, val FROM {_A}"),
-    "matrix_identity": (lambda s, d: la.identity(s, 64, 3.0), "SELECT i AS row, i AS col, 3.0::DOUBLE AS val FROM range(64) t(i)"),
+    "matrix_identity": (lambda s, d: la.identity(s, n_suppliers(s, d), 3.0), "SELECT s_suppkey AS row, s_suppkey AS col, 3.0::DOUBLE AS val FROM supplier"),
     "block_slice": (
         lambda s, d: la.block_slice(matrix(s, d), 50, 10, 100, 40),
         f"SELECT row - 50 AS row, col - 10 AS col, val FROM {_A} WHERE row BETWEEN 50 AND 149 AND col BETWEEN 10 AND 49",

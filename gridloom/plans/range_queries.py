@@ -12,14 +12,18 @@ def _sizes(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("long").alias("v"))
 
 
+def _count(s, d, name: str) -> int:
+    return table(s, d, name).count()
+
+
 _P = "(SELECT p_partkey AS idx, CAST(p_size AS BIGINT) AS v FROM part)"
 
 QUERIES = {
-    "range_seq": (lambda s, d: rg.seq(s, 3, 60, 4), "SELECT i AS idx FROM range(3, 60, 4) t(i)"),
-    "linspace": (lambda s, d: rg.linspace(s, 0.0, 4.0, 17), "SELECT i AS idx, i * 0.25::DOUBLE AS v FROM range(17) t(i)"),
+    "range_seq": (lambda s, d: rg.seq(s, 3, _count(s, d, "part"), 4), "SELECT i AS idx FROM range(3, (SELECT count(*) FROM part), 4) t(i)"),
+    "linspace": (lambda s, d: rg.linspace(s, 0.0, 4.0, _count(s, d, "part")), "SELECT p_partkey AS idx, p_partkey * (4.0::DOUBLE / ((SELECT count(*) FROM part) - 1)) AS v FROM part"),
     "linspace_grid": (
-        lambda s, d: rg.grid(s, [0.0, 1.0], [1.0, 3.0], [5, 9]).select("id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y")),
-        "SELECT i AS id, (i // 9) * 0.25::DOUBLE AS x, 1 + (i % 9) * 0.25::DOUBLE AS y FROM range(45) t(i)",
+        lambda s, d: rg.grid(s, [0.0, 1.0], [1.0, 3.0], [_count(s, d, "nation"), _count(s, d, "supplier")]).select("id", F.col("x")[0].alias("x"), F.col("x")[1].alias("y")),
+        "WITH c AS (SELECT (SELECT count(*) FROM nation) AS n, (SELECT count(*) FROM supplier) AS m) SELECT n_nationkey * m + s_suppkey AS id, n_nationkey * (1.0::DOUBLE / (n - 1)) AS x, 1 + s_suppkey * (2.0::DOUBLE / (m - 1)) AS y FROM nation, supplier, c",
     ),
     "filter_indices": (lambda s, d: rg.filter_indexes(_sizes(s, d), F.col("v") > 25), f"SELECT idx FROM {_P} WHERE v > 25"),
     "element_map": (lambda s, d: _sizes(s, d).select("idx", (F.col("v") * F.col("v") + 1).alias("v")), f"SELECT idx, v * v + 1 AS v FROM {_P}"),
@@ -56,10 +60,10 @@ QUERIES = {
         "SELECT count(*) = 0 AS subset, count(*) AS n_missing FROM (SELECT DISTINCT l_suppkey AS k FROM lineitem) WHERE k NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)",
     ),
     "linear_index": (
-        lambda s, d: s.range(120).select(
-            "id", *[c.alias(n) for c, n in zip(rg.from_linear(F.col("id"), [4, 5, 6]), "ijk", strict=True)], rg.to_linear(rg.from_linear(F.col("id"), [4, 5, 6]), [4, 5, 6]).alias("back")
+        lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id")).select(
+            "id", *[c.alias(n) for c, n in zip(rg.from_linear(F.col("id"), [1 << 40, 5, 6]), "ijk", strict=True)], rg.to_linear(rg.from_linear(F.col("id"), [1 << 40, 5, 6]), [1 << 40, 5, 6]).alias("back")
         ),
-        "SELECT n AS id, n // 30 AS i, (n // 6) % 5 AS j, n % 6 AS k, n AS back FROM range(120) t(n)",
+        "SELECT p_partkey AS id, p_partkey // 30 AS i, (p_partkey // 6) % 5 AS j, p_partkey % 6 AS k, p_partkey AS back FROM part",
     ),
     "weighted_choice": (
         lambda s, d: rg.weighted_choice(table(s, d, "nation").withColumn("w", (F.col("n_nationkey") % 5 + 1).cast("double")), "w", 0.5, "n_nationkey").select("n_nationkey", "n_name"),

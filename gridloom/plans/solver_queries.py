@@ -15,7 +15,10 @@ from ..operators import pde
 from ..operators import solvers as so
 from ..operators import spatial as sp
 from ..session import cut_lineage, table
+from . import part_nodes
 from .linalg_queries import _A, matrix, n_suppliers
+from .part_nodes import GRID, TRIANGLES
+
 
 def gram(s: SparkSession, d: str) -> DataFrame:
     """A^T A of parts by suppliers, scaled, with a shifted diagonal: symmetric and positive definite."""
@@ -181,43 +184,36 @@ def _power_sql() -> str:
     return out + " SELECT idx, round(v, 3) AS v FROM x3"
 
 
-def _grid_weights(s, n: int = 13):
-    nodes = pde.box_nodes(s, [0.0, 0.0], [1.0, 1.0], [n, n])
-    neighbours = sp.knn(nodes, nodes, 12)
-    return nodes, pde.weights(neighbours, nodes, ["lap", "d0", "d1"])
-
-
 def _laplacian(s, d):
-    """The Laplacian of x^2 + 3 y^2 at the nodes: 8, as splines with quadratic monomials give exactly."""
-    nodes, w = _grid_weights(s)
+    """The Laplacian of x^2 + 3 y^2 at the parts' nodes: 8, as splines with quadratic monomials give exactly."""
+    nodes = part_nodes.nodes(s, d).cache()
+    w = pde.weights(sp.knn(nodes, nodes, 12), nodes, ["lap"])
     field = nodes.select(F.col("id").alias("idx"), (F.col("x")[0] ** 2 + 3 * F.col("x")[1] ** 2).alias("v"))
-    return pde.apply(w, "lap", field).select("idx", F.round("v", 5).alias("v"))
+    return pde.apply(w, "lap", field).select("idx", F.round("v", 3).alias("v"))
 
 
 def _poisson(s, d):
-    """Poisson's equation with the solution x^2 - y^2 + x y on the boundary: the solution inside, from the assembled system."""
-    n = 13
-    nodes, w = _grid_weights(s, n)
+    """Poisson's equation with the solution x^2 - y^2 + x y on the boundary: the solution at all of the parts' nodes, from the assembled system."""
+    nodes = part_nodes.nodes(s, d).cache()
+    w = pde.weights(sp.knn(nodes, nodes, 12), nodes, ["lap"])
     exact = nodes.select(F.col("id").alias("idx"), "type", (F.col("x")[0] ** 2 - F.col("x")[1] ** 2 + F.col("x")[0] * F.col("x")[1]).alias("v"))
-    a = pde.assemble(w, {"lap": 1.0}, nodes.filter("type > 0")).unionByName(pde.dirichlet_rows(nodes))
-    b = np.zeros(n * n)
+    a = cut_lineage(pde.assemble(w, {"lap": 1.0}, nodes.filter("type > 0")).unionByName(pde.dirichlet_rows(nodes)))
+    n = nodes.count()
+    b = np.zeros(n)
     for r in exact.filter("type < 0").collect():
         b[r["idx"]] = r["v"]
-    x, _ = so.gmres(so.SparseMap(a, n * n), b, 1e-12, restart=n * n)
+    x, _ = so.gmres(so.SparseMap(a, n), b, 1e-11, restart=100, prec=so.ilut(a, n, 1e-4, 60))
     return _vector(s, np.round(x, 5) + 0.0)
 
 
-_GRID = "(SELECT i AS idx, (i // 13) / 12.0::DOUBLE AS x, (i % 13) / 12.0::DOUBLE AS y FROM range(169) t(i))"
-
-
 def _decay(s, d):
-    start = s.range(50).select("id", F.array((F.col("id") + 1).cast("double")).alias("y"))
+    start = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.array((F.col("c_nationkey") + 1).cast("double")).alias("y"))
     done = pde.integrate_series(start, lambda t, y: -y, 1.0, 200)
     return done.select("id", F.round(F.col("y")[0], 6).alias("y"))
 
 
 def _stiffness(s, d):
-    return pde.p1_stiffness(*pde.unit_square_mesh(s, 6)).filter(F.abs("val") > 1e-12).select("row", "col", F.round("val", 9).alias("val"))
+    return pde.p1_stiffness(*part_nodes.mesh(s, d)).select("row", "col", (F.round("val", 6) + 0.0).alias("val"))
 
 
 def _h_matvec(s, d):
@@ -267,35 +263,34 @@ QUERIES = {
     "lobpcg": (_eigen(lambda a, s, d: so.lobpcg(a, a.shape[0], 4, most=3000)[0], 3), _balances("s_acctbal", 4).replace("4) + 0.0", "3) + 0.0")),
     "arnoldi": (_general, "SELECT row_number() OVER (ORDER BY m DESC) - 1 AS idx, round(m, 4) AS magnitude FROM (SELECT unnest([sqrt((c_acctbal / 100) ** 2 + (c_nationkey + 1) ** 2), sqrt((c_acctbal / 100) ** 2 + (c_nationkey + 1) ** 2)]) AS m FROM customer) ORDER BY m DESC LIMIT 4"),
     "partial_svd": (_triplets, _pairs_sql(3, "round(sqrt(square), 4)")),
-    "rbffd_laplacian": (_laplacian, f"SELECT idx, 8.0::DOUBLE AS v FROM {_GRID}"),
-    "poisson_implicit": (_poisson, f"SELECT idx, round(x * x - y * y + x * y, 5) + 0.0 AS v FROM {_GRID}"),
-    "rk4": (_decay, "SELECT i AS id, round((i + 1) * exp(-1.0::DOUBLE), 6) AS y FROM range(50) t(i)"),
+    "rbffd_laplacian": (_laplacian, "SELECT p_partkey AS idx, 8.0::DOUBLE AS v FROM part"),
+    "poisson_implicit": (_poisson, f"SELECT idx, round(x * x - y * y + x * y, 5) + 0.0 AS v FROM {GRID}"),
+    "rk4": (_decay, "SELECT c_custkey AS id, round((c_nationkey + 1) * exp(-1.0::DOUBLE), 6) AS y FROM customer"),
     "fem_p1_stiffness": (
         _stiffness,
-        """WITH v AS (SELECT i AS id, i // 7 AS r, i % 7 AS c FROM range(49) t(i)),
-           p AS (SELECT a.id AS row, b.id AS col, a.r AS ar, a.c AS ac, b.r AS br, b.c AS bc FROM v a JOIN v b ON abs(a.r - b.r) + abs(a.c - b.c) <= 1)
-           SELECT row, col, CASE WHEN row = col THEN (2.0 / (1 + (ar IN (0, 6))::INT)) * (2.0 / (1 + (ac IN (0, 6))::INT))
-                  WHEN ar = br THEN -1.0 / (1 + (ar IN (0, 6))::INT) ELSE -1.0 / (1 + (ac IN (0, 6))::INT) END::DOUBLE AS val FROM p""",
+        f"""WITH g AS (SELECT idx, x, y FROM {GRID}), t AS (SELECT * FROM {TRIANGLES}),
+           q AS (SELECT t.id, a.idx AS v0, b.idx AS v1, c.idx AS v2, [c.x - b.x, a.x - c.x, b.x - a.x] AS ex, [c.y - b.y, a.y - c.y, b.y - a.y] AS ey FROM t JOIN g a ON a.idx = t.a JOIN g b ON b.idx = t.b JOIN g c ON c.idx = t.c)
+           SELECT [v0, v1, v2][i] AS row, [v0, v1, v2][j] AS col, round(sum((ex[i] * ex[j] + ey[i] * ey[j]) / (2 * abs(ex[1] * ey[2] - ey[1] * ex[2]))), 6) + 0.0 AS val FROM q, range(1, 4) r(i), range(1, 4) s(j) GROUP BY ALL""",
     ),
     "h_matrix_matvec": (
         _h_matvec,
         "WITH p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, p_retailprice / 20 AS y FROM part) SELECT a.id AS idx, round(sum(1.0 / (1.0 + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2))), 4) AS v FROM p a, p b GROUP BY a.id",
     ),
     "math_functions": (
-        lambda s, d: s.range(2, 20).select(
-            "id", mathx.int_power(F.col("id"), 3).alias("cube"), mathx.binomial(F.col("id"), 2).alias("pairs"), mathx.signum(F.col("id") - 10).alias("sign"), mathx.cell_index(F.col("id") - 9.5, 0.0, 2.0).alias("cell")
+        lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("n")).select(
+            "id", mathx.int_power(F.col("n"), 3).alias("cube"), mathx.binomial(F.col("n"), 2).alias("pairs"), mathx.signum(F.col("n") - 10).alias("sign"), mathx.cell_index(F.col("n") - 9.5, 0.0, 2.0).alias("cell")
         ),
-        "SELECT i AS id, i * i * i AS cube, i * (i - 1) // 2 AS pairs, CAST(sign(i - 10) AS INT) AS sign, CAST(trunc((i - 9.5) / 2.0) AS INT) AS cell FROM range(2, 20) t(i)",
+        "SELECT p_partkey AS id, i * i * i AS cube, i * (i - 1) // 2 AS pairs, CAST(sign(i - 10) AS INT) AS sign, CAST(trunc((i - 9.5) / 2.0) AS INT) AS cell FROM (SELECT p_partkey, p_size::BIGINT AS i FROM part)",
     ),
     "rbf_kernels": (
-        lambda s, d: s.range(1, 12).select(
-            "id", *[F.round(f(F.col("id").cast("double")), 9).alias(n) for n, f in (("gauss", lambda r: mathx.gaussian(r, 2.0)), ("mq", mathx.multiquadric), ("imq", mathx.inverse_multiquadric), ("phs", mathx.polyharmonic))]
+        lambda s, d: table(s, d, "part").select(
+            F.col("p_partkey").alias("id"), *[F.round(f(F.col("p_size").cast("double")), 9).alias(n) for n, f in (("gauss", lambda r: mathx.gaussian(r, 2.0)), ("mq", mathx.multiquadric), ("imq", mathx.inverse_multiquadric), ("phs", mathx.polyharmonic))]
         ),
-        "SELECT i AS id, round(exp(-i / 4.0::DOUBLE), 9) AS gauss, round(sqrt(i + 1.0::DOUBLE), 9) AS mq, round(1 / sqrt(i + 1.0::DOUBLE), 9) AS imq, round(pow(i::DOUBLE, 1.5), 9) AS phs FROM range(1, 12) t(i)",
+        "SELECT p_partkey AS id, round(exp(-i / 4.0::DOUBLE), 9) AS gauss, round(sqrt(i + 1.0::DOUBLE), 9) AS mq, round(1 / sqrt(i + 1.0::DOUBLE), 9) AS imq, round(pow(i::DOUBLE, 1.5), 9) AS phs FROM (SELECT p_partkey, p_size::DOUBLE AS i FROM part)",
     ),
     "memory_string": (
-        lambda s, d: s.range(0, 12).select("id", mathx.human_memory(F.pow(F.lit(7.0), F.col("id"))).alias("shown")),
-        "SELECT i AS id, CASE WHEN b < 100 THEN printf('%.1f B', b) WHEN b / 1e3 < 100 THEN printf('%.1f kB', b / 1e3) WHEN b / 1e6 < 100 THEN printf('%.1f MB', b / 1e6) ELSE printf('%.1f GB', b / 1e9) END AS shown FROM (SELECT i, pow(7.0::DOUBLE, i) AS b FROM range(0, 12) t(i))",
+        lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), mathx.human_memory(F.pow(F.lit(7.0), F.col("c_nationkey") % 12)).alias("shown")),
+        "SELECT c_custkey AS id, CASE WHEN b < 100 THEN printf('%.1f B', b) WHEN b / 1e3 < 100 THEN printf('%.1f kB', b / 1e3) WHEN b / 1e6 < 100 THEN printf('%.1f MB', b / 1e6) ELSE printf('%.1f GB', b / 1e9) END AS shown FROM (SELECT c_custkey, pow(7.0::DOUBLE, c_nationkey % 12) AS b FROM customer)",
     ),
     "split_join_pad": (
         lambda s, d: table(s, d, "documents").select(
