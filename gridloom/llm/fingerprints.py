@@ -8,8 +8,10 @@ the term with the least ln c - r (t - b) - r gives the coordinate (term, t), and
 two texts agree in a coordinate with the probability of their generalised
 Jaccard similarity, sum of min(w) / sum of max(w).
 
-The variates are hashed from a term's 64 bits and the coordinate, so texts of any
-length share only the terms they have in common. Coordinates are kept as 16 bits,
+The variates are hashed from both halves of a term's 64 bits and the coordinate, and a
+coordinate's code from all 64 bits, so texts of any length share only the terms they
+have in common. A text and its edited text are fingerprinted together: terms that both
+have with the same weight are looked at once. Coordinates are kept as 16 bits,
 so unequal ones agree by chance once in 65,536.
 
 Comparing neighbours in the order of ids needs no global sort: ids are cut into
@@ -40,7 +42,7 @@ SAMPLES = 64
 #: Ranges of ids for each shuffle partition, so that ranges spread evenly over the tasks.
 RANGES_PER_PARTITION = 8
 _SEED = 20_240_501
-_CHUNK = 256
+_CHUNK = 512
 
 
 def _ordered(log_a: np.ndarray) -> np.ndarray:
@@ -56,12 +58,28 @@ def _codes(terms: np.ndarray, t: np.ndarray | int) -> np.ndarray:
     return (x >> np.uint64(40)) % np.uint64(65535) + np.uint64(1)
 
 
-def _unit(bits: np.ndarray, count: int) -> np.ndarray:
-    """Integers of `count` bits as numbers inside (0, 1)."""
-    x = bits.astype(np.float32)
-    x += np.float32(0.5)
-    x *= np.float32(2.0**-count)
-    return np.minimum(x, np.float32(1 - 2.0**-24), out=x)
+def _small_gamma(p: np.ndarray) -> np.ndarray:
+    """The quantile of the gamma distribution of shape 2 for small p, where 1 - (1 + c) exp(-c) = p."""
+    root = np.sqrt(2 * p)
+    return root + root**2 / 3 + 11 * root**3 / 72
+
+
+#: A table of so many bits stays in the fastest cache.
+_TABLE_BITS = 12
+
+
+@functools.cache
+def _gamma_quantiles() -> np.ndarray:
+    """The quantiles (k + 1/2) / 2^TABLE_BITS of the gamma distribution of shape 2, by Newton's method."""
+    p = (np.arange(1 << _TABLE_BITS) + 0.5) / (1 << _TABLE_BITS)
+    c = np.where(p < 0.05, _small_gamma(p), 1 - np.log1p(-p))
+    for _ in range(60):
+        c = np.maximum(c - (1 - (1 + c) * np.exp(-c) - p) / np.maximum(c * np.exp(-c), 1e-12), c / 2)
+    return c
+
+
+#: Quantiles below which the lower bits of a variate count too, so that the least of many texts' terms are told apart.
+_FINE = 64
 
 
 class Sampler:
@@ -69,56 +87,74 @@ class Sampler:
 
     def __init__(self, samples: int = SAMPLES, seed: int = _SEED):
         self.samples = samples
-        self.keys = np.random.default_rng(seed).integers(0, 1 << 63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 31, samples, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        quantiles = _gamma_quantiles()
+        self.minus_r, self.log_c = -np.maximum(quantiles, 1e-3).astype(np.float32), np.log(quantiles).astype(np.float32)
 
     def _variates(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, b and ln c of each term and coordinate: two 64-bit hashes make five uniform numbers."""
-        x = terms[:, None] ^ self.keys
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(31)
-        x *= np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(29)
-        y = x * np.uint64(0xD6E8FEB86659FD93)
-        y ^= y >> np.uint64(32)
-        y *= np.uint64(0xC2B2AE3D27D4EB4F)
-        r = _unit((x >> np.uint64(43)).astype(np.uint32), 21)
-        r *= _unit((x >> np.uint64(22)).astype(np.uint32) & np.uint32(0x1FFFFF), 21)
-        np.log(r, out=r)
-        np.negative(r, out=r)
-        np.maximum(r, np.float32(1e-3), out=r)
-        b = _unit(x.astype(np.uint32) & np.uint32(0x3FFFFF), 22)
-        c = _unit((y >> np.uint64(32)).astype(np.uint32), 32)
-        c *= _unit(y.astype(np.uint32), 32)
-        np.log(c, out=c)
-        np.negative(c, out=c)
-        return r, b, np.log(c, out=c)
-
-    def signature(self, hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        """SAMPLES 16-bit coordinates of a bag of term hashes; of distinct hashes with weights, if given."""
-        if not len(hashes):
-            return np.zeros(self.samples, np.uint16)
-        terms = hashes
-        if weights is None:
-            terms, weights = np.unique(hashes, return_counts=True)
-        terms = terms.astype(np.uint64)
+        """-r, b and ln c of each term and coordinate, from three 32-bit words hashed from both halves of the term."""
+        x = (terms & np.uint64(0xFFFFFFFF)).astype(np.uint32)[:, None] * self.keys
+        x ^= (terms >> np.uint64(32)).astype(np.uint32)[:, None]
+        x ^= x >> np.uint32(15)
+        x *= np.uint32(0x2C1B3C6D)
+        x ^= x >> np.uint32(13)
+        y = x * np.uint32(0x297A2D39)
+        y ^= y >> np.uint32(16)
+        z = y * np.uint32(0x85EBCA6B)
+        z ^= z >> np.uint32(16)
+        r = self.minus_r.take(x >> np.uint32(32 - _TABLE_BITS))
+        c = self.log_c.take(z >> np.uint32(32 - _TABLE_BITS))
+        fine = np.flatnonzero(z.ravel() < np.uint32(_FINE << (32 - _TABLE_BITS)))
+        c.ravel()[fine] = np.log(_small_gamma((z.ravel()[fine] + 0.5) / 2.0**32))
+        b = (y >> np.uint32(8)).astype(np.float32)
+        b += np.float32(0.5)
+        b *= np.float32(2.0**-24)
+        return r, b, c
+
+    def least(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """For each coordinate the least key of distinct terms; the least of two sets is that of their union."""
         least = np.full(self.samples, np.iinfo(np.uint64).max, np.uint64)
         for one in (True, False):  # t is 0 where the weight is 1
             mine = np.flatnonzero((weights == 1) == one)
             for i in range(0, len(mine), _CHUNK):
                 s = terms[mine[i : i + _CHUNK]]
-                r, b, log_a = self._variates(s)
+                r, b, log_a = self._variates(s)  # r is negative here
                 if one:
                     t = np.zeros((len(s), 1), np.int64)
-                    log_a -= r * (1 - b)
+                    np.subtract(np.float32(1), b, out=b)
+                    b *= r
+                    log_a += b
                 else:
-                    t = np.floor(np.log(weights[mine[i : i + _CHUNK]].astype(np.float32))[:, None] / r + b)
-                    log_a -= r * (t - b) + r
+                    t = np.floor(b - np.log(weights[mine[i : i + _CHUNK]].astype(np.float32))[:, None] / r)
+                    log_a += r * (t - b + np.float32(1))
                 # Only the least of each coordinate takes part, so only they get a code; ties go to the least code.
                 low = log_a.min(axis=0)
-                at, k = np.nonzero(log_a == low)
+                at, k = np.divmod(np.flatnonzero(log_a == low), self.samples)
                 of = t[at, 0] if one else t[at, k]
                 np.minimum.at(least, k, _ordered(low[k]) | _codes(s[at], of))
-        return (least & np.uint64(0xFFFF)).astype(np.uint16)
+        return least
+
+    def signature(self, hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        """SAMPLES 16-bit coordinates of a bag of term hashes; of distinct hashes with weights, if given."""
+        if weights is None:
+            hashes, weights = np.unique(hashes, return_counts=True)
+        return self.signatures((hashes, weights))[0]
+
+    def signatures(self, *bags: tuple[np.ndarray, np.ndarray]) -> list[np.ndarray]:
+        """The signatures of one or two bags of distinct terms with weights; what both have is looked at once."""
+        bags = tuple((terms.astype(np.uint64), weights) for terms, weights in bags)
+        if len(bags) == 1:
+            leasts = [self.least(*bags[0])]
+        else:
+            (s, w), (t, v) = bags
+            at = np.minimum(np.searchsorted(t, s), max(len(t) - 1, 0))
+            same = (t[at] == s) & (v[at] == w) if len(t) else np.zeros(len(s), bool)
+            other = np.ones(len(t), bool)
+            other[at[same]] = False
+            shared = self.least(s[same], w[same])
+            leasts = [np.minimum(shared, self.least(s[~same], w[~same])), np.minimum(shared, self.least(t[other], v[other]))]
+        none = np.zeros(self.samples, np.uint16)
+        return [(x & np.uint64(0xFFFF)).astype(np.uint16) if len(terms) else none for x, (terms, _) in zip(leasts, bags, strict=True)]
 
 
 @functools.cache
@@ -131,8 +167,12 @@ def _words() -> WordHash:
     return WordHash()
 
 
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(shingle_hashes(_words().of(text.encode("utf-8", "surrogatepass").lower().split()), 2), return_counts=True)
+
+
 def fingerprint(text: str) -> np.ndarray:
-    return sampler().signature(shingle_hashes(_words().of(text.encode("utf-8", "surrogatepass").lower().split()), 2))
+    return sampler().signatures(_bag(text))[0]
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
@@ -150,21 +190,36 @@ _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string,
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (range, borrowed, doc_id, text) in order; each row that isn't borrowed, with the one after it in its range."""
-    held: tuple | None = None  # the last row, which waits for the next one: range, id, text, fingerprint
+    """Rows (range, borrowed, doc_id, text) in order; each row that isn't borrowed, with the one after it in its range.
+
+    A row's fingerprint comes with that of its edited text, which needs the next row; so
+    its likeness to the next row's waits for the row after that.
+    """
+    held: tuple | None = None  # the last row: range, id, text, terms
+    waiting: list | None = None  # the result before it, and its fingerprint
     for batch in batches:
         out: list[tuple] = []
+
+        def told(next_print: np.ndarray, out: list[tuple] = out) -> None:
+            if waiting:
+                out.append((*waiting[0], likeness(waiting[1], next_print)))
+
         for part, borrowed, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            print_ = None
+            bag = None
             if held and held[0] == part:
-                print_ = fingerprint(text)
-                _, of, own, own_print = held
+                _, of, own, terms = held
                 new = edited(own, text)
-                new_print = own_print if new == own else fingerprint(new)
-                out.append(
-                    (of, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own_print.astype(">u2").tobytes().hex(), new_print.astype(">u2").tobytes().hex(), likeness(own_print, new_print), likeness(own_print, print_))
-                )
-            held = None if borrowed else (part, doc_id, text, fingerprint(text) if print_ is None else print_)
+                own_print, new_print = sampler().signatures(terms, _bag(new)) if new != own else sampler().signatures(terms) * 2
+                told(own_print)
+                found = (of, len(own), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own_print.astype(">u2").tobytes().hex(), new_print.astype(">u2").tobytes().hex(), likeness(own_print, new_print))
+                waiting = [found, own_print]
+                bag = _bag(text)
+            if borrowed:  # the end of a range
+                if waiting:
+                    told(sampler().signatures(bag if bag is not None else _bag(text))[0])
+                held = waiting = None
+            else:
+                held = (part, doc_id, text, _bag(text) if bag is None else bag)
         columns = list(zip(*out, strict=True)) or [()] * 7
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
