@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
 from ..operators import h2, harith
+from ..operators import h2basis as hb
 from ..operators import hmatrix as hm
 from ..operators import linalg as la
 from ..operators import lowrank as lr
@@ -171,6 +172,40 @@ def _h2(s, d):
     return h2.matvec(points, nodes, ["x", "y"], blocks, kernel, x, 3).select("idx", F.round(F.col("v") / 997, 3).alias("v"))
 
 
+def _bases(s, d):
+    """The same matrix with stored bases."""
+    leaves = cl.bisect(_points(s, d), ["x", "y"], 150, 20)
+    nodes = cl.tree(leaves, ["x", "y"]).cache()
+    blocks = cl.block_tree(nodes, ["x", "y"], "two_min", 1.0)
+    kernel = lambda a, b: ((a[:, None] - b[None]) ** 2).sum(axis=2)
+    return hb.from_kernel(leaves.select("id", "node", F.array("x", "y").alias("x")), nodes, ["x", "y"], blocks, kernel, 3)
+
+
+def _by_bases(change):
+    """The stored matrix after `change`, times ones."""
+
+    def run(s, d):
+        ones = table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.lit(1.0).alias("v"))
+        return hb.matvec(change(s, d, _bases(s, d)), ones).select("idx", F.round(F.col("v") / 997, 3).alias("v"))
+
+    return run
+
+
+def _updated(s, d, h):
+    """Plus sizes times the keys modulo 7, compressed again."""
+    p = table(s, d, "part")
+    a = p.select(F.col("p_partkey").alias("idx"), F.col("p_size").cast("double").alias("v"))
+    b = p.select(F.col("p_partkey").alias("idx"), (F.col("p_partkey") % 7).cast("double").alias("v"))
+    return hb.compressed(hb.orthogonalized(hb.updated(h, a, b)), 1e-13)
+
+
+def _bases_ranks(s, d):
+    """The greatest rank of a basis before compression, of nine points of interpolation, and whether it is the kernel's own, four, at most after it."""
+    h = _bases(s, d)
+    most = lambda m, name: hb.ranks(m).agg(F.max("k").alias(name), F.lit(1).alias("_k"))
+    return most(h, "before").join(most(hb.compressed(hb.orthogonalized(h), 1e-10), "after"), "_k").select("before", (F.col("after") <= 4).alias("compressed"))
+
+
 def _moments(s, d):
     """Forward transform at the root with one point an axis: the sum of x."""
     leaves = cl.bisect(_points(s, d), ["x", "y"], 40, 20)
@@ -313,6 +348,7 @@ def _ilut(s, d):
 
 
 _SUMS = "SELECT a.p_partkey AS idx, round({0}, 3) AS v FROM part a, part b GROUP BY a.p_partkey"
+_SQUARES = "sum((a.p_size - b.p_size)::DOUBLE ** 2 + (a.p_retailprice / 100 - b.p_retailprice / 100) ** 2) / 997"
 _NONZERO = "SELECT row, col, val FROM ({0}) WHERE val <> 0"
 
 QUERIES = {
@@ -357,7 +393,11 @@ QUERIES = {
            o AS (SELECT a.id, a.x, a.y, sum(1 + a.x * b.x + a.y * b.y) AS v FROM p a, p b GROUP BY ALL)
            SELECT a.id, CAST(round(sum((1 + a.x * b.x + a.y * b.y) * b.v)) AS BIGINT) AS v FROM p a, o b GROUP BY a.id""",
     ),
-    "h2_matvec": (_h2, _SUMS.format("sum((a.p_size - b.p_size)::DOUBLE ** 2 + (a.p_retailprice / 100 - b.p_retailprice / 100) ** 2) / 997")),
+    "h2_matvec": (_h2, _SUMS.format(_SQUARES)),
+    "h2_orthogonal_bases": (_by_bases(lambda s, d, h: hb.orthogonalized(h)), _SUMS.format(_SQUARES)),
+    "h2_compressed_bases": (_by_bases(lambda s, d, h: hb.compressed(hb.orthogonalized(h), 1e-12)), _SUMS.format(_SQUARES)),
+    "h2_compressed_ranks": (_bases_ranks, "SELECT 9::INT AS before, true AS compressed"),
+    "h2_update": (_by_bases(_updated), _SUMS.format("sum((a.p_size - b.p_size)::DOUBLE ** 2 + (a.p_retailprice / 100 - b.p_retailprice / 100) ** 2 + a.p_size * (b.p_partkey % 7)) / 997")),
     "cluster_basis_forward": (_moments, "SELECT round(sum(p_size)::DOUBLE, 3) AS total FROM part"),
     "h_matrix_sum": (_h_sum, _SUMS.format("3 * sum(1 + a.p_size * b.p_size + (a.p_retailprice / 100) * (b.p_retailprice / 100)) / 997")),
     "h_matrix_ranks": (_h_ranks, "SELECT 3::INT AS max_rank, true AS smaller"),

@@ -62,10 +62,10 @@ def _admissible(kind: str, levels: int = LEVELS):
     return run, f"WITH {_T} SELECT r.node AS r_node, c.node AS c_node FROM t r, t c WHERE r.leaf AND c.leaf AND {_ADM[kind]}"
 
 
-def _block_sql() -> str:
-    out = f"WITH {_T}, p0 AS (SELECT r.node AS r, c.node AS c, r.leaf AS rl, c.leaf AS cl, {_ADM['two_min']} AS adm FROM t r, t c WHERE r.node = 1 AND c.node = 1)"
+def _block_sql(test: str = _ADM["two_min"]) -> str:
+    out = f"WITH {_T}, p0 AS (SELECT r.node AS r, c.node AS c, r.leaf AS rl, c.leaf AS cl, {test} AS adm FROM t r, t c WHERE r.node = 1 AND c.node = 1)"
     for i in range(1, LEVELS + 1):
-        out += f", p{i} AS (SELECT r.node AS r, c.node AS c, r.leaf AS rl, c.leaf AS cl, {_ADM['two_min']} AS adm FROM p{i - 1} p JOIN t r ON r.node >> 1 = p.r JOIN t c ON c.node >> 1 = p.c WHERE NOT (adm OR rl OR cl))"
+        out += f", p{i} AS (SELECT r.node AS r, c.node AS c, r.leaf AS rl, c.leaf AS cl, {test} AS adm FROM p{i - 1} p JOIN t r ON r.node >> 1 = p.r JOIN t c ON c.node >> 1 = p.c WHERE NOT (adm OR rl OR cl))"
     every = " UNION ALL ".join(f"SELECT r AS r_node, c AS c_node, {i} AS level, adm AS admissible, adm OR rl OR cl AS leaf FROM p{i}" for i in range(LEVELS + 1))
     return out + f", blocks AS ({every})"
 
@@ -109,6 +109,24 @@ QUERIES = {
     **{f"admissible_pairs_{kind}_whole": (_admissible(kind, ALL_LEVELS)[0], None) for kind in _ADM},
     "block_tree_whole": (lambda s, d: _blocks(s, d, ALL_LEVELS), None),
     "sparsity_constant_whole": (lambda s, d: cl.sparsity_constant(_blocks(s, d, ALL_LEVELS)), None),
+    "block_tree_predicate": (
+        lambda s, d: cl.block_tree(_nodes(s, d), AXES, (F.col("r_node") > F.col("c_node")) & (F.col("r_node") > 3)),
+        _block_sql("(r.node > c.node AND r.node > 3)") + " SELECT * FROM blocks",
+    ),
+    "tree_cut": (
+        lambda s, d: cl.cut_to_depth(_nodes(s, d), 2).select("node", "size", "leaf", "level"),
+        f"WITH {_T} SELECT node, size, leaf OR node >= 4 AS leaf, floor(log2(node))::INT AS level FROM t WHERE node < 8",
+    ),
+    "tree_extended": (
+        lambda s, d: cl.balanced(_nodes(s, d), 5).select("node", F.coalesce("parent", F.lit(-1)).alias("parent"), "size", "leaf", "level"),
+        f"""WITH {_T}, l AS (SELECT node, size, leaf, floor(log2(node))::INT AS level FROM t), e AS (SELECT node, size, false AS leaf, level FROM l UNION ALL SELECT node << k, size, level + k = 5, level + k FROM l, range(1, 6) r(k) WHERE leaf AND level + k <= 5)
+            SELECT node, coalesce(nullif(node >> 1, 0), -1) AS parent, size, leaf, level::INT AS level FROM e""",
+    ),
+    "tree_without_small": (
+        lambda s, d: cl.without_small(_nodes(s, d), table(s, d, "part").count() // 8).select("node", "size", "leaf"),
+        f"""WITH {_T}, bad AS (SELECT DISTINCT node >> 1 AS p FROM t WHERE node > 1 AND size < (SELECT count(*) // 8 FROM part))
+            SELECT node, size, leaf OR node IN (SELECT p FROM bad) AS leaf FROM t WHERE NOT EXISTS (SELECT 1 FROM bad, range(1, 5) r(k) WHERE t.node >> k = bad.p)""",
+    ),
     "admissible_sparse_row_col": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 8), _sparse_sql("least(count(DISTINCT row), count(DISTINCT col))")),
     "admissible_sparse_nnz": (lambda s, d: cl.sparse_admissible(*_binned(s, d), 8, by_count=True), _sparse_sql("count(*)")),
     "renumber_partition": (

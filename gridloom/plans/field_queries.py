@@ -438,12 +438,6 @@ QUERIES = {
             n AS (SELECT m.a, m.b, m.d2, m.x, m.y, min((m.x - g.x) ** 2 + (m.y - g.y) ** 2) AS least FROM m, g GROUP BY ALL)
             SELECT round(x, 6) AS x, round(y, 6) AS y FROM n WHERE least >= 0.4 * 0.4 * d2 * 0.999999""",
     ),
-    "tree_extended": (
-        lambda s, d: cl.balanced(_tree(s, d), 12).agg(F.min(F.when(F.col("leaf"), F.col("level"))).alias("least"), F.max("level").alias("depth"), F.sum(F.when(F.col("leaf"), F.col("size"))).alias("points")),
-        "SELECT 12::INT AS least, 12::INT AS depth, count(*) AS points FROM part",
-    ),
-    "tree_cut": (lambda s, d: cl.cut_to_depth(_tree(s, d), 2).agg(F.max("level").alias("depth"), F.sum(F.when(F.col("leaf"), F.col("size"))).alias("points")), "SELECT 2::INT AS depth, count(*) AS points FROM part"),
-    "tree_without_small": (lambda s, d: cl.without_small(_tree(s, d), 8).agg((F.min("size") >= 8).alias("large"), F.sum(F.when(F.col("leaf"), F.col("size"))).alias("points")), "SELECT true AS large, count(*) AS points FROM part"),
     "tree_faults": (lambda s, d: cl.tree_faults(_tree(s, d)).unionByName(cl.tree_faults(cl.balanced(_tree(s, d), 12))).agg(F.count(F.lit(1)).alias("faults")), "SELECT 0::BIGINT AS faults"),
     "ghost_pairing": (
         # Ghosts of suppliers are in their nation's cluster, but those of suppliers with less than 3000 in the next one.
@@ -451,10 +445,6 @@ QUERIES = {
         "SELECT s_suppkey AS id FROM supplier WHERE s_acctbal < 3000",
     ),
     "graph_partition": (_partitioned, f"WITH {_WITH} SELECT 0::BIGINT AS cut, CASE WHEN count(DISTINCT src) % 4 = 0 THEN 0 ELSE 1 END::BIGINT AS spread, count(DISTINCT src) AS vertices FROM e"),
-    "block_tree_predicate": (
-        lambda s, d: cl.block_tree(_tree(s, d), _TREE, (F.col("r_node") > F.col("c_node")) & (F.col("r_node") > 3)).filter("leaf").groupBy("admissible").agg((F.count(F.lit(1)) > 0).alias("found")),
-        "SELECT * FROM (VALUES (true, true), (false, true)) t(admissible, found)",
-    ),
     "dissected_admissible": (
         lambda s, d: cl.pairs(_typed(s, d), _typed(s, d)).filter(cl.dissected_admissible(F.col("r_node") + F.col("c_node") == 9, True)).select("r_node", "c_node"),
         f"SELECT a.node AS r_node, b.node AS c_node FROM {_TYPED} a, {_TYPED} b WHERE NOT (a.type = 2 AND b.type = 2) AND ((a.type = 1 AND b.type = 1 AND a.node <> b.node) OR a.node + b.node = 9)",

@@ -48,8 +48,8 @@ def face_edges(faces: DataFrame) -> DataFrame:
     return e.withColumn("q", q).select("face", "ord", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.when(F.col("p") < F.col("q"), 1).otherwise(-1).alias("sign"))
 
 
-def read_stl(spark: SparkSession, path: str) -> DataFrame:
-    """(file, id, normal, p1, p2, p3, attribute) of binary STL files: an 80-byte header, a count, 50 bytes for each triangle."""
+def parse_stl(contents: DataFrame) -> DataFrame:
+    """(file, id, normal, p1, p2, p3, attribute) of the binary STL contents(path, content): an 80-byte header, a count, 50 bytes for each triangle."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         record = np.dtype([("f", "<f4", (4, 3)), ("attribute", "<u2")])
@@ -63,7 +63,12 @@ def read_stl(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"file": name, "id": np.arange(n), "normal": corner(0), "p1": corner(1), "p2": corner(2), "p3": corner(3), "attribute": t["attribute"].astype("int32")})
 
     a = "array<double>"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"file string, id long, normal {a}, p1 {a}, p2 {a}, p3 {a}, attribute int")
+    return contents.select("path", "content").mapInPandas(run, f"file string, id long, normal {a}, p1 {a}, p2 {a}, p3 {a}, attribute int")
+
+
+def read_stl(spark: SparkSession, path: str) -> DataFrame:
+    """The triangles of binary STL files, as parse_stl gives them."""
+    return parse_stl(spark.read.format("binaryFile").load(path))
 
 
 def read_csv_vector(spark: SparkSession, path: str) -> DataFrame:

@@ -120,19 +120,19 @@ def read_netgen(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def read_unv(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """vertices(id, x) and triangles(id, v) of a universal file: data sets 2411 (two lines a node) and 2412 (two lines an element of three corners)."""
+    """vertices(id, x) and triangles(id, v) of a universal file: data sets 2411 (two lines a node) and 2412 (an element's head of six numbers,
+    a line of three for beams, and its corners). Elements other than those of three corners are left out."""
     lines = _numbered(spark, path)
-    found = {}
-    for number in ("2411", "2412"):
-        rows = _listed(_after(lines, number, "-1"))
-        found[number] = rows.filter(F.col("id") % 2 == 0).select(F.floor(F.col("id") / 2).cast("long").alias("id"), F.col("t").alias("head")).join(
-            rows.filter(F.col("id") % 2 == 1).select(F.floor(F.col("id") / 2).cast("long").alias("id"), "t"), "id"
-        )
+    rows = _listed(_after(lines, "2411", "-1"))
+    half = F.floor(F.col("id") / 2).cast("long").alias("id")
     number = F.transform("t", lambda c: F.regexp_replace(c, "[dD]", "e").try_cast("double"))  # exponents may be written with D
-    vertices = found["2411"].select("id", number.alias("x"), F.col("head")[0].cast("long").alias("_tag"))
-    corners = found["2412"].filter(F.element_at("head", -1) == "3").select(F.col("id").alias("_i"), F.transform("t", lambda c: c.cast("long")).alias("tags"))
-    corners = corners.withColumn("id", F.row_number().over(W.orderBy("_i")).cast("long") - 1)
-    return {"vertices": vertices.select("id", "x"), "triangles": _by_tag(corners.select("id", "tags"), vertices)}
+    vertices = rows.filter("id % 2 = 0").select(half, F.col("t")[0].cast("long").alias("_tag")).join(rows.filter("id % 2 = 1").select(half, number.alias("x")), "id")
+    # A head is a line of six numbers with a line of as many corners as its last number says below it, or one line further for beams.
+    cells = _after(lines, "2412", "-1")
+    below = lambda k: cells.select((F.col("n") - k).alias("n"), F.col("t").alias("c"))
+    heads = cells.filter((F.size("t") == 6) & (F.expr("get(t, 5)") == "3") & ~F.expr("get(t, 1)").isin("11", "21", "22", "23", "24"))
+    corners = _listed(heads.select("n").join(below(1), "n").filter(F.size("c") == 3)).select("id", F.transform("c", lambda c: c.cast("long")).alias("tags"))
+    return {"vertices": vertices.select("id", "x"), "triangles": _by_tag(corners, vertices)}
 
 
 def with_edges(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
