@@ -56,14 +56,23 @@ def randomized(apply: Callable, apply_t: Callable, n_cols: int, eps: float, step
     return truncate(q, np.column_stack([apply_t(c) for c in q.T]) if q.shape[1] else np.zeros((n_cols, 0)), eps) if q.shape[1] else (q, np.zeros((n_cols, 0)))
 
 
+#: Rows that are looked at before a cross approximation ends.
+PROBES = 8
+
+
 def cross_approximation(entry_row: Callable, entry_col: Callable, n_rows: int, n_cols: int, eps: float, most: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Partially pivoted: starts at the middle row, the next row is where the last column is greatest."""
+    """Partially pivoted: starts at the middle row, the next row is where the last column is greatest.
+
+    A small cross may only mean that its row is well approximated already, so PROBES rows
+    spread over the block must be so too before it stops.
+    """
+    residual = lambda i: entry_row(i) - sum((u[i] * w for u, w in zip(us, vs, strict=True)), np.zeros(n_cols))
     us: list[np.ndarray] = []
     vs: list[np.ndarray] = []
     i, used, first = n_rows // 2, set(), None
     for _ in range(min(most, n_rows, n_cols)):
         used.add(i)
-        v = entry_row(i) - sum((u[i] * w for u, w in zip(us, vs, strict=True)), np.zeros(n_cols))
+        v = residual(i)
         j = int(np.abs(v).argmax())
         if abs(v[j]) < 1e-300:
             free = [k for k in range(n_rows) if k not in used]
@@ -78,7 +87,12 @@ def cross_approximation(entry_row: Callable, entry_col: Callable, n_rows: int, n
         size = np.linalg.norm(u) * np.linalg.norm(v)
         first = first or size
         if size <= eps * first:
-            break
+            spread = [int(k) for k in np.linspace(0, n_rows - 1, PROBES).round() if int(k) not in used]
+            worse = [k for k in spread if np.linalg.norm(residual(k)) * np.sqrt(n_rows) > eps * first]
+            if not worse:
+                break
+            i = worse[0]
+            continue
         order = np.argsort(-np.abs(u))
         i = next((int(k) for k in order if int(k) not in used), i)
     return np.column_stack(us) if us else np.zeros((n_rows, 0)), np.column_stack(vs) if vs else np.zeros((n_cols, 0))
