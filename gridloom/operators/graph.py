@@ -208,3 +208,30 @@ def subdomains(edges: DataFrame, parts: DataFrame) -> DataFrame:
     both = symmetric(edges)
     touching = both.join(parts.select(F.col("id").alias("src"), F.col("part").alias("a")), "src").join(parts.select(F.col("id").alias("dst"), F.col("part").alias("b")), "dst").filter(F.col("a") > F.col("b"))
     return parts.join(touching.select(F.col("src").alias("id"), F.lit(True).alias("separator")).distinct(), "id", "left").withColumn("separator", F.coalesce("separator", F.lit(False)))
+
+
+def nearest_by_path(edges: DataFrame, sources: DataFrame, n: int) -> DataFrame:
+    """(source, id, dist, rank): for each of sources(id) its n nearest vertices by path length, then id; the source itself has rank 0.
+
+    Weights must be positive (a lighter one raises an error): what a path passes is nearer than its end, so each round
+    keeps n vertices a source and n - 1 rounds suffice. Of a vertex's edges only the n lightest (by weight, then end)
+    can lead to one of the n nearest, so a hub offers n edges however many it has. Parallel edges count once.
+    """
+    from pyspark.sql import Window as W
+
+    if n < 1:
+        raise ValueError("n must be at least 1")
+    lightest = W.partitionBy("src").orderBy("w", "dst")
+    once = edges.filter(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(F.min("w").alias("w"))
+    checked = once.withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(F.raise_error(F.lit("weights must be positive")).cast("double")))
+    short = cut_lineage(checked.withColumn("_r", F.row_number().over(lightest)).filter(F.col("_r") <= n).drop("_r"))
+    nearest = W.partitionBy("source").orderBy("dist", "id")
+    now = cut_lineage(sources.select(F.col("id").alias("source"), "id", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh")).distinct())
+    for _ in range(n - 1):
+        offers = now.filter("fresh").select("source", F.col("id").alias("src"), "dist").join(short, "src").select("source", F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("dist"), F.lit(True).alias("fresh"))
+        # Of equal distances the known one stands, so that an entry is offered onwards once for each distance.
+        best = now.withColumn("fresh", F.lit(False)).unionByName(offers).groupBy("source", "id").agg(F.min(F.struct("dist", "fresh")).alias("b")).select("source", "id", "b.*")
+        now = cut_lineage(best.withColumn("_r", F.row_number().over(nearest)).filter(F.col("_r") <= n).drop("_r"))
+        if not now.filter("fresh").limit(1).count():
+            break
+    return now.select("source", "id", "dist", (F.row_number().over(nearest) - 1).alias("rank"))

@@ -101,10 +101,11 @@ def cross_approximation(entry_row: Callable, entry_col: Callable, n_rows: int, n
 _BLOCKS = "r_node long, c_node long, rows array<long>, cols array<long>, kind string, rank int, a binary, b binary"
 
 
-def build(points: DataFrame, blocks: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], eps: float) -> DataFrame:
+def build(points: DataFrame, blocks: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], eps: float, spread: bool = False) -> DataFrame:
     """The H-matrix of a kernel over points(id, node, x) and leaf blocks(r_node, c_node, admissible); nodes are leaves of the tree or their ancestors.
 
     The points of a cluster are found by the prefix of their leaf's number; each block is one group.
+    spread: for dear kernels, blocks are dealt to all shuffle partitions, which adaptive execution would join by their bytes.
     """
     own = points.select("id", "x", F.explode(F.expr("transform(sequence(0, CAST(floor(log2(node)) AS INT)), d -> shiftright(node, d))")).alias("n"))
     leaves = blocks.filter("leaf")
@@ -112,6 +113,8 @@ def build(points: DataFrame, blocks: DataFrame, kernel: Callable[[np.ndarray, np
     named = lambda s: leaves.select(F.col(f"{s}_node").alias("n")).distinct()
     side = lambda s: own.join(named(s), "n", "left_semi").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias(f"{s}_points"))
     joined = leaves.join(side("r"), leaves["r_node"] == F.col("n")).drop("n").join(side("c"), F.col("c_node") == F.col("n")).drop("n")
+    if spread:
+        joined = joined.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "r_node", "c_node")
 
     def run(frames):
         for f in frames:

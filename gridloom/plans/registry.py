@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import block_queries, cluster_queries, domain_queries, field_queries, graph_queries, linalg_queries, ordered_queries, range_queries, solver_queries, source_queries, spatial_queries
+from . import block_queries, boundary_queries, cluster_queries, domain_queries, field_queries, graph_queries, linalg_queries, ordered_queries, range_queries, solver_queries, source_queries, spatial_queries
 
-_MODULES = (linalg_queries, range_queries, ordered_queries, spatial_queries, cluster_queries, graph_queries, solver_queries, domain_queries, block_queries, field_queries, source_queries)
+_MODULES = (linalg_queries, range_queries, ordered_queries, spatial_queries, cluster_queries, graph_queries, solver_queries, domain_queries, block_queries, field_queries, source_queries, boundary_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
