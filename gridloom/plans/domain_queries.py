@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
 from ..operators import domains as dm
+from ..operators import fronts as fr
 from ..operators import graph as gr
 from ..operators import pde
 from ..operators import spatial as sp
@@ -74,6 +75,19 @@ def _restricted(s, d):
     return dm.restricted_support(nodes, 4, p.select("id", "node", F.lit(False).alias("separator")))
 
 
+def _front_fill(s, d):
+    """The square filled from the parts on its faces: whether each part has a node within 1.3 spacings, and whether any such node has another one too near."""
+    m = side(s, d)
+    spacing = lambda x: (4 + 2 * x[0]) / m
+    given = nodes(s, d)
+    inside = lambda x: (x[0] >= 0) & (x[0] <= 1) & (x[1] >= 0) & (x[1] <= 1)
+    filled = fr.fill(given.filter("type < 0").select("id", "x"), spacing, inside, 2)
+    sized = lambda n, share: n.select("id", "x", (spacing(F.col("x")) * share).alias("reach"))
+    crowded = fr.within_reach(sized(filled.filter("generation > 0"), 0.7), filled, 2).filter(F.col("nbr") != F.col("id")).select(F.col("id").alias("nbr"), F.lit(True).alias("crowded")).distinct()
+    near = fr.within_reach(sized(given, 1.3), filled, 2).join(crowded, "nbr", "left").groupBy("id").agg(F.coalesce(F.max("crowded"), F.lit(False)).alias("crowded"))
+    return given.select("id").join(near, "id", "left").select("id", F.col("crowded").isNotNull().alias("covered"), F.coalesce("crowded", F.lit(False)).alias("crowded"))
+
+
 def _cut_levels() -> str:
     """Three bisections of p(id, a, b) with leaves of up to 30."""
     out = "n0 AS (SELECT id, a, b, CAST(1 AS BIGINT) AS node FROM p)"
@@ -85,6 +99,7 @@ def _cut_levels() -> str:
 
 
 QUERIES = {
+    "front_fill": (_front_fill, f"SELECT idx AS id, true AS covered, false AS crowded FROM {GRID}"),
     "grid_fill": (_fill, f"SELECT i * (n + 1) + j AS id FROM {_FINE}, range((SELECT n + 1 FROM {_FINE})) a(i), range((SELECT n + 1 FROM {_FINE})) b(j) WHERE (i * h - 0.5) ** 2 + (j * h - 0.5) ** 2 < 0.4 * 0.4"),
     "domain_union": (_union, f"SELECT id FROM {_G} UNION ALL SELECT id FROM {_H} p WHERE NOT (x > 0 AND x < 1 AND y > 0 AND y < 1) AND NOT {_NEAR.format(o=_G)}"),
     "domain_difference": (_difference, f"SELECT id FROM {_G} p WHERE NOT (x > 0.5 AND x < 1.5 AND y > 0.5 AND y < 1.5) AND NOT {_NEAR.format(o=_H)}"),

@@ -30,6 +30,18 @@ def _relaxed(rounds: int) -> str:
     return out
 
 
+#: What passes between two of the n nearest is among them too, so n - 1 rounds that keep n vertices a source are exact.
+_STENCIL = 6
+
+
+def _stencils() -> str:
+    out = "n0 AS (SELECT id AS source, id, 0.0::DOUBLE AS dist FROM v)"
+    for i in range(1, _STENCIL):
+        out += f""", n{i} AS MATERIALIZED (SELECT source, id, min(dist) AS dist FROM (SELECT * FROM n{i - 1} UNION ALL SELECT n.source, e.dst, n.dist + e.w FROM n{i - 1} n JOIN e ON e.src = n.id)
+          GROUP BY source, id QUALIFY row_number() OVER (PARTITION BY source ORDER BY min(dist), id) <= {_STENCIL})"""
+    return f"{out} SELECT source, id, dist, CAST(row_number() OVER (PARTITION BY source ORDER BY dist, id) - 1 AS INT) AS rank FROM n{_STENCIL - 1}"
+
+
 def _vertices(s, d):
     return edges(s, d).select(F.col("src").alias("id")).distinct()
 
@@ -67,6 +79,7 @@ QUERIES = {
         lambda s, d: gr.n_nearest(edges(s, d), _start(s, d).first()["id"], 10),
         f"WITH {_WITH}, {_relaxed(14)} SELECT id, dist FROM d14 ORDER BY dist, id LIMIT 10",
     ),
+    "graph_stencils": (lambda s, d: gr.nearest_by_path(edges(s, d), _vertices(s, d), _STENCIL), f"WITH {_WITH}, {_stencils()}"),
     "induced_subgraph": (
         lambda s, d: gr.induced(edges(s, d), _sides(s, d).filter("side = 1")).select("src", "dst", "w"),
         f"WITH {_WITH} SELECT src, dst, w FROM e WHERE src % 5 >= 2 AND dst % 5 >= 2",
