@@ -33,7 +33,7 @@ def test_settled_is_a_pass_in_order(spark):
 @pytest.mark.parametrize("dim", [1, 2, 3])
 def test_fill_of_variable_density(spark, dim):
     """No two nodes nearer than the spacing at either, no point of the domain far from all, and the same nodes when run again."""
-    h = [0.06, 0.15, 0.35][dim - 1]
+    h = [0.06, 0.15, 0.3][dim - 1]
     spacing = lambda x: h * (1 + x[0])
     inside = lambda x: F.forall(x, lambda v: (v >= 0) & (v <= 1))
     seeds = spark.createDataFrame([(1, [0.1] * dim), (2, [0.1 + 3 * h] + [0.1] * (dim - 1))], "id long, x array<double>")
