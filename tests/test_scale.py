@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pytest
+from oracle import assert_same
 from pyspark.sql import functions as F
 
 from gridloom.operators import pde
+from gridloom.plans import registry
 
 
 def test_points_on_a_polygons_edge_are_outside(spark):
@@ -12,3 +15,18 @@ def test_points_on_a_polygons_edge_are_outside(spark):
     at = [(0.25, 0.75), (0.5, 0.5), (0.625, 0.875), (0.25, 0.5), (0.3, 0.6), (0.2, 0.6), (0.25, 1.5)]
     found = spark.createDataFrame([(i, list(p)) for i, p in enumerate(at)], "id int, x array<double>").filter(pde.in_polygon(F.col("x"), triangle))
     assert [r["id"] for r in found.collect()] == [4]
+
+
+@pytest.fixture(scope="module")
+def many_suppliers(tmp_path_factory, spark):
+    d = str(tmp_path_factory.mktemp("suppliers"))
+    spark.range(4000).select(F.col("id").alias("s_suppkey")).write.parquet(f"{d}/supplier.parquet")
+    return d
+
+
+def test_rings_with_one_rounded_height_stay_apart(spark, many_suppliers):
+    from oracle import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{many_suppliers}/supplier.parquet/*.parquet')")
+    assert_same(registry.queries()["discretize_sphere"](spark, many_suppliers).toPandas(), c.sql(registry.oracle_sql()["discretize_sphere"]).df())
