@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from oracle import assert_same
 from pyspark.sql import functions as F
 
+from gridloom.operators import linalg as la
 from gridloom.operators import pde
+from gridloom.operators import spatial as sp
 from gridloom.plans import registry
 
 
@@ -30,3 +33,41 @@ def test_rings_with_one_rounded_height_stay_apart(spark, many_suppliers):
     c = duckdb.connect()
     c.sql(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{many_suppliers}/supplier.parquet/*.parquet')")
     assert_same(registry.queries()["discretize_sphere"](spark, many_suppliers).toPandas(), c.sql(registry.oracle_sql()["discretize_sphere"]).df())
+
+
+def test_neighbours_of_many_points_by_cells(spark):
+    """Near ones, far ones, queries elsewhere and many copies of a point; by cells no task sees two whole blocks for each pair of them."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.random((300, 2)), 1e-3 * rng.random((300, 2)), np.full((90, 2), 0.25), 50 + rng.random((4, 2))])
+    asked = np.concatenate([x[::3], rng.random((30, 2)) * 60 - 5])
+    frame = lambda rows: spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "id long, x array<double>").repartition(3)
+    points, queries = frame(x), frame(asked)
+    assert "qb" not in sp.knn(queries, points, 7, 16)._jdf.queryExecution().analyzed().toString()
+    got = sorted((r["id"], r["ord"], r["nbr"], r["d2"]) for r in sp.knn(queries, points, 7, 16).collect())
+    d2 = (asked[:, None, 0] - x[None, :, 0]) ** 2 + (asked[:, None, 1] - x[None, :, 1]) ** 2
+    assert got == [(i, o, int(j), float(row[j])) for i, row in enumerate(d2) for o, j in enumerate(np.argsort(row, kind="stable")[:7])]
+
+
+def test_terms_of_a_local_product_are_summed_before_the_shuffle(spark):
+    band = spark.range(3000).select(F.col("id").alias("row"), F.explode(F.sequence(F.greatest(F.col("id") - 5, F.lit(0)), F.least(F.col("id") + 5, F.lit(2999)))).alias("col"))
+    a = band.withColumn("val", (F.col("row") * 3 + F.col("col") * 7).cast("double"))
+    dense = np.zeros((3000, 3000))
+    for r in a.collect():
+        dense[r["row"], r["col"]] = r["val"]
+    want = dense @ dense
+    product = la.spmm(a, a).cache()
+    assert "Join" not in product._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["row"], r["col"]): r["val"] for r in product.collect()} == {(int(i), int(j)): want[i, j] for i, j in zip(*np.nonzero(want), strict=True)}
+    assert la.spmm(a.withColumn("row", F.lit(None).cast("long")), a, a_transposed=True).count() == 0
+
+
+def test_stencils_are_solved_once_for_all_terms(spark):
+    """The stencils' Python pass stands once in the plans of operators that take several of its rows."""
+    from gridloom.operators import approx
+
+    nodes = pde.box_nodes(spark, [0.0, 0.0], [1.0, 1.0], [5, 5])
+    w = pde.weights(sp.knn(nodes, nodes, 9), nodes, ["lap", "d0", "d1", "d00", "d01", "d11"])
+    velocity = nodes.select(F.col("id").alias("idx"), F.posexplode(F.array(F.lit(1.0), F.lit(2.0))).alias("axis", "v"))
+    lap = w.filter("op = 'lap'").select(F.col("node").alias("row"), F.col("nbr").alias("col"), F.col("w").alias("val"))
+    for found in (pde.convection_diffusion(w, velocity, 0.1, 2), approx.grad_div(w, 2, 25), approx.vector_laplacian(lap, 2, 25)):
+        assert found._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 1
