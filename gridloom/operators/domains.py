@@ -127,23 +127,11 @@ def restricted_support(nodes: DataFrame, k: int, clusters: DataFrame) -> DataFra
     return spatial.top_k(pairs.distinct(), k)
 
 
-def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(id): a least set of vertices that meets every edge between the sides, by a maximum matching of the cut.
-
-    The cut is matched on the driver; ValueError if it has more than `most_edges` edges, as no other set is a least one.
-    """
-    spark = edges.sparkSession
-    a = sides.filter("side = 0").select(F.col("id").alias("src"))
-    b = sides.filter("side = 1").select(F.col("id").alias("dst"))
-    cut = cut_lineage(edges.select("src", "dst").join(a, "src", "left_semi").join(b, "dst", "left_semi").distinct())
-    rows = cut.limit(most_edges + 1).collect()
-    if len(rows) > most_edges:
-        raise ValueError(f"the cut has more than {most_edges} edges; graph.simple_separator gives a separator that isn't least")
-    near: dict[int, list[int]] = {}
-    for r in sorted(rows):
-        near.setdefault(r["src"], []).append(r["dst"])
+def _least_cover(near: dict[int, list[int]]) -> tuple[set[int], set[int]]:
+    """Vertices of side 0 and of side 1 that meet all edges u: [v, ...], as many as a largest matching has edges."""
     mate: dict[int, int] = {}  # of vertices of side 1
     back: dict[int, int] = {}  # of vertices of side 0
+    dead: set[int] = set()  # reached by searches that failed: no later one gets further there
     for start in near:
         # An alternating path from an unmatched vertex, breadth first.
         came: dict[int, int] = {}
@@ -152,7 +140,7 @@ def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_00
             later = []
             for u in front:
                 for v in near[u]:
-                    if v not in came:
+                    if v not in came and v not in dead:
                         came[v] = u
                         if v not in mate:
                             end = v
@@ -161,7 +149,9 @@ def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_00
                 if end is not None:
                     break
             front = later
-        if end is not None:
+        if end is None:
+            dead.update(came)
+        else:
             v: int | None = end
             while v is not None:
                 u = came[v]
@@ -179,8 +169,43 @@ def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_00
                         reach.add(mate[v])
                         later.append(mate[v])
         front = later
-    cover = [(v,) for v in hit] + [(u,) for u in near if u not in reach]
-    return spark.createDataFrame(cover, "id long")
+    return set(u for u in near if u not in reach), hit
+
+
+#: Edges of each vertex that a round of minimum_separator brings to the driver, and the cut's size up to which all come at once.
+_EACH, _AT_ONCE = 8, 200_000
+
+
+def minimum_separator(edges: DataFrame, sides: DataFrame, most_edges: int = 2_000_000, at_once: int = _AT_ONCE) -> DataFrame:
+    """(id): a least set of vertices that meets every edge between the sides, by a maximum matching of the cut.
+
+    Of a cut of more than `at_once` edges the driver matches a part: a few edges of each vertex, then also a few of
+    those that the part's least cover misses, until it misses none of the whole cut. That cover is as large as a
+    matching, so none is smaller. ValueError if the part grows beyond `most_edges` edges.
+    """
+    spark = edges.sparkSession
+    a = sides.filter("side = 0").select(F.col("id").alias("src"))
+    b = sides.filter("side = 1").select(F.col("id").alias("dst"))
+    cut = cut_lineage(edges.select("src", "dst").join(a, "src", "left_semi").join(b, "dst", "left_semi").distinct())
+
+    def few(missed: DataFrame) -> DataFrame:
+        first = lambda one, other: missed.withColumn("_n", F.row_number().over(W.partitionBy(one).orderBy(F.xxhash64(one, other), other))).filter(F.col("_n") <= _EACH).select("src", "dst")
+        return first("src", "dst").unionByName(first("dst", "src")).distinct()
+
+    near: dict[int, list[int]] = {}
+    size, missed, whole = 0, cut, cut.limit(at_once + 1).count() <= at_once
+    while True:
+        rows = sorted((missed if whole else few(missed)).limit(max(0, most_edges - size) + 1).collect())
+        size += len(rows)
+        if size > most_edges:
+            raise ValueError(f"more than {most_edges} edges of the cut are needed; graph.simple_separator gives a separator that isn't least")
+        for r in rows:
+            near.setdefault(r["src"], []).append(r["dst"])
+        left, right = _least_cover(near)
+        if whole or not rows:
+            return spark.createDataFrame([(v,) for v in right] + [(u,) for u in near if u in left], "id long")
+        of = lambda found, name: spark.createDataFrame([(v,) for v in found], f"{name} long")
+        missed = cut_lineage(cut.join(of(left, "src"), "src", "left_anti").join(of(right, "dst"), "dst", "left_anti"))
 
 
 def nested_dissection(points: DataFrame, edges: DataFrame, axes: list[str], levels: int, least: int) -> DataFrame:

@@ -71,3 +71,16 @@ def test_stencils_are_solved_once_for_all_terms(spark):
     lap = w.filter("op = 'lap'").select(F.col("node").alias("row"), F.col("nbr").alias("col"), F.col("w").alias("val"))
     for found in (pde.convection_diffusion(w, velocity, 0.1, 2), approx.grad_div(w, 2, 25), approx.vector_laplacian(lap, 2, 25)):
         assert found._jdf.queryExecution().analyzed().toString().count("MapInPandas") == 1
+
+
+def test_least_separator_of_a_cut_larger_than_the_driver_takes(spark):
+    from gridloom.operators import domains
+
+    rng = np.random.default_rng(8)
+    pairs = {(a, 100 + b) for a in range(25) for b in range(60) if rng.random() < 0.9} | {(25 + i, 160 + i % 3) for i in range(40)}
+    e = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, w double")
+    sides = spark.createDataFrame([(i, 0) for i in range(65)] + [(100 + i, 1) for i in range(63)], "id long, side int")
+    cover = {r["id"] for r in domains.minimum_separator(e, sides, 1200, at_once=10).collect()}
+    assert len(pairs) > 1200
+    assert all(a in cover or b in cover for a, b in pairs)
+    assert len(cover) == 25 + 3 == domains.minimum_separator(e, sides).count()
