@@ -84,3 +84,33 @@ def test_least_separator_of_a_cut_larger_than_the_driver_takes(spark):
     assert len(pairs) > 1200
     assert all(a in cover or b in cover for a, b in pairs)
     assert len(cover) == 25 + 3 == domains.minimum_separator(e, sides).count()
+
+
+def test_shifted_inverse_holds_the_parts_only(spark):
+    import tracemalloc
+
+    from gridloom.operators import solvers as so
+
+    rng = np.random.default_rng(2)
+    n, cuts = 3000, np.cumsum(rng.integers(1, 6, 3000))
+    part = np.searchsorted(cuts, np.arange(n), "right")
+    moved = rng.permutation(n)
+    rows = [(int(moved[i]), int(moved[j]), float(rng.random() + 9 * (i == j))) for i in range(n) for j in range(max(0, i - 5), min(n, i + 6)) if part[i] == part[j]]
+    a = so.SparseMap(spark.createDataFrame(rows, "row long, col long, val double"), n)
+    x = rng.random(n)
+    tracemalloc.start()
+    solved = so.inverse_by_components(a, 0.5)(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.abs(a(solved) - 0.5 * solved - x).max() < 1e-10
+    assert peak < 8 * n * n / 10
+
+
+def test_diagonal_of_a_distributed_matrix(spark):
+    from gridloom.operators import solvers as so
+    from gridloom.plans import solver_queries as sq
+
+    a = spark.createDataFrame([(i, (i + k) % 40, 1.0 + i * (k == 0)) for i in range(40) for k in (0, 3)], "row long, col long, val double")
+    far = so.SparseMap(a, 40, local_entries=10)
+    assert not far.local
+    assert (sq._jacobi(far)(np.ones(40)) == 1 / (1.0 + np.arange(40))).all()
