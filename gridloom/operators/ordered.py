@@ -14,7 +14,8 @@ def truncation_rank(sigmas: DataFrame, eps: float, frobenius: bool = False, rela
     tail has a sum of squares of at most eps^2 (times the total).
     """
     if frobenius:
-        tail = F.sum(F.col("sigma") * F.col("sigma")).over(W.partitionBy("key").orderBy("ord").rowsBetween(0, W.unboundedFollowing))
+        # From the last value up: a frame without an end would be summed anew for each row.
+        tail = F.sum(F.col("sigma") * F.col("sigma")).over(W.partitionBy("key").orderBy(F.desc("ord")).rowsBetween(W.unboundedPreceding, 0))
         total = F.sum(F.col("sigma") * F.col("sigma")).over(W.partitionBy("key"))
         kept = tail > (F.lit(eps * eps) * total if relative else F.lit(eps * eps))
     else:

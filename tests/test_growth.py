@@ -30,3 +30,24 @@ def test_loops_of_joins_keep_a_sane_size_estimate_and_few_pieces(spark):
     assert sorted(r["v"] for r in now.collect()) == [PIECES + 2.0] * 40
     assert len(pieces.kept) == 3
     assert sorted(r["v"] for r in pieces.table().collect()) == sorted(float(v) for v in range(1, PIECES + 3) for _ in range(40))
+
+
+def test_frobenius_tails_are_running_sums(spark):
+    from gridloom.operators import ordered
+
+    df = spark.createDataFrame([(0, i, float(2 ** -i)) for i in range(6)] + [(1, 0, 1.0), (1, 1, 1.0)], "key long, ord long, sigma double")
+    ranks = ordered.truncation_rank(df, 0.25, frobenius=True)
+    assert "unboundedfollowing" not in ranks._jdf.queryExecution().optimizedPlan().toString().lower().replace("unboundedpreceding$(), unboundedfollowing$()", "")
+    assert {r["key"]: r["rank"] for r in ranks.collect()} == {0: 2, 1: 2}
+
+
+def test_all_pairs_of_clusters_are_dealt_to_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from gridloom.operators import cluster
+
+    nodes = spark.range(1, 41).select(F.col("id").alias("node"))
+    found = cluster.dealt_pairs(nodes, nodes)
+    assert {(r["r_node"], r["c_node"]) for r in found.collect()} == {(a, b) for a in range(1, 41) for b in range(1, 41)}
+    sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < 1000
