@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cluster as cl
-from ..session import table
+from ..session import cut_lineage, table
 
 AXES = ["x", "y"]
 LEVELS, LEAF = 3, 50
@@ -56,8 +56,8 @@ _ADM = {
 
 def _admissible(kind: str, levels: int = LEVELS):
     def run(s, d):
-        leaves = _nodes(s, d, levels).filter("leaf").select("node", "min_x", "max_x", "min_y", "max_y")
-        return cl.pairs(leaves, leaves).filter(cl.admissible(kind, AXES, 1.0)).select("r_node", "c_node")
+        leaves = cut_lineage(_nodes(s, d, levels).filter("leaf").select("node", "min_x", "max_x", "min_y", "max_y"))
+        return cl.dealt_pairs(leaves, leaves).filter(cl.admissible(kind, AXES, 1.0)).select("r_node", "c_node")
 
     return run, f"WITH {_T} SELECT r.node AS r_node, c.node AS c_node FROM t r, t c WHERE r.leaf AND c.leaf AND {_ADM[kind]}"
 
