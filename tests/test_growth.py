@@ -51,3 +51,20 @@ def test_all_pairs_of_clusters_are_dealt_to_tasks(spark):
     assert {(r["r_node"], r["c_node"]) for r in found.collect()} == {(a, b) for a in range(1, 41) for b in range(1, 41)}
     sizes = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) >= 4 and max(sizes) < 1000
+
+
+def test_a_product_evaluates_the_kernel_once(spark):
+    from gridloom.operators import lowrank
+
+    calls = spark.sparkContext.accumulator(0)
+    points = spark.createDataFrame([(i, 1, [float(i)]) for i in range(6)], "id long, node long, x array<double>")
+    blocks = spark.createDataFrame([(1, 1, False, True)], "r_node long, c_node long, admissible boolean, leaf boolean")
+
+    def kernel(a, b):
+        calls.add(1)
+        return a @ b.T
+
+    ones = spark.createDataFrame([(i, 1.0) for i in range(6)], "idx long, v double")
+    found = lowrank.h_matvec(lowrank.build(points, blocks, kernel, 1e-9), ones).collect()
+    assert {r["idx"]: r["v"] for r in found} == {i: 15.0 * i for i in range(6)}
+    assert calls.value == 1
