@@ -147,8 +147,9 @@ def near(points: DataFrame, blocks: DataFrame, x: DataFrame, kernel: Kernel) ->
 
     def run(frames):
         for f in frames:
-            for r in f.itertuples(index=False):
-                yield pd.DataFrame({"idx": r.ids, "v": kernel(_vectors(r.xs), _vectors(r.ys)) @ np.asarray(r.vs)})
+            if len(f):
+                values = [kernel(_vectors(r.xs), _vectors(r.ys)) @ np.asarray(r.vs) for r in f.itertuples(index=False)]
+                yield pd.DataFrame({"idx": np.concatenate(list(f["ids"])), "v": np.concatenate(values)})
 
     return met.select("ids", "xs", "ys", "vs").mapInPandas(run, "idx long, v double")
 
@@ -162,6 +163,7 @@ def leaf_blocks(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
 
 def matvec(points: DataFrame, nodes: DataFrame, axes: list[str], blocks: DataFrame, kernel: Kernel, x: DataFrame, m: int = 5) -> DataFrame:
     """(idx, v) of the kernel's H2-matrix times x(idx, v). blocks: leaves of the block tree."""
+    nodes = cut_lineage(nodes)  # every level of both transforms reads it
     leaves = blocks.filter("leaf")
     found = coupled(leaves.filter("admissible").select("r_node", "c_node"), nodes, axes, forward(points, nodes, axes, x, m), kernel, m)
     far = backward(points, nodes, axes, found, m)
