@@ -26,7 +26,11 @@ def test_loops_of_joins_keep_a_sane_size_estimate_and_few_pieces(spark):
     for _ in range(PIECES + 2):
         now = cut_lineage(now.join(side, "id").select("id", (F.col("v") + F.col("w")).alias("v")))
         pieces.add(now)
-    assert now._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 64
+    twice = spark.range(4)
+    for _ in range(11):
+        twice = cut_lineage(twice.join(twice.select(F.col("id").alias("other")), F.col("id") == F.col("other")).select("id"))
+    assert twice._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() <= 4096
+    assert sorted(r["id"] for r in twice.collect()) == [0, 1, 2, 3]
     assert sorted(r["v"] for r in now.collect()) == [PIECES + 2.0] * 40
     assert len(pieces.kept) == 3
     assert sorted(r["v"] for r in pieces.table().collect()) == sorted(float(v) for v in range(1, PIECES + 3) for _ in range(40))
