@@ -11,19 +11,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(i, line) of the lines of one file that aren't blank or comments. A mesh file's header says how to read the rest, so it is read whole."""
-    whole = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line"))
-    return whole.withColumn("line", F.trim("line")).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
+    """(n, line) of the lines of a file, or of a folder's files by name, that aren't blank or comments, from 0.
 
+    A split knows where it begins in its file and reads its lines in order, so lines are counted by split and numbered where they are read.
+    """
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_s"), F.trim(F.regexp_replace("value", "\r$", "")).alias("line"))
+    told = text.filter((F.col("line") != "") & ~F.col("line").startswith("#")).withColumn("_i", F.monotonically_increasing_id())
+    splits = told.groupBy("_f", "_s").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_f", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = cut_lineage(splits.select("_f", "_s", "_first", before.alias("_start")), compact=True)
+    return cut_lineage(told.join(F.broadcast(starts), ["_f", "_s"]).select((F.col("_i") - F.col("_first") + F.col("_start")).alias("n"), "line"))
 
-def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """vertices(id, x) and faces(id, v, colour) of a polyhedron in OFF form; colour is null where there is none.
 
-    One file is one small header and two lists; lines are numbered in their order by one window over the file.
-    """
-    ordered = _lines(spark, path).withColumn("n", F.row_number().over(W.orderBy("i")) - 1)
+def read_off(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """vertices(id, x) and faces(id, v, colour) of a polyhedron in OFF form; colour is null where there is none."""
+    ordered = _lines(spark, path)
     head = ordered.filter("n < 2").orderBy("n").collect()
     if not head or not head[0]["line"].upper().startswith("OFF"):
         raise ValueError(f"{path} has no OFF header")

@@ -1,23 +1,24 @@
 """Mesh files: native text meshes of triangles and tetrahedra, surface meshes of mesh generators, and writers.
 
-A file's header says how to read the rest, so one file is read whole and numbered by
-line; sections are then plain filters and projections of its lines. A mesh is tables of
-its parts, each with an id from 0.
+A file's header says how to read the rest, so its lines are numbered; sections are then
+plain filters and projections of its lines. A mesh is tables of its parts, each with an
+id from 0.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.ranges import renumbered
+from ..session import cut_lineage
 from .files import _lines
 
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(n, t): the words of each line that isn't blank or a comment, from 0."""
     lines = _lines(spark, path).withColumn("line", F.trim(F.regexp_replace("line", r"\s+#.*$", "")))
-    return lines.select((F.row_number().over(W.orderBy("i")) - 1).alias("n"), "line", F.split("line", r"\s+").alias("t"))
+    return lines.select("n", "line", F.split("line", r"\s+").alias("t"))
 
 
 def _whole(at: int, n: int) -> Column:
@@ -87,7 +88,8 @@ def _after(lines: DataFrame, name: str, ends: str | None = None) -> DataFrame:
 
 
 def _listed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("id", F.row_number().over(W.orderBy("n")).cast("long") - 1)
+    # Written, as strict casts of what a line should hold mustn't be moved before the filters that choose it.
+    return cut_lineage(renumbered(rows.withColumn("id", F.col("n")), "id"))
 
 
 def read_gmsh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -139,8 +141,6 @@ def with_edges(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """edges(id, v) of triangles(id, v), and the triangles with e: edge k lies across from corner k. Edges are numbered by their corners."""
     each = triangles.select("id", "v", F.posexplode(F.expr("array(array(v[1], v[2]), array(v[2], v[0]), array(v[0], v[1]))")).alias("at", "p"))
     each = each.select("id", "v", "at", F.array_sort("p").alias("edge"))
-    from ..operators.ranges import renumbered
-
     edges = renumbered(each.select("edge").distinct().select((F.col("edge")[0] * F.lit(1 << 31) + F.col("edge")[1]).alias("idx"), "edge")).select(F.col("idx").alias("e"), "edge")
     listed = each.join(edges, "edge").groupBy("id").agg(F.first("v").alias("v"), F.transform(F.sort_array(F.collect_list(F.struct("at", "e"))), lambda s: s["e"]).alias("e"))
     return edges.select(F.col("e").alias("id"), F.col("edge").alias("v")), listed
@@ -173,11 +173,9 @@ def write_tetrahedra(mesh: dict[str, DataFrame], path: str) -> None:
 
 
 def read_ordered_text(spark: SparkSession, path: str, out: str) -> None:
-    """The files of a folder that these writers made as one text file under `out`, in order."""
-    from pyspark.sql.functions import input_file_name
-
-    lines = spark.read.text(path).select(input_file_name().alias("f"), F.monotonically_increasing_id().alias("n"), "value")
-    lines.orderBy("f", "n").coalesce(1).select("value").write.mode("overwrite").text(out)
+    """The files of a folder that these writers made as one text file under `out`, in order. They are sorted by many tasks; the one that writes only passes lines on."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("n"), "value")
+    cut_lineage(lines.orderBy("f", "s", "n").select("value")).coalesce(1).write.mode("overwrite").text(out)
 
 
 def write_clusters(nodes: DataFrame, path: str) -> None:

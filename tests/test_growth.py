@@ -72,3 +72,25 @@ def test_a_product_evaluates_the_kernel_once(spark):
     found = lowrank.h_matvec(lowrank.build(points, blocks, kernel, 1e-9), ones).collect()
     assert {r["idx"]: r["v"] for r in found} == {i: 15.0 * i for i in range(6)}
     assert calls.value == 1
+
+
+def test_a_mesh_file_is_numbered_by_splits(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from gridloom.sources import files, meshes
+
+    body = ["$Nodes", "300", *[x for i in range(300) for x in (f"{i + 1} {i}.5 0 0", "", "# a comment")], "$EndNodes", "$Elements", "298", *[f"{i + 1} 2 2 0 1 {i + 1} {i + 2} {i + 3}" for i in range(298)], "$EndElements"]
+    (tmp_path / "mesh").mkdir()
+    (tmp_path / "mesh" / "one.msh").write_bytes("\r\n".join(body).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        at = str(tmp_path / "mesh")
+        lines = files._lines(spark, at)
+        kept = [x for x in body if x and not x.startswith("#")]
+        assert [(r["n"], r["line"]) for r in lines.orderBy("n").collect()] == list(enumerate(kept))
+        assert lines.filter("n >= 0").select(F.spark_partition_id()).distinct().count() > 3  # no task has them all
+        found = meshes.read_gmsh(spark, at)
+        assert [(r["id"], r["x"][0]) for r in found["vertices"].orderBy("id").collect()] == [(i, i + 0.5) for i in range(300)]
+        assert [(r["id"], r["v"]) for r in found["triangles"].orderBy("id").collect()] == [(i, [i, i + 1, i + 2]) for i in range(298)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
