@@ -94,3 +94,17 @@ def test_a_mesh_file_is_numbered_by_splits(spark, tmp_path):
         assert [(r["id"], r["v"]) for r in found["triangles"].orderBy("id").collect()] == [(i, [i, i + 1, i + 2]) for i in range(298)]
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_oseen_momentum_keeps_its_solution_off_the_driver(spark, monkeypatch):
+    from oracle import assert_same, duckdb
+
+    from gridloom.plans import field_queries, registry
+
+    def collected(*_):
+        raise AssertionError("the solution came to the driver")
+
+    monkeypatch.setattr(field_queries, "_oseen_solution", collected)
+    d, c = "/root/testdata/sf0.001", duckdb.connect()
+    c.sql(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{d}/supplier.parquet')")
+    assert_same(registry.queries()["oseen_momentum"](spark, d).toPandas(), c.sql(registry.oracle_sql()["oseen_momentum"]).df())
