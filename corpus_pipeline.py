@@ -8,7 +8,8 @@ packing      the pieces of training sequences
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of `docs`. Whoever runs the stages writes each result before
-the next one reads it, as run() does in the checkpoint folder.
+the next one reads it, as run() does in the checkpoint folder. Each begins by
+cleaning the driver of what the stages before it left there.
 
 Defined cases, for each stage: null and empty texts are clean, are nobody's
 copies, have no secrets and pack as the end id alone; of rows that repeat an id
@@ -25,27 +26,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm import dedup, mixing, packing, secrets, toxicity
 from gridloom.llm.common import documents, tokenizer_file
-from gridloom.session import shared_folder
+from gridloom.session import clean_driver, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean_driver(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean_driver(spark)
     return dedup.keep_one(docs, width=5, percent=80)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean_driver(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean_driver(spark)
     return mixing.mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    clean_driver(spark)
     return packing.pack(docs, tokenizer_file())
 
 

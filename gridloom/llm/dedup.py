@@ -49,7 +49,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from ..session import cut_lineage
+from ..session import clean_driver, cut_lineage
 from .common import WordHash, release_memory, shingle_hashes, small_batches, unwrapped, utf8, wrapped
 
 UNIVERSE_BITS = 20
@@ -206,6 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, group_ro
     groups = components(starred.select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))).withColumnRenamed("component", "grp")
     sizes = speakers.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n_shingles").alias("n_shingles"))
     members = cut_lineage(groups.join(degrees, "id").join(sizes, "id").select("id", "grp", "degree", "n_shingles"))
+    clean_driver(spark)
 
     # Only large groups need their sizes; no group's members are dealt by their group to learn them.
     bounds = members.groupBy("grp").agg(F.count(F.lit(1)).alias("g_rows"), F.sum("n_shingles").alias("g_shingles"))
@@ -220,6 +221,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, group_ro
         links = links.unionByName(_settle_large(sets, percent, group_rows, group_shingles))
     # The graph's nodes are classes, by their smallest ids; a row has the component of its class, looked up by digest.
     linked = components(links.unionByName(repeated))
+    clean_driver(spark)
     of_class = classes.join(linked, F.col("rep") == F.col("id"), "left").select("digest", "rep", "n_rows", F.coalesce("component", "rep").alias("component"))
     of_class = of_class.filter((F.col("n_rows") > 1) | (F.col("component") != F.col("rep"))).select(F.col("digest").alias("_class"), "component")
     # Rows without words have no class: their ids spread them.

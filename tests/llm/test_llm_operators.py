@@ -678,3 +678,18 @@ def test_a_list_of_many_names_in_two_texts(spark):
         told = [s for s in got[i][0]["_spans"] if s["kind"] == 4]
         text = dict((r[0], r[1]) for r in rows)[i]
         assert {text[s["start"] : s["end"]] for s in told} == set(terms)
+
+
+def test_every_stage_begins_by_cleaning_the_driver(monkeypatch):
+    import corpus_pipeline
+
+    class Cleaned(Exception):
+        pass
+
+    def clean(_):
+        raise Cleaned
+
+    monkeypatch.setattr(corpus_pipeline, "clean_driver", clean)
+    for _, stage in corpus_pipeline.STAGES:
+        with pytest.raises(Cleaned):
+            stage(None, None, "")
