@@ -95,3 +95,6 @@ QUERIES = {
     ),
     "two_front_partition": (lambda s, d: gr.two_front_partition(edges(s, d), _vertices(s, d)), None),
 }
+
+# The names these two had beside queries of some weights only; they take all edges under both.
+QUERIES |= {f"{name}_all_edges": QUERIES[name] for name in ("connected_components", "simple_separator")}
