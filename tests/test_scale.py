@@ -149,3 +149,10 @@ def test_a_normal_product_takes_one_pass(spark):
     x = rng.random(40)
     assert np.allclose(far.gram(x), dense.T @ (dense @ x)) and np.allclose(far(x), dense @ x)
     assert np.isclose(so.spectral_norm(far, far.transposed, 40, 60, gram=far.gram), np.linalg.norm(dense, 2))
+
+
+def test_bytes_of_a_large_block_are_counted_in_longs(spark):
+    from gridloom.operators import lowrank as lr
+
+    block = spark.range(1).select(F.array_repeat(F.lit(1).cast("long"), 17000).alias("rows"), F.array_repeat(F.lit(1).cast("long"), 16000).alias("cols"))
+    assert block.agg(F.sum(lr.dense_size())).first()[0] == 8 * 17000 * 16000
