@@ -47,10 +47,10 @@ def test_blocks_of_rows_over_several_of_them(small_blocks):
 
 
 def test_solvers_and_tiles_take_blocks(spark):
-    n = 2048 + 130
+    n = normal.BLOCK + 130
     rng = np.random.default_rng(8)
     rows, cols = np.repeat(np.arange(900), 6), rng.integers(0, n, 5400)
-    cols[::6] = 2040 + np.arange(900) % 20
+    cols[::6] = normal.BLOCK - 8 + np.arange(900) % 20
     a = spark.createDataFrame([(int(i), int(j), float(1 + (i + j) % 5)) for i, j in zip(rows, cols, strict=True)], "row long, col long, val double").repartition(3)
     dense = np.zeros((900, n))
     np.add.at(dense, (rows, cols), 1.0 + (rows + cols) % 5)
